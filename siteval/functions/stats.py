@@ -62,7 +62,8 @@ def _number(text: Column, pattern: str, group: int) -> Column:
 
 
 def fixed(value: Column, digits: int = 3) -> Column:
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    """Text with a fixed number of decimals, halves to even."""
+    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
 
 
 def mean_sd_text(mean: Column, sd: Column) -> Column:

@@ -8,28 +8,21 @@ reuse them without repeating the string work.
 
 from __future__ import annotations
 
-import ipaddress
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-try:  # needed only by rows with non-ASCII or punycode hosts
-    import idna
-except ImportError:  # pragma: no cover
-    idna = None
-
 # Link shortener sites.
 SHORTENERS = (
     "bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "buff.ly",
     "is.gd", "cutt.ly", "rebrand.ly", "shorturl.at", "tiny.cc", "rb.gy",
 )
 
-# IPv4 networks that are private, loopback, link-local or reserved.
+# Dotted prefixes of the IPv4 networks that are private, loopback, link-local or reserved.
 PRIVATE_V4 = (
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
-    "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16",
-    "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
+    r"0\.", r"10\.", r"127\.", r"169\.254\.", r"172\.(?:1[6-9]|2[0-9]|3[01])\.", r"192\.0\.0\.[0-7]$",
+    r"192\.0\.0\.17[01]$", r"192\.0\.2\.", r"192\.168\.", r"198\.1[89]\.", r"198\.51\.100\.",
+    r"203\.0\.113\.", r"2(?:4[0-9]|5[0-5])\.",
 )
 
 _BLANK = r"[\s\p{Z}\x1c-\x1f\x85]+"
@@ -95,12 +88,9 @@ def unbalanced_brackets(authority: Column) -> Column:
 
 
 def port_number(text: Column) -> Column:
-    number = F.when(text.rlike(r"^[0-9]+$"), text.try_cast("int"))
-    return F.when(number.between(0, 65535), number)
-
-
-def port_is_bad(text: Column) -> Column:
-    return (text != "") & port_number(text).isNull()
+    """0 to 65535, else NULL."""
+    return F.when(text.rlike(r"^0*(?:[0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])$"),
+                  text.try_cast("int"))
 
 
 # ---------------------------------------------------------------- IP literals
@@ -109,23 +99,9 @@ def is_ipv4(host: Column) -> Column:
     return host.rlike(_IPV4)
 
 
-def ipv4_number(host: Column) -> Column:
-    octets = F.split(host, r"\.")
-    value = F.lit(0).cast("bigint")
-    for i in range(4):
-        value = value * 256 + octets[i].try_cast("bigint")
-    return value
-
-
 def ipv4_is_private(host: Column) -> Column:
-    """Membership in the fixed private networks, as plain range predicates."""
-    number, hit = ipv4_number(host), F.lit(False)
-    for network in PRIVATE_V4:
-        base, bits = network.split("/")
-        a, b, c, d = (int(x) for x in base.split("."))
-        low = ((a * 256 + b) * 256 + c) * 256 + d
-        hit = hit | number.between(low, low + (1 << (32 - int(bits))) - 1)
-    return hit
+    """Membership in the fixed private networks, for text that is an IPv4 literal."""
+    return host.rlike("^(?:" + "|".join(PRIVATE_V4) + ")")
 
 
 # ---------------------------------------------------------------- host names
@@ -141,38 +117,37 @@ def ldh_host(host: Column) -> Column:
     return F.when(good, host)
 
 
-def _name_to_ascii(name: str) -> str | None:
-    if idna is None:
-        return None
-    try:
-        return idna.encode(name, uts46=True, std3_rules=True).decode("ascii").lower()
-    except (idna.IDNAError, UnicodeError):
-        return None
-
+def host_resolver(ip_first: bool = True):
+    """Arrow UDF for the rare hosts: ASCII form, IP flag, private flag.
 
-def _resolve(name: str | None, ip_first: bool) -> tuple[str | None, bool, bool]:
-    if name is None:
-        return None, False, False
-    if not ip_first:
-        name = _name_to_ascii(name)
+    Everything it needs is inside, so workers do not have to import this package.
+    """
+    def to_ascii(name):
+        try:
+            import idna
+            return idna.encode(name, uts46=True, std3_rules=True).decode("ascii").lower()
+        except (ImportError, UnicodeError):  # idna's own errors are UnicodeErrors
+            return None
+
+    def resolve_one(name):
+        import ipaddress
+        if name is not None and not ip_first:
+            name = to_ascii(name)
         if name is None:
             return None, False, False
-    try:
-        ip = ipaddress.ip_address(name)
-    except ValueError:
-        return (_name_to_ascii(name) if ip_first else name), False, False
-    return ip.compressed, True, ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved
-
-
-def host_resolver(ip_first: bool = True):
-    """Arrow UDF for the rare hosts: ASCII form, IP flag, private flag."""
-
-    @F.pandas_udf("host string, is_ip boolean, is_private boolean")
-    def resolve(names: pd.Series) -> pd.DataFrame:
-        known = {n: _resolve(n, ip_first) for n in names.unique()}
-        return pd.DataFrame([known[n] for n in names], columns=["host", "is_ip", "is_private"])
-
-    return resolve
+        try:
+            ip = ipaddress.ip_address(name)
+        except ValueError:
+            return (to_ascii(name) if ip_first else name), False, False
+        return ip.compressed, True, ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved
+
+    def resolve(names):
+        import pandas
+        known = {n: resolve_one(n) for n in names.unique()}
+        return pandas.DataFrame([known[n] for n in names], columns=["host", "is_ip", "is_private"])
+
+    resolve.__annotations__ = {"names": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(resolve, "host string, is_ip boolean, is_private boolean")
 
 
 # ---------------------------------------------------------------- derived text

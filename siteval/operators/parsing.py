@@ -27,27 +27,28 @@ def split_hosts(df: DataFrame, raw: str) -> DataFrame:
     authority = F.col("_authority")
     df = df.withColumns({"_host": U.host_text(authority), "_port": U.port_text(authority),
                          "_broken": U.unbalanced_brackets(authority)})
-    return df.withColumn("hostname_raw", F.regexp_replace("_host", r"\.+$", ""))
+    return df.withColumns({"hostname_raw": F.regexp_replace("_host", r"\.+$", ""),
+                           "_portnum": U.port_number(F.col("_port"))})
 
 
 def resolve_hosts(df: DataFrame, ip_first: bool = True) -> DataFrame:
     """ASCII host, IP flag and private-address flag.
 
-    Plain names and IPv4 literals stay in native expressions; only the rows
-    with IPv6 literals or names that need Unicode preparation visit Python.
+    Plain names and IPv4 literals stay in native expressions; only IPv6
+    literals and names that need Unicode preparation are read by Python.
     ``ip_first=False`` prepares names before looking for addresses, which
     rejects IPv6 literals (the order of older audits).
     """
     host = F.col("hostname_raw")
     rare = U.needs_python(host)
+    # one scan: plain rows send NULL through the UDF instead of being read twice
+    df = df.withColumn("_r", U.host_resolver(ip_first)(F.when(rare, host)))
     v4 = U.is_ipv4(host)
-    plain = df.where(~rare).withColumns({
-        "is_ip": v4, "is_private_ip": F.when(v4, U.ipv4_is_private(host)).otherwise(False),
-        "hostname_ascii": F.when(v4, host).otherwise(U.ldh_host(host))})
-    other = df.where(rare).withColumn("_r", U.host_resolver(ip_first)("hostname_raw"))
-    other = other.withColumns({"is_ip": F.col("_r.is_ip"), "is_private_ip": F.col("_r.is_private"),
-                               "hostname_ascii": F.col("_r.host")}).drop("_r")
-    return plain.unionByName(other)
+    return df.withColumns({
+        "is_ip": F.when(rare, F.col("_r.is_ip")).otherwise(v4),
+        "is_private_ip": F.when(rare, F.col("_r.is_private")).when(v4, U.ipv4_is_private(host)).otherwise(False),
+        "hostname_ascii": F.when(rare, F.col("_r.host")).when(v4, host).otherwise(U.ldh_host(host)),
+    }).drop("_r")
 
 
 def parse_urls(df: DataFrame, url_col: str, rules: SuffixRules, ip_first: bool = True,
@@ -61,14 +62,13 @@ def parse_urls(df: DataFrame, url_col: str, rules: SuffixRules, ip_first: bool =
     df = site_keys(df, rules)
     clean, host = F.col("_clean"), F.col("hostname_ascii")
     scheme = F.col("_scheme")
-    port_text = F.coalesce("_port", F.lit(""))
     local = F.col("is_private_ip") | (host == "localhost") | (~F.col("is_ip") & ~F.contains(host, F.lit(".")))
     status = (
         F.when(clean.isNull(), "MISSING_URL")
         .when(F.col("_broken"), "MALFORMED_URL")
         .when(F.col("_host") == "", "MISSING_HOST")
         .when(host.isNull(), "MALFORMED_IDN_HOST")
-        .when(U.port_is_bad(port_text), "MALFORMED_PORT")
+        .when((F.col("_port") != "") & F.col("_portnum").isNull(), "MALFORMED_PORT")
         .when((scheme != "") & ~scheme.isin("http", "https"), "UNSUPPORTED_SCHEME")
         .when(local, "LOCAL_OR_PRIVATE_HOST")
         .when(F.col("_missing_scheme"), "MISSING_SCHEME_RECOVERABLE")
@@ -80,7 +80,7 @@ def parse_urls(df: DataFrame, url_col: str, rules: SuffixRules, ip_first: bool =
     split_known = clean.isNotNull() & ~F.col("_broken")
     resolved = split_known & (F.col("_host") != "") & host.isNotNull()
     df = df.withColumns({"parse_status": status, "_split": split_known, "_resolved": resolved})
-    df = df.withColumn("port", F.when(F.col("_resolved"), U.port_number(port_text)))
+    df = df.withColumn("port", F.when(F.col("_resolved"), F.col("_portnum")))
     split_only = {"scheme": scheme, "path": F.col("_path"), "query": F.col("_query"), "fragment": F.col("_fragment")}
     resolved_only = {
         "hostname_ascii": host, "missing_scheme": F.col("_missing_scheme"),

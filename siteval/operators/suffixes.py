@@ -71,13 +71,15 @@ def compile_rules(rules: DataFrame) -> SuffixRules:
 
 def _longest(mask: dict[int, Column], labels: Column, exact: int, wild: int, exception: int) -> Column:
     """Suffix length in labels: an exception beats the longest other rule."""
-    plain, barred = F.lit(0), F.lit(0)
-    for d in sorted(mask):
-        m = F.coalesce(mask[d], F.lit(0))
-        plain = F.when(m.bitwiseAND(exact) != 0, F.greatest(plain, F.lit(d))).otherwise(plain)
-        plain = F.when((m.bitwiseAND(wild) != 0) & (labels > d), F.greatest(plain, F.lit(d + 1))).otherwise(plain)
-        barred = F.when(m.bitwiseAND(exception) != 0, F.lit(d - 1)).otherwise(barred)
-    return F.when(barred > 0, barred).otherwise(plain)
+    def has(d: int, bits: int) -> Column:
+        return F.coalesce(mask[d].bitwiseAND(bits) != 0, F.lit(False))
+
+    lengths = [F.lit(0)]
+    for d in mask:
+        lengths.append(F.when(has(d, exact), d).otherwise(0))
+        lengths.append(F.when(has(d, wild) & (labels > d), d + 1).otherwise(0))
+    barred = [F.when(has(d, exception), d - 1) for d in sorted(mask, reverse=True)]
+    return F.coalesce(*barred, F.greatest(*lengths))
 
 
 def site_keys(df: DataFrame, rules: SuffixRules, host: str = "hostname_ascii",
