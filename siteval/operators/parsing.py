@@ -51,6 +51,20 @@ def resolve_hosts(df: DataFrame, ip_first: bool = True) -> DataFrame:
     }).drop("_r")
 
 
+def settled(df: DataFrame, kept: list[str], cols: list[str]) -> DataFrame:
+    """The same rows with ``cols`` as plain columns.
+
+    A filter or semi join written behind the parser would otherwise be pushed
+    below it with every nested expression spelled out in full, including the
+    UDF.  A one-element generator is the point it cannot cross.
+    """
+    return df.select(*kept, F.inline(F.array(F.struct(*cols))))
+
+
+HOST_COLUMNS = ["_clean", "_scheme", "_missing_scheme", "_path", "_query", "_fragment", "_host", "_port", "_portnum",
+                "_broken", "hostname_raw", "hostname_ascii", "is_ip", "is_private_ip"]
+
+
 def parse_urls(df: DataFrame, url_col: str, rules: SuffixRules, ip_first: bool = True,
                profile: str = "full") -> DataFrame:
     """Parse, classify and normalise every URL of a table.
@@ -58,7 +72,7 @@ def parse_urls(df: DataFrame, url_col: str, rules: SuffixRules, ip_first: bool =
     Narrow apart from the rule lookups; no row is dropped.
     """
     kept = df.columns
-    df = resolve_hosts(split_hosts(df, url_col), ip_first)
+    df = settled(resolve_hosts(split_hosts(df, url_col), ip_first), kept, HOST_COLUMNS)
     df = site_keys(df, rules)
     clean, host = F.col("_clean"), F.col("hostname_ascii")
     scheme = F.col("_scheme")
