@@ -158,18 +158,21 @@ def long_metrics(wide: DataFrame, keys: list[str], names: list[str]) -> DataFram
     return wide.unpivot(keys, list(names), "metric", "value")
 
 
-def percentile_ci(replicates: DataFrame, by: list[str], level: float = .95) -> DataFrame:
-    tail = (1 - level) / 2
-    q = F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail)))
+INTERVAL = (.025, .975)
+
+
+def percentile_ci(replicates: DataFrame, by: list[str], quantiles: tuple[float, float] = INTERVAL) -> DataFrame:
+    q = F.percentile("value", F.array(*[F.lit(x) for x in quantiles]))
     return (replicates.groupBy(*by, "metric").agg(q.alias("q"), F.count("value").alias("replicates"))
             .select(*by, "metric", "replicates", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper")))
 
 
-def difference_ci(a: DataFrame, c: DataFrame, by: list[str], level: float = .95) -> DataFrame:
+def difference_ci(a: DataFrame, c: DataFrame, by: list[str],
+                  quantiles: tuple[float, float] = INTERVAL) -> DataFrame:
     """Interval of the unpaired difference a - c, subtracted by replicate number."""
     keys = [*by, "replicate", "metric"]
     both = a.select(*keys, F.col("value").alias("va")).join(c.select(*keys, F.col("value").alias("vc")), keys, "inner")
-    return percentile_ci(both.select(*keys, (F.col("va") - F.col("vc")).alias("value")), by, level)
+    return percentile_ci(both.select(*keys, (F.col("va") - F.col("vc")).alias("value")), by, quantiles)
 
 
 def assert_complete(replicates: DataFrame, by: list[str], reps: int) -> DataFrame:
