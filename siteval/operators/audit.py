@@ -175,12 +175,15 @@ def site_exposure(df: DataFrame, label: str, host: str, site: str, partition: st
     so a site with a third of the rows is one count, not one task.
     """
     by = by or []
+    test = F.col(partition) == "test"
+    # one pass over the rows; both keys are compared from these counts
+    pairs = df.groupBy(*by, site, host).agg(
+        F.max(F.when(F.col(partition) == "train", 1).otherwise(0)).alias("in_train"),
+        *[F.count_if(test & (F.col(label) == y)).alias(f"t{y}") for y in (0, 1)])
 
     def seen(key: str, name: str) -> DataFrame:
-        test = F.col(partition) == "test"
-        per = df.groupBy(*by, key).agg(
-            F.max(F.when(F.col(partition) == "train", 1).otherwise(0)).alias("in_train"),
-            *[F.count_if(test & (F.col(label) == y)).alias(f"t{y}") for y in (0, 1)])
+        per = pairs.groupBy(*by, key).agg(
+            F.max("in_train").alias("in_train"), F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))
         rows = per.select(*by, "in_train", F.explode(F.array(*[
             F.struct(F.lit(c).alias("class"), t.alias("t"))
             for c, t in (("all", F.col("t0") + F.col("t1")), ("0", F.col("t0")), ("1", F.col("t1")))

@@ -14,7 +14,7 @@ from siteval.functions.hashing import LANES, digest, h60, hex_lane
 from siteval.functions.stats import confusion_cells, confusion_metrics
 from siteval.operators.joins import salted_join
 from siteval.operators.metrics import areas
-from siteval.operators.ranking import checkpointed, hash_ordinal, prefix_within, value_ranges
+from siteval.operators.ranking import checkpointed, hash_ordinal, prefix_within, shuffle_width, value_ranges
 
 # Cluster tables up to this many rows (five numbers each) are broadcast.
 BROADCAST_CLUSTERS = 1_000_000
@@ -75,9 +75,11 @@ def draws(cluster_table: DataFrame, by: list[str], reps: int, seed: int, purpose
     draws.  One digest serves four replicates.
     """
     blocks = (reps + LANES - 1) // LANES
-    slots = cluster_table.select(*by, "class", "ordinal", "n", F.explode(
-        F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    hexes = digest(seed, stream_id(by, purpose), F.col("class"), F.col("ordinal"), F.col("_block"))
+    # a small table grows by the number of replicates here: use every core for it
+    slots = cluster_table.select(*by, "class", "ordinal", "n", stream_id(by, purpose).alias("_stream"))
+    slots = slots.repartition(shuffle_width(slots.sparkSession))
+    slots = slots.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    hexes = digest(seed, F.col("_stream"), F.col("class"), F.col("ordinal"), F.col("_block"))
     slots = slots.withColumn("_hex", hexes)
     lanes = F.array(*[F.pmod(hex_lane(F.col("_hex"), i), F.col("n")) for i in range(LANES)])
     picked = slots.select(*by, "class", "_block", F.posexplode(lanes).alias("_lane", "ordinal"))

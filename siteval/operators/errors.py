@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siteval.functions.stats import ratio
 from siteval.functions.urls import anonymous_site
 from siteval.operators.joins import compare_sides, lookup, lookup_count, salted_join
-from siteval.operators.ranking import first_per_group
+from siteval.operators.ranking import first_per_group, rank_within
 from siteval.operators.splits import band_of
 
 # Category ids and the rank bands counted as least popular.
@@ -180,8 +180,7 @@ def site_errors(errors: DataFrame, by: list[str], site: str) -> DataFrame:
 
 
 def contributor_rank(sites: DataFrame, by: list[str], site: str) -> DataFrame:
-    order = Window.partitionBy(*by, "error_type").orderBy(F.desc("errors"), F.asc(site))
-    return sites.withColumn("site_rank", F.row_number().over(order))
+    return rank_within(sites, [*by, "error_type"], [F.desc("errors"), F.asc(site)], "site_rank")
 
 
 def top_sites(sites: DataFrame, by: list[str], site: str, n: int = 10) -> DataFrame:

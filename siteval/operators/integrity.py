@@ -83,16 +83,20 @@ def check_finite(df: DataFrame, cols: list[str]) -> DataFrame:
 def fingerprint(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Order-free content hash of a keyed table.
 
-    Rows are hashed, combined in 4096 hash buckets and the buckets are then
-    combined, so no task or group holds more than a 4096th of the row hashes.
+    Row hashes are combined in 16 million hash buckets, those in 4,096 and
+    those in one: no group ever holds more than a small part of the rows.
     """
     row = digest(F.col(key), *[F.col(c) for c in cols])
-    hashed = df.select(row.alias("h")).withColumn("b", F.substring("h", 1, 3))
-    buckets = hashed.groupBy("b").agg(
+    level = df.select(row.alias("h")).groupBy(F.substring("h", 1, 6).alias("b")).agg(
         F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    pairs = F.sort_array(F.collect_list(F.struct("b", "h")))
-    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                       F.sha2(F.concat_ws("", F.transform(pairs, lambda p: p["h"])), 256).alias("fingerprint"))
+
+    def combined():
+        pairs = F.sort_array(F.collect_list(F.struct("b", "h")))
+        return F.sha2(F.concat_ws("", F.transform(pairs, lambda p: p["h"])), 256)
+
+    level = level.groupBy(F.substring("b", 1, 3).alias("p")).agg(combined().alias("h"), F.sum("n").alias("n"))
+    return level.withColumnRenamed("p", "b").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), combined().alias("fingerprint"))
 
 
 def verify_hashes(observed: DataFrame, expected: DataFrame, key: str = "path") -> DataFrame:

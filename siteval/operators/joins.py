@@ -32,10 +32,38 @@ def salted_join(left: DataFrame, right: DataFrame, on, how: str = "left",
     return joined.drop("_salt")
 
 
-def literal_join(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
-    """Broadcast join for a side whose row count is fixed by the caller's own
-    parameters (bands, seeds, classes, grid candidates)."""
-    return left.join(F.broadcast(right), _keys(on), how)
+def join_null_safe(left: DataFrame, right: DataFrame, on, how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """Equi-join in which NULL keys are a group of their own."""
+    on = _keys(on)
+    side = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(F.broadcast(side) if broadcast else side, same, how).drop(*[f"_r_{c}" for c in on])
+
+
+HOT_KEYS = 1000
+
+
+def hot_key_join(left: DataFrame, right: DataFrame, on, count: str, spread: list[str],
+                 salts: int = SALTS) -> DataFrame:
+    """Left join to a table with one row per key that knows how many left rows
+    each key has.
+
+    Keys holding more than a thousandth of all rows are fewer than a thousand,
+    so they are broadcast and answered at once; their rows then spread over
+    salts that match nothing.  All other rows meet ``right`` by key, and
+    nothing is repeated.
+    """
+    on = _keys(on)
+    values = [c for c in right.columns if c not in on and c != count]
+    total = right.agg(F.sum(count)).scalar()
+    hot = right.where(F.col(count) * HOT_KEYS > total)
+    hot = hot.select(*on, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_hot"))
+    marked = left.join(F.broadcast(hot), on, "left")
+    salt = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int")
+    cold = right.select(*on, *values, F.lit(0).alias("_salt"))
+    joined = marked.withColumn("_salt", salt).join(cold, [*on, "_salt"], "left")
+    joined = joined.withColumns({v: F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(v)) for v in values})
+    return joined.drop("_salt", "_hot", *[f"_hot_{v}" for v in values])
 
 
 def join_one_to_one(a: DataFrame, b: DataFrame, key) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteval.functions.hashing import HASH_BITS, as_column
+from siteval.operators.joins import hot_key_join, join_null_safe
 
 CUT_BITS = 12
 
@@ -74,7 +75,7 @@ def cut_by_hash(df: DataFrame, by: list[str], order: Column, tie: Column, cuts:
                    & (F.col("_before") + F.col("_sum") >= F.col("_cut.at")))
             .select(*by, "_b", "_before", F.col("_cut.i").alias("_i"), F.col("_cut.at").alias("_at")))
     # one edge row per stratum and cut: both numbers are fixed by the caller
-    near = keyed.join(F.broadcast(edge), [*by, "_b"], "inner")
+    near = join_null_safe(keyed, edge, [*by, "_b"], broadcast=True)
     running = (Window.partitionBy(*by, "_i").orderBy("_h", "_t")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = near.withColumn("_pre", F.col("_before") + F.sum("_w").over(running) - F.col("_w"))
@@ -88,7 +89,7 @@ def place_by_cuts(df: DataFrame, cuts: DataFrame, by: list[str], order: Column,
                   names: list[str], out: str, rest: str | None) -> DataFrame:
     """Name each row by the first cut at or behind its (hash, tie)."""
     if by:
-        df = df.join(F.broadcast(cuts), by, "left")
+        df = join_null_safe(df, cuts, by, "left", broadcast=True)
         bound = [F.col(f"cut{i}") for i in range(len(names))]
     else:
         bound = [cuts.select(f"cut{i}").scalar() for i in range(len(names))]
@@ -123,7 +124,7 @@ def value_ranges(df: DataFrame, col: str, out: str = "_range") -> DataFrame:
     splits = [-float("inf"), *sorted(set(points)), float("inf")]
     if len(splits) < 3:
         return df.withColumn(out, F.lit(0))
-    numbered = Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df)
+    numbered = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
     return numbered.withColumn(out, F.col(out).cast("int"))
 
 
@@ -140,7 +141,7 @@ def prefix_within(df: DataFrame, by: list[str], order: list[Column], range_col:
     inside = (Window.partitionBy(*by, range_col).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     df = df.withColumns({f"_i_{o}": F.sum(c).over(inside) for o, c in sums.items()})
-    df = df.join(offsets, [*by, range_col], "inner")
+    df = join_null_safe(df, offsets, [*by, range_col])
     df = df.withColumns({o: F.col(f"_i_{o}") + F.col(f"_o_{o}") for o in sums})
     return df.drop(*[f"{p}{o}" for o in sums for p in ("_i_", "_o_")])
 
@@ -187,15 +188,22 @@ def hash_ordinal(df: DataFrame, by: list[str], order: Column, tie: str, out: str
     counts = counts.select(*by, "_b", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"),
                            F.sum("_c").over(strata).alias(total or "_n"))
     inside = Window.partitionBy(*by, "_b").orderBy("_h", tie)
-    df = df.withColumn("_r", F.row_number().over(inside)).join(counts, [*by, "_b"], "inner")
+    df = df.withColumn("_r", F.row_number().over(inside))
+    df = join_null_safe(df, counts, [*by, "_b"])
     df = df.withColumn(out, F.col("_before") + F.col("_r") - 1)
     return df.drop("_h", "_b", "_r", "_before", "_n")
 
 
 # ---------------------------------------------------------------- window operators
 
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """1-based position in a total order per group, for groups of any size: a
+    hot group is cut into ranges like any other part of the order."""
+    return global_prefix(df.withColumn("_one", F.lit(1).cast("bigint")), order, {out: "_one"}, keys).drop("_one")
+
+
 def cap_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "cap_rank") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return rank_within(df, keys, [F.col(c) for c in order], out)
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
@@ -219,9 +227,9 @@ def average_rank(df: DataFrame, value: Column, out: str = "avg_rank", by: list[s
     df = df.withColumn("_v", value.cast("double"))
     sizes = df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_m"))
     ranked = numeric_prefix(sizes, by, "_v", {"_upto": "_m"})
-    ranks = ranked.select(*by, "_v", (F.col("_upto") - (F.col("_m") - 1) / 2).alias(out))
-    from siteval.operators.joins import salted_join
-    return salted_join(df, ranks, [*by, "_v"], "inner").drop("_v")
+    ranks = ranked.select(*by, "_v", "_m", (F.col("_upto") - (F.col("_m") - 1) / 2).alias(out))
+    spread = [c for c in df.columns if c != "_v"] or ["_v"]
+    return hot_key_join(df, ranks, [*by, "_v"], "_m", spread).drop("_v")
 
 
 def budget_cut(ledger: DataFrame, ordinal_col: str, records: str, limit: int, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteval.functions.hashing import digest, h60
 from siteval.operators.joins import remove_keys, salted_join
-from siteval.operators.ranking import (cut_by_hash, first_by_hash, first_per_group, place_by_cuts)
+from siteval.operators.ranking import checkpointed, cut_by_hash, first_by_hash, first_per_group, place_by_cuts, shuffle_width
 
 PARTITIONS = ("train", "validation", "test")
 
@@ -106,12 +106,18 @@ def split_group_prefix(df: DataFrame, group: str, seed: int | Column, by: list[s
     return place_by_cuts(df, edges, by, order, F.col(group), list(PARTITIONS[:2]), out, PARTITIONS[2])
 
 
-def _best_holdout(groups: DataFrame, group: str, fraction: float, seed: int, candidates: int) -> DataFrame:
-    """One row: the candidate whose held groups come closest to the class
-    targets, and the (hash, group) up to which it holds groups."""
-    tries = groups.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
+def _best_holdout(groups: DataFrame, group: str, fraction: float, seed: int, candidates: int) -> Column:
+    """Condition on ``group``: held by the candidate whose held groups come
+    closest to the class targets.
+
+    The winner is one row (candidate, last held hash and group); it becomes a
+    constant, so placing rows needs no join.
+    """
+    # the group table grows by the number of candidates here: use every core for it
+    tries = groups.repartition(shuffle_width(groups.sparkSession))
+    tries = tries.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
     order = h60(seed, "holdout", F.col("candidate"), F.col(group))
-    edges = cut_by_hash(tries, ["candidate"], order, F.col(group), [F.ceil(_n() * fraction)])
+    edges = cut_by_hash(tries, ["candidate"], order, F.col(group), [F.ceil(_n() * fraction)], bits=8)
     here = F.struct(order.alias("h"), F.col(group).alias("t"))
     held = here <= F.col("cut0")
     # one row per candidate: the caller fixed their number
@@ -126,24 +132,22 @@ def _best_holdout(groups: DataFrame, group: str, fraction: float, seed: int, can
         return F.pow((F.col(f"held{y}") - target) / F.greatest(target, F.lit(1.0)), F.lit(2.0))
 
     best = F.min_by(F.struct("candidate", "cut0"), F.struct(miss(0) + miss(1), F.col("candidate")))
-    return sums.agg(best.alias("best"))
+    winner = sums.agg(best.alias("best")).first()["best"]
+    if winner is None or winner["cut0"] is None:
+        return F.lit(False)
+    order = h60(seed, "holdout", winner["candidate"], F.col(group))
+    edge = winner["cut0"]
+    return F.struct(order.alias("h"), F.col(group).alias("t")) <= F.struct(F.lit(edge["h"]).alias("h"), F.lit(edge["t"]).alias("t"))
 
 
 def split_group_best(df: DataFrame, group: str, label: str, seed: int, candidates: int = 40,
                      holdout: float = .15) -> DataFrame:
     """Group-disjoint split: the best of ``candidates`` hold-outs for test,
     then the same on the remaining groups for validation."""
-    groups = group_sizes(df, group, label)
-
-    def is_held(best: DataFrame, s: int) -> Column:
-        choice = best.select("best").scalar()
-        order = h60(s, "holdout", choice["candidate"], F.col(group))
-        return F.struct(order.alias("h"), F.col(group).alias("t")) <= choice["cut0"]
-
-    test = is_held(_best_holdout(groups, group, holdout, seed, candidates), seed)
-    rest = groups.where(~test)
-    inner_seed = seed + 10000
-    val = is_held(_best_holdout(rest, group, holdout / (1 - holdout), inner_seed, candidates), inner_seed)
+    # rows are reduced to groups once; both searches read the written group table
+    groups = checkpointed(group_sizes(df, group, label))
+    test = _best_holdout(groups, group, holdout, seed, candidates)
+    val = _best_holdout(groups.where(~test), group, holdout / (1 - holdout), seed + 10000, candidates)
     return df.withColumn("partition", F.when(test, "test").when(val, "validation").otherwise("train"))
 
 

@@ -450,7 +450,7 @@ def sp10h(t: Tables):
 
 @query("w01_cap_rank", f"WITH {ORDERS_SQL}, {CAP_SQL} SELECT id, cap_rank FROM cap")
 def w01(t: Tables):
-    return R.cap_rank(capped(t), ["label", "site"], ["hash", "id"]).select("id", F.col("cap_rank").cast("bigint").alias("cap_rank"))
+    return R.cap_rank(capped(t), ["label", "site"], ["hash", "id"]).select("id", "cap_rank")
 
 
 @query("sp11_apply_cap", f"""WITH {ORDERS_SQL}, {CAP_SQL}, {split_sql('ord', 'id', 'label', 42)}
@@ -701,7 +701,7 @@ def w03(t: Tables):
 
 @query("w04_average_rank", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, rank() OVER (ORDER BY -l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS avg_rank FROM lineitem""")
 def w04(t: Tables):
-    d = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    d = t.spread(t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     return R.average_rank(d, -F.abs("l_quantity")).drop("l_quantity")
 
 
@@ -776,8 +776,9 @@ def i05(t: Tables):
 
 
 @query("i08_fingerprint", """WITH h AS (SELECT sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS h FROM orders),
-    b AS (SELECT substr(h, 1, 3) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS x FROM h GROUP BY 1)
-    SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(x, '' ORDER BY b)) AS fingerprint FROM b""")
+    b AS (SELECT substr(h, 1, 6) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS x FROM h GROUP BY 1),
+    p AS (SELECT substr(b, 1, 3) AS p, sum(n) AS n, sha256(string_agg(x, '' ORDER BY b)) AS x FROM b GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(x, '' ORDER BY p)) AS fingerprint FROM p""")
 def i08(t: Tables):
     return I.fingerprint(t.read("orders"), "o_orderkey", ["o_custkey", "o_orderstatus"])
 

@@ -80,7 +80,7 @@ _AVG_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1)
 @query("k12_spearman", f"""WITH r AS (SELECT {_AVG_RANK.format("l_quantity")} AS a, {_AVG_RANK.format("l_extendedprice")} AS b FROM lineitem)
     SELECT round(corr(a, b), 6) AS spearman FROM r""")
 def k12(t: Tables):
-    return rounded(K.spearman(t.read("lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice"), "spearman")
+    return rounded(K.spearman(t.spread(t.read("lineitem").select("l_quantity", "l_extendedprice")), "l_quantity", "l_extendedprice"), "spearman")
 
 
 @query("w05_score_groups", f"{SCORED}, {GROUPS_SQL} SELECT regime, model, score, pos, neg, tot, dense_rank() OVER (PARTITION BY regime, model ORDER BY score DESC) - 1 AS score_group FROM sg")
@@ -588,7 +588,7 @@ SITES_SQL = ERRORS_SQL + """, se AS (SELECT regime, model, error_type, site_key_
     sr AS (SELECT *, CAST(sum(errors) OVER (PARTITION BY regime, model, error_type) AS BIGINT) AS total_errors,
       round(errors / sum(errors) OVER (PARTITION BY regime, model, error_type), 6) AS share,
       'SITE-' || upper(substr(sha256('P3_14_SITE_V1|' || site_key_private), 1, 12)) AS anonymous_site,
-      CAST(row_number() OVER (PARTITION BY regime, model, error_type ORDER BY errors DESC, site_key_private) AS INTEGER) AS site_rank FROM se)"""
+      row_number() OVER (PARTITION BY regime, model, error_type ORDER BY errors DESC, site_key_private) AS site_rank FROM se)"""
 
 
 @query("e10_w07_site_errors", f"{SITES_SQL} SELECT * FROM sr")
@@ -597,7 +597,7 @@ def e10(t: Tables):
     return rounded(E.contributor_rank(sites, EXP, "site_key_private"), "share")
 
 
-@query("e11_o07_top_sites", f"{SITES_SQL} SELECT * EXCLUDE (site_key_private) FROM sr WHERE site_rank <= 10")
+@query("e11_o07_top_sites", f"{SITES_SQL} SELECT * EXCLUDE (site_key_private) REPLACE (CAST(site_rank AS INTEGER) AS site_rank) FROM sr WHERE site_rank <= 10")
 def e11(t: Tables):
     return rounded(E.top_sites(E.site_errors(_errors(t), EXP, "site_key_private"), EXP, "site_key_private"), "share")
 

@@ -80,6 +80,14 @@ def test_hash_ordinal_is_dense_per_stratum(rows):
         assert sorted(g["ordinal"]) == list(range(len(g))) and set(g["n"]) == {len(g)}
 
 
+def test_missing_labels_are_a_stratum(rows):
+    some = rows.withColumn("label", F.when(F.col("id") % 4 != 0, F.col("label")))
+    counts = {(r["label"], r["partition"]): r["count"] for r in
+              splits.split_stratified(some, "id", "label", 42).groupBy("label", "partition").count().collect()}
+    assert counts[(None, "train")] == 350 and counts[(None, "test")] == 75
+    assert ranking.cap_rank(some, ["label"], ["id"]).count() == 2000
+
+
 def test_size_statistics_golden(spark):
     sizes = [("a", 1), ("b", 1), ("c", 2), ("d", 4)]
     df = spark.createDataFrame([(0, k) for k, n in sizes for _ in range(n)], "label int, site string")
