@@ -12,11 +12,14 @@ from siteval.operators import ranking as R
 from siteval.operators import splits as S
 from siteval.operators.attribution import largest_change, set_overlap
 from siteval.operators.parsing import with_template_keys
+from siteval.plans.corpus import build_corpus
 from siteval.plans.queries_urls import TEMPLATES_SQL
 from siteval.plans.registry import query
 from siteval.plans.tables import (CAPTURES_SQL, GROUPED_SQL, LEDGER_SQL, ORDERS_SQL, PAGES_SQL, PARSED_SQL, RANKED_SQL,
                                   SEEDS, Tables, sql_h60)
 from siteval.sources import normalize as N
+from siteval.sources import readers as SR
+from siteval.sources import sinks as SK
 from siteval.sources.readers import CANONICAL_COLUMNS
 
 r6 = lambda c: F.round(c, 6).alias(c) if isinstance(c, str) else F.round(c, 6)
@@ -509,6 +512,15 @@ def sp16(t: Tables):
     return S.dedup(eligible_rows(t), "normalized_url_hash", ["label", "site_key_private", "record_id"]).drop("normalized_url_hash")
 
 
+@query("sp16_build_corpus", f"""{QUARANTINE_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY label, site_key_private, record_id) AS i FROM kept),
+    c AS (SELECT *, row_number() OVER (PARTITION BY label, site_key_private ORDER BY h) AS j FROM d WHERE i = 1) SELECT record_id, label, site_key_private FROM c WHERE j <= 5""")
+def sp16c(t: Tables):
+    """Union, parse, quarantine, dedup and cap as one plan."""
+    raw = t.urls()
+    halves = [raw.where(F.col("record_id") % 2 == r) for r in (0, 1)]
+    return build_corpus(halves, t.rules, caps=(5,))["cap5"].select("record_id", "label", "site_key_private")
+
+
 @query("sp17_composite_dedup", f"WITH {CAPTURES_SQL} SELECT DISTINCT site, urlkey, status FROM captures")
 def sp17(t: Tables):
     return t.captures().select("site", "urlkey", "status").dropDuplicates(["site", "urlkey", "status"])
@@ -599,6 +611,79 @@ def s01(t: Tables):
     return t.read("orders").where(F.col("o_totalprice") > 100000).select("o_orderkey", "o_orderstatus")
 
 
+def _csv(t: Tables, df, codec: str | None = None, header: bool = True) -> str:
+    path = t.scratch("csv")
+    writer = df.write.option("header", header)
+    (writer.option("compression", codec) if codec else writer).csv(path)
+    return path
+
+
+@query("s02_csv_bz2", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+def s02(t: Tables):
+    df = t.read("orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return SR.read_csv(t.spark, _csv(t, df, "bzip2"), df.schema)
+
+
+@query("s07_csv_sink_columns", "SELECT o_orderkey, o_orderpriority FROM orders")
+def s07(t: Tables):
+    df, path = t.read("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), t.scratch("csv")
+    SK.write_table(df, path)
+    return SR.read_csv(t.spark, path, df.schema, ["o_orderkey", "o_orderpriority"])
+
+
+@query("s03_ranked_list", f"WITH {RANKED_SQL} SELECT rank, lower(domain) AS domain FROM ranked WHERE rank BETWEEN 100 AND 700")
+def s03(t: Tables):
+    return SR.read_ranked_list(t.spark, _csv(t, t.ranked(), header=False), 100, 700)
+
+
+@query("s04_corpus_jsonl", "SELECT 'r' || page_id AS combined_row_id, url AS raw_url FROM pages")
+def s04(t: Tables):
+    path = t.scratch("jsonl")
+    rows = t.read("pages").select(F.concat(F.lit("r"), "page_id").alias("combined_row_id"), F.col("url").alias("raw_url"))
+    rows.write.json(path)
+    return SR.read_corpus_jsonl(t.spark, path).select("combined_row_id", "raw_url")
+
+
+@query("s05_crawl_index", f"""WITH {CAPTURES_SQL} SELECT CAST(site AS VARCHAR) AS site_frame_id, 'CC-1' AS crawl_id, urlkey, crawl_timestamp, status, mime,
+    mime AS mime_detected, CAST(record_id AS VARCHAR) AS record_id, 'f' || site AS warc_filename FROM captures""")
+def s05(t: Tables):
+    path = t.scratch("crawl")
+    c = t.captures().select(
+        F.col("site").cast("string").alias("site_frame_id"), "urlkey", F.col("crawl_timestamp").alias("timestamp"), "status", "mime",
+        F.col("mime").alias("mime-detected"), F.col("record_id").cast("string").alias("recordid"), F.concat(F.lit("f"), "site").alias("filename"))
+    c.write.json(path)
+    return SR.read_crawl_index(t.spark, path, "CC-1").select(
+        "site_frame_id", "crawl_id", "urlkey", "crawl_timestamp", "status", "mime", "mime_detected", "record_id", "warc_filename")
+
+
+@query("s08_chunk_sink", f"WITH {CAPTURES_SQL} SELECT CAST(site AS INTEGER) AS site, urlkey, record_id FROM captures")
+def s08(t: Tables):
+    path = t.scratch("chunks")
+    SK.write_chunks(t.captures().select("site", "urlkey", "record_id"), path, "site")
+    return t.spark.read.schema("urlkey string, record_id bigint, site int").json(path)
+
+
+@query("s09_summary_sink", """SELECT '{"n":' || count(*) || ',"status":"' || o_orderstatus || '"}' AS doc FROM orders GROUP BY o_orderstatus""")
+def s09(t: Tables):
+    path = t.scratch("summary")
+    SK.write_summary(t.read("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n")), path)
+    return t.spark.read.text(path).toDF("doc")
+
+
+@query("s11_s12_i01_registered_inputs", """SELECT 'E' || (o_orderkey % 3) AS experiment_id, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""")
+def s12(t: Tables):
+    """Written inputs, registered by digest and row count, loaded in one scan."""
+    root, o, entries = t.scratch("registered"), t.read("orders"), None
+    for i in range(3):
+        part = o.where(F.col("o_orderkey") % 3 == i).select("o_orderkey")
+        part.coalesce(1).write.option("header", True).csv(f"{root}/E{i}")
+        seen = SR.digest_files(t.spark, f"{root}/E{i}/*.csv").select(
+            "path", F.lit(f"E{i}").alias("experiment_id"), "sha256", F.lit(part.count()).cast("bigint").alias("rows"))
+        entries = seen if entries is None else entries.unionByName(seen)
+    rows = SR.load_registered(t.spark, entries, "o_orderkey bigint")
+    return rows.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
 # ---------------------------------------------------------------- joins
 
 @query("j01_one_to_one", "SELECT doc_id, source, quality FROM documents JOIN labels USING (doc_id)")

@@ -15,6 +15,8 @@ from siteval.operators import models as M
 from siteval.operators import ranking as R
 from siteval.operators import splits as S
 from siteval.operators import tfidf as TF
+from siteval.plans.corpus import assign_regime
+from siteval.plans.experiment import run_ablation, run_experiment
 from siteval.plans.queries_corpus import BANDS, _BAND_SQL, rounded
 from siteval.plans.queries_urls import ERROR_PROPS_SQL, FEATURES_SQL
 from siteval.plans.registry import query
@@ -344,6 +346,40 @@ def m14(t: Tables):
     return M.repeat_check(run, ["id"]).select("rows", "label_changes", "within")
 
 
+def _url_experiment(t: Tables, regime: str = "C"):
+    """Web pages with features, split by regime; parsed and split once."""
+    rows = R.checkpointed(url_features(t.pages()).withColumn("url_text", F.col("raw_url")))
+    return R.checkpointed(assign_regime(rows, regime, 42, "page_id"))
+
+
+_SMALL = {"M1": {"C": [0.1]}, "M2": {"learning_rate": [0.1], "max_iter": [3], "max_leaf_nodes": [7]},
+          "M3": {"C": [1.0], "max_features": [500]}}
+
+
+@query("m09_m11_run_experiment")
+def m11(t: Tables):
+    """Search, freeze, gate, refit and score on the site-disjoint split."""
+    out = run_experiment(_url_experiment(t), t.scratch("experiment"), "C", 42, grids=_SMALL, key="page_id", text="url_text")
+    return out.metrics.select("regime", "variant", "model_id", "tn", "fp", "fn", "tp")
+
+
+@query("m12_run_ablation")
+def m12(t: Tables):
+    rows = _url_experiment(t)
+    grids = {"M1": {"C": [0.1]}}
+    args = dict(grids=grids, key="page_id", text="url_text")
+    full = run_experiment(rows, t.scratch("full"), "C", 42, **args)
+    return run_ablation(rows, t.scratch("ablation"), "AB4", full.metrics, 42, **args).select("feature_set", "model_id")
+
+
+@query("m13_baselines")
+def m13(t: Tables):
+    rows = _url_experiment(t, "A")
+    train, test = rows.where("partition = 'train'"), rows.where("partition = 'test'")
+    parts = [M.score(M.fit_baseline(k, train), test, ["page_id", "label"]).withColumn("model_id", F.lit(k)) for k in ("B1", "B2")]
+    return parts[0].unionByName(parts[1]).select("page_id", "label", "model_id", "predicted")
+
+
 # ---------------------------------------------------------------- attribution
 
 @query("a01_compare_coefficients", f"""WITH {COEFFICIENTS_SQL}, j AS (SELECT a.token AS feature, a.coefficient AS ca, c.coefficient AS cc FROM coefficients a JOIN coefficients c

@@ -7,6 +7,7 @@ The text is plain SQL, read by Spark and by the oracle alike.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from siteval.functions.hashing import h60, unit
 from siteval.operators.parsing import parse_urls
+from siteval.operators.ranking import ensure_checkpoint_dir, ordinal
 from siteval.operators.suffixes import SuffixRules, compile_rules
 
 # (rule, kind, section)
@@ -71,6 +73,11 @@ class Tables:
         cores = self.spark.sparkContext.defaultParallelism
         return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
+    def scratch(self, name: str) -> str:
+        """A new path in the shared checkpoint folder."""
+        ensure_checkpoint_dir(self.spark)
+        return f"{self.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
     @cached_property
     def rule_rows(self) -> DataFrame:
         return self.spark.createDataFrame(RULES, "rule string, kind string, section string")
@@ -165,7 +172,6 @@ class Tables:
 
     def ranked(self) -> DataFrame:
         """Ranked list: customers by balance."""
-        from siteval.operators.ranking import ordinal
         c = self.read("customer").select("c_custkey", F.col("c_name").alias("domain"), "c_acctbal")
         c = ordinal(c, [F.desc("c_acctbal"), F.asc("c_custkey")], "_r")
         return c.select((F.col("_r") + 1).cast("int").alias("rank"), "domain")
