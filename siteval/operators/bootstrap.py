@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siteval.functions.hashing import LANES, digest, h60, hex_lane
 from siteval.functions.stats import confusion_cells, confusion_metrics
-from siteval.operators.joins import salted_join
+from siteval.operators.joins import hot_key_join
 from siteval.operators.metrics import areas
 from siteval.operators.ranking import checkpointed, hash_ordinal, prefix_within, shuffle_width, value_ranges
 
@@ -118,7 +118,8 @@ def score_rows(pred: DataFrame, cluster_table: DataFrame, by: list[str], site: s
     """Site × tied score: positives, totals, score range and chunk."""
     per = pred.groupBy(*by, site, score).agg(
         F.sum(label).cast("bigint").alias("pos"), F.count(F.lit(1)).alias("tot"))
-    numbered = salted_join(per, cluster_table.select(*by, site, "class", "ordinal", "rows"), [*by, site], "inner")
+    side = cluster_table.select(*by, site, "class", "ordinal", "rows", F.col("rows").alias("_count"))
+    numbered = hot_key_join(per, side, [*by, site], "_count", [score])
     chunks = F.ceil(F.col("rows") / CHUNK_ROWS).cast("int")
     numbered = numbered.withColumn("chunk", F.pmod(F.xxhash64(score), chunks).cast("int")).drop("rows", site)
     return value_ranges(numbered, score, "_range")

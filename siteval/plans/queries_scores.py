@@ -20,6 +20,7 @@ from siteval.plans.experiment import run_ablation, run_experiment
 from siteval.plans.queries_corpus import BANDS, _BAND_SQL, rounded
 from siteval.plans.queries_urls import ERROR_PROPS_SQL, FEATURES_SQL
 from siteval.plans.registry import query
+from siteval.sources.sinks import write_replicates
 from siteval.plans.tables import (COEFFICIENTS_SQL, ORDERS_SQL, PHI_SQL, Tables, scored_sql, sql_h60, sql_unit)
 
 EXP = ["regime", "model"]
@@ -216,6 +217,13 @@ def b10(t: Tables):
     return B.completeness(B.assert_complete(v, EXP, REPS), EXP, REPS)
 
 
+@query("s13_replicate_sink", f"""{PURE}, {REPLICATE_SQL} SELECT model, replicate, 'mcc' AS metric, round({_MCC}, 6) AS value, regime AS experiment_id FROM rc""")
+def s13(t: Tables):
+    path = t.scratch("replicates")
+    write_replicates(mcc_long(t).withColumnRenamed("regime", "experiment_id"), path)
+    return rounded(t.spark.read.schema("model string, replicate int, metric string, value double, experiment_id string").parquet(path), "value")
+
+
 @query("b11_replay_check")
 def b11(t: Tables):
     saved = R.checkpointed(mcc_long(t))
