@@ -143,7 +143,8 @@ class Tables:
 
     def phi(self) -> DataFrame:
         """Attributions of both regimes per order line and feature."""
-        li = self.read("lineitem")
+        li = self.spread(self.read("lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"))
         key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         feats = ["l_quantity", "l_discount", "l_tax"]
         cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in feats])).alias("c")
