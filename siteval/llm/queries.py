@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siteval.llm import bpe_codec, secrets, token_counts, token_files
+from siteval.llm import bpe_codec, mixing, quality, secrets, token_counts, token_files
 from siteval.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,46 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_mix_sources"] = r"""
+WITH sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(sha256('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+src AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
+         row_number() OVER (ORDER BY encode(source) NULLS LAST) AS rnk
+  FROM sizes GROUP BY source),
+weighed AS (SELECT *, (rnk - 1) % 3 + 1 AS weight FROM src),
+level AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+         sum(weight) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS rest,
+         sum(source_size) OVER ()::BIGINT AS total
+  FROM weighed),
+lam AS (SELECT *, (total - before)::DOUBLE / rest AS lam FROM level),
+fin AS (SELECT min_by(lam, before) AS final FROM lam WHERE cap > weight * lam),
+targets AS (
+  SELECT source, source_size, least(cap::DOUBLE, coalesce(weight * (SELECT final FROM fin), cap::DOUBLE)) AS target FROM lam),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target)::BIGINT AS quota,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(start + size, quota) - start)
+        + greatest(0, least(source_size + start + size, quota) - source_size - start)
+        + greatest(0, least(2 * source_size + start + size, quota) - 2 * source_size - start))::BIGINT AS taken
+FROM placed
+"""
