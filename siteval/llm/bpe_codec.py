@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteval.llm.common import text_of
+from siteval.llm.common import map_texts, text_of
 from siteval.llm.tokens import WORD_START, Bpe, bpe
 
 LEAF = 65_536
@@ -165,31 +165,24 @@ def encode_long(texts: DataFrame, tokenizer: str, leaf: int = LEAF, window: int
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-                  leaf: int = LEAF, window: int = WINDOW) -> DataFrame:
-    """doc id, n_tokens and the digests of ids and of the decoded text."""
+                  leaf: int = LEAF, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """doc id, n_tokens, the digests of ids and of the decoded text, and the ids if asked for."""
     docs = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
-    def code(batches):
+    def rows(enc: Bpe, ids: list[list[int]]) -> list[list]:
+        return [[len(i) for i in ids], *digest(enc, ids), *([ids] if with_ids else [])]
+
+    def start():
         enc = bpe(tokenizer)
-        for b in batches:
-            ids = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode_texts(b["_text"].tolist())]
-            coded, text = digest(enc, ids)
-            yield pd.DataFrame({id_col: b[id_col], "n_tokens": [len(i) for i in ids], "ids_sha256": coded,
-                                "decoded_sha256": text})
+        return lambda texts: rows(enc, [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode_texts(texts)])
 
-    def finish(batches):
+    def finish():
         enc = bpe(tokenizer)
-        for b in batches:
-            ids = [(np.frombuffer(x, "<u4") & _IDS).tolist() for x in b["_ids"]]
-            coded, text = digest(enc, ids)
-            yield pd.DataFrame({"_key": b["_key"], "n_tokens": [len(i) for i in ids], "ids_sha256": coded,
-                                "decoded_sha256": text})
+        return lambda coded: rows(enc, [(np.frombuffer(x, "<u4") & _IDS).tolist() for x in coded])
 
-    short = docs.where(F.length("_text") <= leaf).mapInPandas(code, f"`{id_col}` {kind}, {fields}")
+    short = map_texts(docs.where(F.length("_text") <= leaf), [id_col], fields, start)
     long = docs.where(F.length("_text") > leaf).withColumn("_key", F.sha2("_text", 256))
-    coded = encode_long(long.select("_key", "_text"), tokenizer, leaf, window).mapInPandas(
-        finish, f"_key string, {fields}")
+    coded = map_texts(encode_long(long.select("_key", "_text"), tokenizer, leaf, window), ["_key"], fields, finish, "_ids")
     joined = long.select(id_col, "_key").join(coded, "_key").drop("_key")
     return short.unionByName(joined.select(short.columns))

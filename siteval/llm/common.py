@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siteval.operators.ranking import ensure_checkpoint_dir
 
@@ -30,3 +33,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(),
+         "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
+
+
+def map_texts(df: DataFrame, keep: list[str], fields: str, start: Callable[[], Callable[[list], list[list]]],
+              text_col: str = "_text") -> DataFrame:
+    """The columns ``keep`` as they are, and new ones made of each batch's texts.
+
+    ``start`` runs once per task and returns the function from texts to one
+    list per new field.
+    """
+    new = StructType.fromDDL(fields)
+    kinds = [ARROW[f.dataType.simpleString()] for f in new.fields]
+    names = [*keep, *new.names]
+
+    def run(batches):
+        make = start()
+        for b in batches:
+            made = make(b.column(text_col).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(k) for k in keep] + [pa.array(v, type=t) for v, t in zip(made, kinds)], names=names)
+
+    return df.mapInArrow(run, StructType([*df.select(*keep).schema.fields, *new.fields]))

@@ -18,11 +18,10 @@ import math
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteval.llm.common import text_of
+from siteval.llm.common import map_texts, text_of
 
 # Fixed values of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -119,20 +118,20 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """Counts, digest and spans of every whole text."""
     docs = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def find(batches):
+    def start():
         skip = _allow(allowed)
-        for b in batches:
-            rows = [scan(t, rules, skip) for t in b["_text"]]
+
+        def find(texts):
+            rows = [scan(t, rules, skip) for t in texts]
             base = [[x for x in r if x[1] < 3] for r in rows]
-            yield pd.DataFrame({
-                id_col: b[id_col], **{f"n_{k}": [sum(x[1] == i for x in r) for r in rows] for i, k in enumerate(KINDS)},
-                "base_sha256": [hashlib.sha256(spelled(r).encode()).hexdigest() for r in base],
-                "spans": [spelled(r) for r in rows]})
+            return [*([sum(x[1] == i for x in r) for r in rows] for i in range(len(KINDS))),
+                    [hashlib.sha256(spelled(r).encode()).hexdigest() for r in base], [spelled(r) for r in rows]]
+
+        return find
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.mapInPandas(find, f"`{id_col}` {kind}, {counts}, base_sha256 string, spans string")
+    return map_texts(docs, [id_col], f"{counts}, base_sha256 string, spans string", start)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
@@ -153,10 +152,9 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules=ENTROPY_RULES,
            allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """All rows and columns, with secrets of the text replaced; null stays null."""
-    def hide(batches):
+    def start():
         skip = _allow(allowed)
-        for b in batches:
-            yield b.assign(**{text_col: [None if t is None else redacted(t, scan(t, rules, skip), mark)
-                                         for t in b[text_col]]})
+        return lambda texts: [[None if t is None else redacted(t, scan(t, rules, skip), mark) for t in texts]]
 
-    return docs.mapInPandas(hide, docs.schema)
+    rest = [c for c in docs.columns if c != text_col]
+    return map_texts(docs, rest, f"`{text_col}` string", start, text_col).select(*docs.columns)

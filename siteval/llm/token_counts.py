@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteval.llm.common import text_of
+from siteval.llm.common import map_texts, text_of
 from siteval.llm.tokens import bpe
 from siteval.operators.ranking import checkpointed
 
@@ -34,17 +34,11 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         raise ValueError("an overlap takes at most half a chunk")
     docs = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
     docs = docs.withColumn("n_bytes", F.octet_length("_text").cast("long"))
-    kept = docs.schema[id_col].dataType.simpleString()
-    short = docs.where(F.length("_text") <= chunk)
-
-    def count(batches):
+    def start():
         enc = bpe(tokenizer)
-        for b in batches:
-            ids = enc.encode_texts(b["_text"].tolist())
-            yield pd.DataFrame({id_col: b[id_col], "n_bytes": b["n_bytes"],
-                                "n_tokens": [len(i) // enc.dtype.itemsize for i in ids]})
+        return lambda texts: [[len(i) // enc.dtype.itemsize for i in enc.encode_texts(texts)]]
 
-    counted = short.mapInPandas(count, f"`{id_col}` {kept}, n_bytes long, n_tokens long")
+    counted = map_texts(docs.where(F.length("_text") <= chunk), [id_col, "n_bytes"], "n_tokens long", start)
     long = docs.where(F.length("_text") > chunk).withColumn("_key", F.sha2("_text", 256))
     totals = _count_long(long.select("_key", "_text"), tokenizer, chunk, overlap)
     joined = long.select(id_col, "n_bytes", "_key").join(totals, "_key").select(id_col, "n_bytes", "n_tokens")
