@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siteval.llm import bpe_codec, mixing, ngram_join, quality, secrets, token_counts, token_files
+from siteval.llm import bpe_codec, mixing, near_dup, ngram_join, quality, secrets, token_counts, token_files
 from siteval.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -94,3 +99,42 @@ SELECT doc_id, size, source_size, target,
         + greatest(0, least(2 * source_size + start + size, quota) - 2 * source_size - start))::BIGINT AS taken
 FROM placed
 """
+
+ORACLES["op1_embedding_near_dedup"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN least c ON c.id = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+"""
+
+ORACLES["op10_ngram_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM words),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)),
+reach(id, root) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least ON id = doc_id
+"""
