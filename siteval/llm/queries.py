@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siteval.llm import bpe_codec, fingerprints, mixing, near_dup, ngram_join, quality, secrets, token_counts, token_files
+from siteval.llm import bpe_codec, fingerprints, html_text, mixing, near_dup, ngram_join, quality, secrets, token_counts, token_files
 from siteval.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.main_texts(pages, html_text.learn(pages))
+
+
 @query
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-files")
