@@ -214,10 +214,11 @@ def tile_links(pairs: DataFrame, axes: dict[int, np.ndarray], threshold: float)
                 shift = 0 if same else len(ids)
                 tree = forest(len(ids) + (0 if same else len(other)), i, j + shift)
                 every = ids if same else np.concatenate([ids, other])
-                counted = [(k, None, n) for k, n in zip(ids[ni > 0], ni[ni > 0])]
-                counted += [(k, None, n) for k, n in zip(other[nj > 0], nj[nj > 0])]
-                yield pd.DataFrame([*counted, *((every[s], every[t], None) for s, t in tree)],
-                                   columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "Int64"})
+                counted = [pd.DataFrame({"a": k[n > 0], "b": pd.array([None] * int((n > 0).sum()), "Int64"),
+                                         "n": pd.array(n[n > 0], "Int64")}) for k, n in ((ids, ni), (other, nj))]
+                edges = np.array(tree, dtype=np.int64).reshape(-1, 2)
+                yield pd.concat([*counted, pd.DataFrame({"a": every[edges[:, 0]], "b": pd.array(every[edges[:, 1]], "Int64"),
+                                                         "n": pd.array([None] * len(edges), "Int64")})])
 
     return pairs.mapInPandas(compare, "a long, b long, n long")
 
