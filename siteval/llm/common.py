@@ -22,6 +22,11 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The given columns beside the whole row as ``_row``, whatever names it has."""
+    return docs.select(*[c.alias(n) for n, c in columns.items()], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)

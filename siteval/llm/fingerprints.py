@@ -207,7 +207,8 @@ def in_order_with_next(docs: DataFrame, parts: int) -> DataFrame:
 
     The range bounds are constants, so a task that runs again sees the same.
     """
-    points = docs.where("_id is not null").stat.approxQuantile("_id", [i / parts for i in range(1, parts)], 1 / (4 * parts))
+    shares = [i / parts for i in range(1, max(2, parts))]
+    points = docs.where("_id is not null").stat.approxQuantile("_id", shares, 1 / (4 * parts)) or [0.0]
     splits = [-float("inf"), *sorted(set(points)), float("inf")]
     docs = docs.withColumn("_at", F.coalesce(F.col("_id").cast("double"), F.lit(-float("inf"))))
     placed = Bucketizer(splits=splits, inputCol="_at", outputCol="_b").transform(docs)

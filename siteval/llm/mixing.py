@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteval.functions.hashing import HASH_BITS, h60
-from siteval.llm.common import text_of, written
+from siteval.llm.common import packed, text_of, written
 from siteval.operators.joins import join_null_safe
 
 WEIGHTS = (1, 2, 3)
@@ -143,8 +143,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     """The documents that the mix takes, once for each time that at least half
     of their words are taken in a round."""
     plan = mix(docs, weights, repeats, block)
-    copies = plan.where("size > 0").groupBy("doc_id").agg(
+    copies = plan.where("size > 0").groupBy(F.col("doc_id").alias("_id")).agg(
         F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies"))
-    same = join_null_safe(docs, copies.where("_copies > 0"), "doc_id")
-    again = same.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return again.select(*docs.columns)
+    rows = join_null_safe(packed(docs, _id=F.col("doc_id")), copies.where("_copies > 0"), "_id")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
