@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteval.functions.urls import url_clean
+
 # Predictor names in model order.
 FEATURES = [
     "url_length", "hostname_length", "path_length", "query_length", "path_depth",
@@ -28,6 +30,9 @@ ABLATION_KEEPS = {
 }
 
 
+ABLATIONS = [*ABLATION_DROPS, *ABLATION_KEEPS]
+
+
 def ablation_features(ablation: str | None) -> list[str]:
     if ablation is None:
         return list(FEATURES)
@@ -40,6 +45,11 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def _stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.coalesce(url_clean(text), F.lit(""))
+
+
 def _flag(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False)).cast("int")
 
@@ -64,8 +74,8 @@ def char_entropy(text: Column) -> Column:
 
 def url_features(df: DataFrame, raw: str = "raw_url") -> DataFrame:
     """Add the 22 predictors to a parsed table."""
-    text = F.trim(_text(raw))
-    host, path, query = _text("hostname_ascii"), _text("path"), _text("query")
+    text = _stripped(_text(raw))
+    host, path, query = _text("hostname_ascii"), _stripped(_text("path")), _stripped(_text("query"))
     sub, scheme = _text("subdomain"), _text("scheme")
     explicit = F.contains(text, F.lit("://"))
     scheme = F.when((scheme == "") & explicit, F.lower(F.substring_index(text, "://", 1))).otherwise(scheme)

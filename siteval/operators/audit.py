@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siteval.functions.hashing import digest
 from siteval.functions.stats import ratio
-from siteval.operators.joins import salted_join
+from siteval.operators.joins import skew_join
 from siteval.operators.ranking import first_per_group
 
 
@@ -50,7 +50,7 @@ def conflict_rows(df: DataFrame, key: str, label: str) -> DataFrame:
     """Rows of keys that carry both labels."""
     keys = (df.groupBy(key).agg(F.min(label).alias("lo"), F.max(label).alias("hi"))
             .where("lo < hi").select(key))
-    return salted_join(df, keys, key, "left_semi")
+    return skew_join(df, keys, key, "left_semi")
 
 
 def mixed_groups(df: DataFrame, key: str, label: str, source: str) -> DataFrame:

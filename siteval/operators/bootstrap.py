@@ -2,32 +2,30 @@
 
 Rows are first reduced to one row of confusion cells per site.  A draw picks
 a site's number from a hash, so replicates are generated where the clusters
-are and are summed per replicate before anything is shuffled.
+are.  The draws of a site are then packed: one row holds the numbers of all
+replicates of a block that drew it.  Everything after works on these rows with
+arrays over the block, so a replicate costs a few bytes of shuffle per site.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from siteval.functions.hashing import LANES, digest, h60, hex_lane
-from siteval.functions.stats import confusion_cells, confusion_metrics
+from siteval.functions.stats import confusion_cells, confusion_metrics, ratio
 from siteval.operators.joins import hot_key_join
-from siteval.operators.metrics import areas
-from siteval.operators.ranking import checkpointed, hash_ordinal, prefix_within, shuffle_width, value_ranges
+from siteval.operators.ranking import checkpointed, hash_ordinal, shuffle_width, value_ranges
 
-# Cluster tables up to this many rows (five numbers each) are broadcast.
-BROADCAST_CLUSTERS = 1_000_000
-# Score rows of one site met by one task; larger sites are cut into chunks.
-CHUNK_ROWS = 100_000
+REPLICATES = 2_000
+BLOCK = 256  # replicates worked on together
 RANK_METRICS = ("pr_auc", "roc_auc")
 THRESHOLD_METRICS = ("mcc", "precision", "recall", "specificity", "fpr", "balanced_accuracy", "macro_f1")
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def stream_id(by: list[str], purpose: str) -> Column:
     """Identity of the random stream of an experiment and purpose."""
     return digest(*[F.col(c) for c in by], purpose)
@@ -93,70 +91,183 @@ def draw_clusters(cluster_table: DataFrame, by: list[str], reps: int, seed: int)
             .agg(F.count(F.lit(1)).alias("multiplicity")))
 
 
-def _meet(drawn: DataFrame, cluster_table: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    side = cluster_table.select(*by, "class", "ordinal", *cols)
-    if fits(side, BROADCAST_CLUSTERS):
-        side = F.broadcast(side)
-    return drawn.join(side, [*by, "class", "ordinal"], "inner")
+def packed_draws(drawn: DataFrame, by: list[str]) -> DataFrame:
+    """by, class, ordinal, _rb and _lanes: the replicates of a block that drew
+    the site, one entry per draw.  Accepts single draws or multiplicities."""
+    lane = F.pmod(F.col("replicate"), F.lit(BLOCK)).cast("int")
+    lanes = F.flatten(F.collect_list(F.array_repeat(lane, F.col("multiplicity").cast("int")))) \
+        if "multiplicity" in drawn.columns else F.collect_list(lane)
+    block = F.floor(F.col("replicate") / BLOCK).cast("int").alias("_rb")
+    return drawn.groupBy(*by, "class", "ordinal", block).agg(lanes.alias("_lanes"))
+
+
+def _weights(lanes: pd.Series) -> np.ndarray:
+    """Rows x block: how often each replicate drew the row's site."""
+    sizes = lanes.map(len).to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    flat = np.concatenate(lanes.to_list()) if len(row) else np.zeros(0, np.int64)
+    return np.bincount(row * BLOCK + flat, minlength=len(sizes) * BLOCK).reshape(-1, BLOCK).astype(np.float64)
+
+
+def _array_schema(df: DataFrame, keys: list[str], names: list[str]) -> StructType:
+    return StructType([df.schema[k] for k in keys] + [StructField(n, ArrayType(DoubleType())) for n in names])
+
 
+def _per_replicate(arrays: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Arrays over blocks (by, _rb) as summed numbers per replicate; replicates
+    that nothing was drawn for are left out."""
+    zipped = F.posexplode(F.arrays_zip(*names)).alias("_lane", "_v")
+    rows = arrays.select(*by, "_rb", zipped).select(
+        *by, (F.col("_rb") * BLOCK + F.col("_lane")).cast("int").alias("replicate"), "_v.*")
+    return rows.groupBy(*by, "replicate").agg(*[F.sum(n).alias(n) for n in names])
 
-def replicate_metrics(drawn: DataFrame, cluster_table: DataFrame, by: list[str]) -> DataFrame:
+
+def replicate_metrics(packed: DataFrame, cluster_table: DataFrame, by: list[str]) -> DataFrame:
     """Weighted confusion and threshold metrics per replicate.
 
-    Accepts single draws or multiplicities; sums are combined map-side, so
-    only (replicate) partial sums are shuffled.
+    Each task sums arrays per experiment and block; only these are shuffled.
     """
-    weight = F.col("multiplicity") if "multiplicity" in drawn.columns else F.lit(1)
-    cells = ("tn", "fp", "fn", "tp")
-    sums = _meet(drawn, cluster_table, by, list(cells)).groupBy(*by, "replicate").agg(
-        *[F.sum(F.col(c) * weight).cast("bigint").alias(c) for c in cells])
-    return sums.withColumns(confusion_metrics(*cells, default=None))
+    cells = ["tn", "fp", "fn", "tp"]
+    met = packed.join(cluster_table.select(*by, "class", "ordinal", *cells), [*by, "class", "ordinal"])
+    names = [*cells, "drawn"]
+
+    def add(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for key, rows in b.groupby([*by, "_rb"]):
+                values = np.vstack([rows[cells].to_numpy(np.float64).T, np.ones(len(rows))])
+                sums[key] = sums.get(key, 0) + values @ _weights(rows["_lanes"])
+        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=[*by, "_rb", *names])
+
+    sums = met.mapInPandas(add, _array_schema(met, [*by, "_rb"], names))
+    wide = _per_replicate(sums, by, names).where("drawn > 0").drop("drawn")
+    wide = wide.withColumns({c: F.col(c).cast("bigint") for c in cells})
+    return wide.withColumns(confusion_metrics(*cells, default=None))
 
 
 def score_rows(pred: DataFrame, cluster_table: DataFrame, by: list[str], site: str, label: str = "label",
                score: str = "score") -> DataFrame:
-    """Site × tied score: positives, totals, score range and chunk."""
+    """Site × tied score: positives, totals and score range."""
     per = pred.groupBy(*by, site, score).agg(
         F.sum(label).cast("bigint").alias("pos"), F.count(F.lit(1)).alias("tot"))
-    side = cluster_table.select(*by, site, "class", "ordinal", "rows", F.col("rows").alias("_count"))
+    side = cluster_table.select(*by, site, "class", "ordinal", F.col("rows").alias("_count"))
     numbered = hot_key_join(per, side, [*by, site], "_count", [score])
-    chunks = F.ceil(F.col("rows") / CHUNK_ROWS).cast("int")
-    numbered = numbered.withColumn("chunk", F.pmod(F.xxhash64(score), chunks).cast("int")).drop("rows", site)
-    return value_ranges(numbered, score, "_range")
+    return value_ranges(numbered.drop(site), score, "_range")
 
 
-def replicate_rank_metrics(drawn: DataFrame, cluster_table: DataFrame, scores: DataFrame, by: list[str],
+def replicate_rank_metrics(packed: DataFrame, cluster_table: DataFrame, scores: DataFrame, by: list[str],
                            score: str = "score") -> DataFrame:
-    """Average precision and ROC area per replicate."""
-    if "multiplicity" not in drawn.columns:
-        drawn = drawn.groupBy(*by, "replicate", "class", "ordinal").agg(F.count(F.lit(1)).alias("multiplicity"))
-    chunks = F.ceil(F.col("rows") / CHUNK_ROWS).cast("int")
-    met = _meet(drawn, cluster_table, by, ["rows"])
-    met = met.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("rows")
-    weighted = met.join(scores, [*by, "class", "ordinal", "chunk"], "inner")
-    groups = weighted.groupBy(*by, "replicate", "_range", score).agg(
-        F.sum(F.col("pos") * F.col("multiplicity")).alias("pos"),
-        F.sum((F.col("tot") - F.col("pos")) * F.col("multiplicity")).alias("neg"),
-        F.sum(F.col("tot") * F.col("multiplicity")).alias("tot"))
-    running = prefix_within(groups, [*by, "replicate"], [F.col(score).desc()], "_range",
-                            {"cum_pos": "pos", "cum_neg": "neg", "cum_tot": "tot"}, descending=True)
-    return areas(running, [*by, "replicate"])
-
-
-def bootstrap(pred: DataFrame, by: list[str], site: str, reps: int, seed: int, rank: bool = True,
+    """Average precision and ROC area per replicate.
+
+    Score rows meet the packed draws of their site once.  A first pass sums
+    every score range; the second walks each range from the highest score down,
+    starting from the totals of the ranges above.  Rows are streamed, so memory
+    is a few arrays over the block.
+    """
+    met = scores.select(*by, "class", "ordinal", "_range", F.col(score).cast("double").alias("_score"), "pos", "tot").join(
+        packed, [*by, "class", "ordinal"]).drop("class", "ordinal")
+    key = [*by, "_rb", "_range"]
+    names = ["_pos", "_tot"]
+
+    def total(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for k, rows in b.groupby(key):
+                sums[k] = sums.get(k, 0) + rows[["pos", "tot"]].to_numpy(np.float64).T @ _weights(rows["_lanes"])
+        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=[*key, *names])
+
+    partial = met.mapInPandas(total, _array_schema(met, key, names))
+
+    def above(pdf: pd.DataFrame) -> pd.DataFrame:
+        # at most one row per range and task
+        pdf = pdf.sort_values("_range", ascending=False)
+        out, so_far = [], np.zeros((2, BLOCK))
+        for r, rows in pdf.groupby("_range", sort=False):
+            out.append((*rows[[*by, "_rb"]].iloc[0], r, *so_far.copy()))
+            so_far = so_far + [np.sum(np.stack(rows[n]), axis=0) for n in names]
+        return pd.DataFrame(out, columns=[*key, *names])
+
+    offsets = partial.groupBy(*by, "_rb").applyInPandas(above, _array_schema(met, key, names))
+    lanes = ArrayType(IntegerType())
+    heads = offsets.withColumns({"_score": F.lit(float("inf")), "pos": F.lit(None).cast("bigint"), "tot": F.lit(None).cast("bigint"),
+                                 "_lanes": F.lit(None).cast(lanes)})
+    body = met.withColumns({n: F.lit(None).cast("array<double>") for n in names})
+    walk = body.unionByName(heads).repartition(*key).sortWithinPartitions(
+        *key, F.col("_pos").isNull(), F.col("_score").desc())
+    results = ["hits", "above", "pos", "neg"]
+
+    def area(batches):
+        at = None  # the open range
+        cum = open_sum = value = sums = None
+
+        def close(pos, tot):
+            """Add whole score groups (rows), highest score first."""
+            nonlocal cum
+            neg = tot - pos
+            upto_pos, upto_tot = cum[0] + np.cumsum(pos, axis=0), cum[1] + np.cumsum(tot, axis=0)
+            share = np.divide(upto_pos, upto_tot, out=np.zeros_like(upto_tot), where=upto_tot > 0)
+            before_neg = upto_tot - tot - (upto_pos - pos)
+            for i, x in enumerate((share * pos, pos * (before_neg + neg / 2), pos, neg)):
+                sums[i] += x.sum(axis=0)
+            cum = np.stack([upto_pos[-1], upto_tot[-1]])
+
+        for b in batches:
+            done = []
+            for k, rows in b.groupby(key, sort=False):
+                if k != at:
+                    if at is not None:
+                        close(*open_sum)
+                        done.append((*at[:-1], *sums))
+                    head, rows = rows.iloc[0], rows.iloc[1:]
+                    at, cum = k, np.stack([head["_pos"], head["_tot"]]).astype(np.float64)
+                    sums, open_sum, value = np.zeros((4, BLOCK)), np.zeros((2, 1, BLOCK)), None
+                if not len(rows):
+                    continue
+                w = _weights(rows["_lanes"])
+                scored = rows["_score"].to_numpy()
+                first = np.flatnonzero(np.append(True, scored[1:] != scored[:-1]))
+                pos, tot = (np.add.reduceat(rows[c].to_numpy(np.float64)[:, None] * w, first, axis=0) for c in ("pos", "tot"))
+                if value is not None and scored[0] == value:  # the score goes on from the batch before
+                    pos[0] += open_sum[0][0]
+                    tot[0] += open_sum[1][0]
+                else:
+                    close(*open_sum)
+                if len(first) > 1:
+                    close(pos[:-1], tot[:-1])
+                open_sum, value = np.stack([pos[-1:], tot[-1:]]), scored[first[-1]]
+            if done:
+                yield pd.DataFrame(done, columns=[*by, "_rb", *results])
+        if at is not None:
+            close(*open_sum)
+            yield pd.DataFrame([(*at[:-1], *sums)], columns=[*by, "_rb", *results])
+
+    parts = walk.select(*key, *names, "_score", "pos", "tot", "_lanes").mapInPandas(area, _array_schema(met, [*by, "_rb"], results))
+    wide = _per_replicate(parts, by, results).where("pos + neg > 0")
+    pos, neg = F.col("pos"), F.col("neg")
+    return wide.select(*by, "replicate", ratio(F.col("hits"), pos, None).alias("pr_auc"),
+                       ratio(pos * neg - F.col("above"), pos * neg, None).alias("roc_auc"))
+
+
+def bootstrap(pred: DataFrame, by: list[str], site: str, reps: int = REPLICATES, seed: int = 42, rank: bool = True,
               label: str = "label", score: str = "score") -> DataFrame:
     """All replicates in long form: by, replicate, metric, value."""
     table = checkpointed(clusters(pred, by, site, label, score))
-    drawn = draws(table, by, reps, seed)
-    wide = replicate_metrics(drawn, table, by)
+    packed = checkpointed(packed_draws(draws(table, by, reps, seed), by))
+    wide = replicate_metrics(packed, table, by)
     names = list(THRESHOLD_METRICS)
     if rank:
         scores = score_rows(pred, table, by, site, label, score)
-        wide = wide.join(replicate_rank_metrics(drawn, table, scores, by, score), [*by, "replicate"], "inner")
+        wide = wide.join(replicate_rank_metrics(packed, table, scores, by, score), [*by, "replicate"], "inner")
         names += RANK_METRICS
     return long_metrics(wide, [*by, "replicate"], names)
 
 
+def with_point_estimates(intervals: DataFrame, metrics: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Intervals beside the value of the undisturbed sample (one row per ``by``)."""
+    points = long_metrics(metrics, by, names).withColumnRenamed("value", "estimate")
+    return intervals.join(points, [*by, "metric"], "inner")
+
+
 def long_metrics(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return wide.unpivot(keys, list(names), "metric", "value")
 

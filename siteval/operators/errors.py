@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from siteval.functions.stats import ratio
 from siteval.functions.urls import anonymous_site
-from siteval.operators.joins import compare_sides, lookup, lookup_count, salted_join
-from siteval.operators.ranking import first_per_group, rank_within
+from siteval.operators.joins import compare_sides, lookup, lookup_count, skew_join
+from siteval.operators.ranking import checkpointed, first_per_group, rank_within
 from siteval.operators.splits import band_of
 
 # Category ids and the rank bands counted as least popular.
@@ -97,10 +97,10 @@ def error_rows(pred: DataFrame, rows: DataFrame, train: DataFrame, thresholds: D
     predictions may carry more (the model).
     """
     wrong = pred.where(F.col(label) != F.col("predicted")).drop(label)
-    wrong = salted_join(wrong, rows, [*by, key], "inner", spread=[key])
+    wrong = wrong.join(rows, [*by, key], "inner")  # one row per id: nothing to spread
     wrong = wrong.withColumn("error_type", F.when(F.col(label) == 0, "FP").otherwise("FN"))
     seen = train_sites(train, by, site).withColumn("_hit", F.lit(True))
-    wrong = salted_join(wrong, seen, [*by, site], "left", spread=[key])
+    wrong = skew_join(wrong, seen, [*by, site], "left")
     wrong = wrong.withColumn("seen_in_train", F.coalesce("_hit", F.lit(False))).drop("_hit")
     wrong = lookup_count(wrong, negative_suffix_counts(train, by, suffix, label), [*by, suffix], "suffix_count")
     # one threshold row per regime: the caller lists the regimes
@@ -171,10 +171,9 @@ def site_errors(errors: DataFrame, by: list[str], site: str) -> DataFrame:
         F.count(F.lit(1)).alias("errors"), F.count_if("uncategorized").alias("uncategorized_errors"),
         *[F.count_if(F.array_contains("categories", n)).alias(f"_{n}") for n in ordered])
     json = F.to_json(F.struct(*[F.col(f"_{n}").alias(n) for n in ordered]))
-    totals = errors.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_errors"))
-    per = per.withColumn("category_json", json).drop(*[f"_{n}" for n in ordered])
-    # one total per experiment and error type, met by already grouped rows
-    per = per.join(totals, keys, "inner")
+    per = checkpointed(per.withColumn("category_json", json).drop(*[f"_{n}" for n in ordered]))
+    # one total per experiment and error type, from the grouped rows
+    per = per.join(per.groupBy(*keys).agg(F.sum("errors").alias("total_errors")), keys, "inner")
     return per.withColumns({"share": F.col("errors") / F.col("total_errors"),
                             "anonymous_site": anonymous_site(F.col(site), SITE_SALT)})
 

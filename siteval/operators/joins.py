@@ -7,29 +7,42 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+HOT_KEYS = 1000
 
 
 def _keys(on) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on, how: str = "left",
-                spread: list[str] | None = None, salts: int = SALTS) -> DataFrame:
-    """Join rows to a table with one row per key.
+def skew_join(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join rows (left, inner, semi or anti) to a table with one row per key.
 
-    ``right`` is repeated once per salt and each left row picks a salt from a
-    hash of its own columns, so the rows of a hot key are met by ``salts``
-    tasks instead of one.  A left row meets exactly one copy, which keeps
-    inner, left, semi and anti joins exact.  Hashing (not ``rand``) makes a
-    re-run task pick the same salts.
+    Keys holding more than a thousandth of the left rows are fewer than a
+    thousand; their right rows are broadcast and answer at once.  The left rows
+    they answered then carry a value of their own in the join key, so they
+    spread over all tasks and match nothing.  No row is repeated, and hot keys
+    take one more count of the left keys.  Where keys are unique on the left,
+    a plain join does.
     """
     on = _keys(on)
-    spread = spread or [c for c, t in left.dtypes if not t.startswith(("map", "variant"))]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how)
-    return joined.drop("_salt")
+    values = [c for c in right.columns if c not in on]
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    often = counts.where(F.col("_n") * HOT_KEYS > total).select(*on)
+    known = right.withColumn("_hit", F.lit(True))
+    answers = often.join(known, on, "left").select(
+        *on, *[F.col(v).alias(f"_hot_{v}") for v in values], F.coalesce("_hit", F.lit(False)).alias("_hot"))
+    marked = left.join(F.broadcast(answers), on, "left")
+    apart = F.when(F.col("_hot").isNotNull(), F.xxhash64(*[F.col(c) for c, t in left.dtypes if not t.startswith(("map", "variant"))]))
+    cold = known.withColumn("_apart", F.lit(0).cast("bigint"))
+    joined = marked.withColumn("_apart", F.coalesce(apart, F.lit(0).cast("bigint"))).join(cold, [*on, "_apart"], "left")
+    hit = F.coalesce("_hot", "_hit", F.lit(False))
+    joined = joined.withColumns({v: F.when(F.col("_hot").isNotNull(), F.col(f"_hot_{v}")).otherwise(F.col(v)) for v in values})
+    if how in ("inner", "left_semi", "left_anti"):
+        joined = joined.where(~hit if how == "left_anti" else hit)
+    elif how != "left":
+        raise ValueError(how)
+    return joined.select(*left.columns, *(values if how in ("left", "inner") else []))
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on, how: str = "inner", broadcast: bool = False) -> DataFrame:
@@ -40,17 +53,13 @@ def join_null_safe(left: DataFrame, right: DataFrame, on, how: str = "inner", br
     return left.join(F.broadcast(side) if broadcast else side, same, how).drop(*[f"_r_{c}" for c in on])
 
 
-HOT_KEYS = 1000
-
-
-def hot_key_join(left: DataFrame, right: DataFrame, on, count: str, spread: list[str],
-                 salts: int = SALTS) -> DataFrame:
+def hot_key_join(left: DataFrame, right: DataFrame, on, count: str, spread: list[str]) -> DataFrame:
     """Left join to a table with one row per key that knows how many left rows
     each key has.
 
     Keys holding more than a thousandth of all rows are fewer than a thousand,
     so they are broadcast and answered at once; their rows then spread over
-    salts that match nothing.  All other rows meet ``right`` by key, and
+    all tasks by values that match nothing.  All other rows meet ``right`` by key, and
     nothing is repeated.
     """
     on = _keys(on)
@@ -59,8 +68,8 @@ def hot_key_join(left: DataFrame, right: DataFrame, on, count: str, spread: list
     hot = right.where(F.col(count) * HOT_KEYS > total)
     hot = hot.select(*on, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_hot"))
     marked = left.join(F.broadcast(hot), on, "left")
-    salt = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int")
-    cold = right.select(*on, *values, F.lit(0).alias("_salt"))
+    salt = F.when(F.col("_hot"), F.xxhash64(*spread)).otherwise(F.lit(0).cast("bigint"))
+    cold = right.select(*on, *values, F.lit(0).cast("bigint").alias("_salt"))
     joined = marked.withColumn("_salt", salt).join(cold, [*on, "_salt"], "left")
     joined = joined.withColumns({v: F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(v)) for v in values})
     return joined.drop("_salt", "_hot", *[f"_hot_{v}" for v in values])
@@ -79,8 +88,8 @@ def join_one_to_one(a: DataFrame, b: DataFrame, key) -> DataFrame:
 
 
 def restrict(df: DataFrame, ids: DataFrame, key) -> DataFrame:
-    """Rows whose key is in ``ids`` (a table of unique keys)."""
-    return salted_join(df, ids.select(*_keys(key)).distinct(), key, "left_semi")
+    """Rows whose key is in ``ids`` (row ids, which repeat on neither side)."""
+    return df.join(ids.select(*_keys(key)), key, "left_semi")
 
 
 def missing_ids(df: DataFrame, ids: DataFrame, key) -> DataFrame:
@@ -97,28 +106,28 @@ def align(tables: list[DataFrame], key) -> DataFrame:
 def flag_seen(rows: DataFrame, seen: DataFrame, key: str, out: str = "seen") -> DataFrame:
     """True where the row's key occurs in ``seen`` at all."""
     keys = seen.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_hit", F.lit(True))
-    return salted_join(rows, keys, key).withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return skew_join(rows, keys, key).withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def remove_keys(rows: DataFrame, bad: DataFrame, key) -> DataFrame:
-    return salted_join(rows, bad.select(*_keys(key)).distinct(), key, "left_anti")
+    return skew_join(rows, bad.select(*_keys(key)).distinct(), key, "left_anti")
 
 
 def assign(rows: DataFrame, mapping: DataFrame, key) -> DataFrame:
     """Attach the columns of a key → value table; unmatched rows keep NULL."""
-    return salted_join(rows, mapping, key, "left")
+    return skew_join(rows, mapping, key, "left")
 
 
 def lookup(rows: DataFrame, dim: DataFrame, keys, what: str = "lookup") -> DataFrame:
     """Composite-key lookup where a missing key is an error."""
-    found = salted_join(rows, dim.withColumn("_found", F.lit(True)), keys, "left")
+    found = skew_join(rows, dim.withColumn("_found", F.lit(True)), keys, "left")
     ok = F.assert_true(F.col("_found").isNotNull(), f"{what}: key not found")
     return found.where(ok.isNull()).drop("_found")
 
 
 def lookup_count(rows: DataFrame, freq: DataFrame, key, count: str) -> DataFrame:
     """Frequency lookup, 0 for keys never counted."""
-    return salted_join(rows, freq, key, "left").withColumn(count, F.coalesce(count, F.lit(0)))
+    return skew_join(rows, freq, key, "left").withColumn(count, F.coalesce(count, F.lit(0)))
 
 
 def compare_sides(df: DataFrame, side: str, values: tuple[str, str], by: list[str],

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from siteval.functions.features import FEATURES
 from siteval.operators import tfidf as tf
-from siteval.operators.joins import salted_join
 from siteval.operators.metrics import classification_metrics
 from siteval.operators.ranking import best_rows
 
@@ -286,4 +285,4 @@ def coefficient_table(model, features: list[str]) -> DataFrame:
 
 
 def with_partition(df: DataFrame, assignment: DataFrame, key: str) -> DataFrame:
-    return salted_join(df, assignment.select(key, "partition"), key, "inner")
+    return df.join(assignment.select(key, "partition"), key, "inner")

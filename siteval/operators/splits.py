@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteval.functions.hashing import digest, h60
-from siteval.operators.joins import remove_keys, salted_join
+from siteval.operators.joins import remove_keys
 from siteval.operators.ranking import checkpointed, cut_by_hash, first_by_hash, first_per_group, place_by_cuts, shuffle_width
 
 PARTITIONS = ("train", "validation", "test")
@@ -172,7 +172,7 @@ def cap_per_group(df: DataFrame, keys: list[str], order: list[str], k: int) -> D
 
 def apply_cap(split: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     """Cap variant of a frozen split: filter only, nothing is split again."""
-    return salted_join(split, kept.select(key).distinct(), key, "left_semi")
+    return split.join(kept.select(key), key, "left_semi")
 
 
 def mixed_keys(df: DataFrame, key: str, label: str) -> DataFrame:

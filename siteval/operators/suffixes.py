@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteval.operators.joins import salted_join
+from siteval.operators.joins import skew_join
 
 # Largest rule table that is broadcast; longer ones are met by salted joins.
 BROADCAST_RULES = 200_000
@@ -96,7 +96,7 @@ def site_keys(df: DataFrame, rules: SuffixRules, host: str = "hostname_ascii",
         if rules.rows <= BROADCAST_RULES:
             df = df.join(F.broadcast(side), key, "left")
         else:
-            df = salted_join(df, side, key, "left", spread=[c for c in df.columns if c[0] != "_"])
+            df = skew_join(df, side, key, "left")
         masks[d] = F.col(mask)
     labels = F.col("_labels")
     df = df.withColumns({"_icann": _longest(masks, labels, 1, 4, 16), "_all": _longest(masks, labels, 3, 12, 48)})

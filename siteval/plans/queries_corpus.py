@@ -741,10 +741,13 @@ def j08(t: Tables):
     return J.lookup_count(t.read("customer").select("c_custkey"), freq, "c_custkey", "n")
 
 
-@query("j13_e13_rank_band", f"WITH {RANKED_SQL} SELECT rank, {_BAND_SQL} AS rank_band FROM ranked WHERE rank <= 1400")
+_ALL_BANDS = [*BANDS, (1401, 1_000_000_000)]
+
+
+@query("j13_e13_rank_band", f"WITH {RANKED_SQL} SELECT rank, coalesce({_BAND_SQL}, '1401-1000000000') AS rank_band FROM ranked")
 def j13(t: Tables):
     from siteval.operators.errors import rank_band
-    return rank_band(t.ranked().where("rank <= 1400").select("rank"), "rank", BANDS)
+    return rank_band(t.ranked().select("rank"), "rank", _ALL_BANDS)
 
 
 @query("j14_reconcile", """WITH a AS (SELECT o_orderstatus AS k, avg(o_totalprice) AS v FROM orders GROUP BY 1),
@@ -848,16 +851,31 @@ def i03(t: Tables):
     return I.check_unique(t.read("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("i04_partitions", """SELECT * FROM (VALUES ('exclusive', 'a row has one partition', CAST(0 AS BIGINT), 'PASS'), ('single', 'a row occurs once', 0, 'PASS'),
-    ('complete', 'every corpus row is assigned', 0, 'PASS'), ('closed', 'no row from outside the corpus', 0, 'PASS')) AS v(check_id, requirement, violations, status)""")
+# Rows that break the rules: some are left out, some occur twice, some come from outside.
+@query("i04_partitions", """WITH v AS (SELECT count_if(o_orderkey % 50 = 7 AND o_orderkey % 40 <> 3) AS twice,
+      count_if(o_orderkey % 40 = 3) AS missing, count_if(o_orderkey % 60 = 11 AND o_orderkey % 40 <> 3) AS outside FROM orders),
+    c AS (SELECT unnest([{'check_id': 'exclusive', 'requirement': 'a row has one partition', 'violations': twice},
+      {'check_id': 'single', 'requirement': 'a row occurs once', 'violations': twice},
+      {'check_id': 'complete', 'requirement': 'every corpus row is assigned', 'violations': missing},
+      {'check_id': 'closed', 'requirement': 'no row from outside the corpus', 'violations': outside}], recursive := true) FROM v)
+    SELECT *, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
 def i04(t: Tables):
-    return I.check_partitions(S.split_stratified(t.orders(), "id", "label", 42), t.orders(), "id")
+    kept = S.split_stratified(t.orders(), "id", "label", 42).where("id % 40 <> 3")
+    twice = kept.where("id % 50 = 7").withColumn("partition", F.lit("extra"))
+    outside = kept.where("id % 60 = 11").withColumn("id", -F.col("id"))
+    return I.check_partitions(kept.unionByName(twice).unionByName(outside), t.orders(), "id")
 
 
-@query("i05_disjoint", """SELECT * FROM (VALUES ('train_validation', 'no key shared by train and validation', CAST(0 AS BIGINT), 'PASS'),
-    ('train_test', 'no key shared by train and test', 0, 'PASS'), ('validation_test', 'no key shared by validation and test', 0, 'PASS')) AS v(check_id, requirement, violations, status)""")
+@query("i05_disjoint", """WITH v AS (SELECT count(DISTINCT o_custkey) FILTER (o_custkey % 30 = 5) AS n FROM orders),
+    c AS (SELECT unnest([{'check_id': 'train_validation', 'requirement': 'no key shared by train and validation', 'violations': n},
+      {'check_id': 'train_test', 'requirement': 'no key shared by train and test', 'violations': n},
+      {'check_id': 'validation_test', 'requirement': 'no key shared by validation and test', 'violations': n}], recursive := true) FROM v)
+    SELECT *, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
 def i05(t: Tables):
-    return I.check_disjoint(S.key_overlap(S.split_group_prefix(t.orders(), "site", 42), "site"))
+    split = S.split_group_prefix(t.orders(), "site", 42)
+    names = F.explode(F.array(*map(F.lit, ("train", "validation", "test")))).alias("partition")
+    everywhere = split.where("site % 30 = 5").drop("partition").select("*", names)
+    return I.check_disjoint(S.key_overlap(split.unionByName(everywhere), "site"))
 
 
 @query("i08_fingerprint", """WITH h AS (SELECT sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS h FROM orders),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteval.functions import urls as U
-from siteval.functions.features import (FEATURES, ablation_features, audit_properties, error_properties,
+from siteval.functions.features import (ABLATIONS, FEATURES, ablation_features, audit_properties, error_properties,
                                         structural_properties, url_features)
 from siteval.functions.hashing import digest, h60
 from siteval.functions.stats import display_pct, label_to_int, mean_sd_text, recode_polarity, split_interval
@@ -247,10 +247,20 @@ def f25(t: Tables):
         "derived_query_parameter_count")
 
 
-@query("p13_ablation_features", f"""{FEATURES_SQL} SELECT record_id, path_depth, subdomain_depth, has_query, has_port,
-    is_root_path FROM features""")
+_SQL_NAME = {"digit_ratio": "digit_ratio0", "char_entropy": "entropy0"}
+
+
+def _sum_sql(names: list[str]) -> str:
+    return "round(0.0::DOUBLE + " + " + ".join(f"{i} * {_SQL_NAME.get(f, f)}" for i, f in enumerate(names, 1)) + ", 4)"
+
+
+# the place of a feature in its set weighs its value, so a wrong, missing or misplaced feature shows
+@query("p13_ablation_features", f"""{FEATURES_SQL} SELECT record_id, {', '.join(
+    f"{_sum_sql(ablation_features(a))} AS {a}" for a in ABLATIONS)} FROM features""")
 def p13(t: Tables):
-    return url_features(t.parsed()).select("record_id", *ablation_features("AB5b"))
+    rows = url_features(t.parsed())
+    return rows.select("record_id", *[
+        F.round(sum((F.lit(i) * F.col(f) for i, f in enumerate(ablation_features(a), 1)), F.lit(0.0)), 4).alias(a) for a in ABLATIONS])
 
 
 # ---------------------------------------------------------------- scalar functions

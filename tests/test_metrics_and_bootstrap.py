@@ -61,28 +61,29 @@ def test_spearman_matches_pandas(pred):
     assert got == pytest.approx(p["score"].rank().corr(p["id"].rank()), abs=1e-12)
 
 
-def test_bootstrap_matches_brute_force(pred, monkeypatch):
+def test_bootstrap_matches_brute_force(pred):
+    reps = B.BLOCK + 4  # two blocks
     table = B.clusters(pred, ["e"], "site")
-    drawn = B.draw_clusters(table, ["e"], 6, 42)
+    drawn = B.draw_clusters(table, ["e"], reps, 42)
     sizes = {r["class"]: r["n"] for r in table.select("class", "n").distinct().collect()}
     for r in drawn.groupBy("replicate", "class").agg(F.sum("multiplicity").alias("m")).collect():
         assert r["m"] == sizes[r["class"]]
     want = drawn.join(table.select("class", "ordinal", "site"), ["class", "ordinal"]).toPandas()
     p = pred.toPandas()
-    monkeypatch.setattr(B, "CHUNK_ROWS", 7)  # cut large sites into many chunks
-    got = B.bootstrap(pred, ["e"], "site", 6, 42).toPandas()
-    for rep in range(6):
+    got = B.bootstrap(pred, ["e"], "site", reps, 42).toPandas()
+    assert len(got) == 9 * reps
+    for rep in (0, 1, 5, B.BLOCK - 1, B.BLOCK, reps - 1):
         w = p["site"].map(want[want["replicate"] == rep].set_index("site")["multiplicity"]).fillna(0)
         values = got[got["replicate"] == rep].set_index("metric")["value"]
         assert tuple(values[["mcc", "pr_auc", "roc_auc"]]) == pytest.approx(brute(p["label"], p["score"], w), abs=1e-12)
 
 
-def test_shuffled_cluster_join_equals_broadcast(pred, monkeypatch):
+def test_draws_and_multiplicities_pack_alike(pred):
     table = B.clusters(pred, ["e"], "site")
     drawn = B.draws(table, ["e"], 4, 1)
-    a = sorted(map(str, B.replicate_metrics(drawn, table, ["e"]).collect()))
-    monkeypatch.setattr(B, "BROADCAST_CLUSTERS", 0)
-    assert sorted(map(str, B.replicate_metrics(drawn, table, ["e"]).collect())) == a
+    a = sorted(map(str, B.replicate_metrics(B.packed_draws(drawn, ["e"]), table, ["e"]).collect()))
+    counted = B.packed_draws(B.draw_clusters(table, ["e"], 4, 1), ["e"])
+    assert sorted(map(str, B.replicate_metrics(counted, table, ["e"]).collect())) == a and len(a) == 4
 
 
 def test_draws_do_not_depend_on_partitioning(pred):

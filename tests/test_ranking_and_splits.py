@@ -103,10 +103,10 @@ def test_percentiles_golden(spark):
     assert (m["p75"], m["p90"]) == (4.75, pytest.approx(7.9))
 
 
-def test_salted_joins_equal_plain_joins(rows):
+def test_skew_joins_equal_plain_joins(rows):
     dim = rows.select("site").distinct().where("site % 2 = 0").withColumn("w", F.col("site") * 10)
     for how in ("inner", "left", "left_semi", "left_anti"):
-        a = sorted(map(tuple, joins.salted_join(rows, dim, "site", how).select("id", "site").collect()))
+        a = sorted(map(tuple, joins.skew_join(rows, dim, "site", how).select("id", "site").collect()))
         b = sorted(map(tuple, rows.join(dim, "site", how).select("id", "site").collect()))
         assert a == b
 
