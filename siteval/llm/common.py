@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,12 +46,27 @@ ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double
          "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
 
 
+SLICE_BYTES = 2_000_000
+
+
+def slices(batch: pa.RecordBatch, text_col: str):
+    """Parts of a batch with a bounded amount of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def map_texts(df: DataFrame, keep: list[str], fields: str, start: Callable[[], Callable[[list], list[list]]],
               text_col: str = "_text") -> DataFrame:
     """The columns ``keep`` as they are, and new ones made of each batch's texts.
 
     ``start`` runs once per task and returns the function from texts to one
-    list per new field.
+    list per new field.  It gets ``SLICE_BYTES`` of text at a time, or one
+    longer text, whatever the size of Spark's batches.
     """
     new = StructType.fromDDL(fields)
     kinds = [ARROW[f.dataType.simpleString()] for f in new.fields]
@@ -57,9 +74,10 @@ def map_texts(df: DataFrame, keep: list[str], fields: str, start: Callable[[], C
 
     def run(batches):
         make = start()
-        for b in batches:
-            made = make(b.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(k) for k in keep] + [pa.array(v, type=t) for v, t in zip(made, kinds)], names=names)
+        for batch in batches:
+            for b in slices(batch, text_col):
+                made = make(b.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(k) for k in keep] + [pa.array(v, type=t) for v, t in zip(made, kinds)], names=names)
 
     return df.mapInArrow(run, StructType([*df.select(*keep).schema.fields, *new.fields]))

@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteval.llm.common import text_of
+from siteval.llm.common import slices, text_of
 from siteval.llm.tokens import bpe
 from siteval.operators.ranking import shuffle_width
 
@@ -94,7 +94,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
 
     def save(batches):
         enc, part = bpe(tokenizer), TaskContext.get().partitionId()
-        first = next(batches, None)
+        parts = (s for b in batches for s in slices(b, "_text"))
+        first = next(parts, None)
         if first is None:
             return
         fs, base = _open(folder)
@@ -108,20 +109,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
         packer, n_docs = _Packer(seqs, enc.dtype, sequence_length), 0
         end = np.array([end_id], dtype=enc.dtype)
 
-        def every():
-            yield first
-            yield from batches
-
-        for b in every():
+        for b in chain([first], parts):
             starts, sizes = [], []
-            for raw in enc.encode_texts(b["_text"].tolist()):
+            for raw in enc.encode_texts(b.column("_text").to_pylist()):
                 ids = np.concatenate([np.frombuffer(raw, enc.dtype), end])
                 starts.append(packer.total)
                 sizes.append(len(ids))
                 packer.add(ids)
-            n_docs += len(b)
+            n_docs += b.num_rows
             spans.write_batch(pa.record_batch(
-                [pa.array(b["_id"], pa.int64(), from_pandas=True), pa.array(starts, pa.int64()),
+                [b.column("_id"), pa.array(starts, pa.int64()),
                  pa.array(sizes, pa.int64())], schema=schemas[1]))
         packer.close()
         spans.close()
@@ -129,10 +126,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             s.close()
             fs.move(t, n)
         paths = [f"{folder}/{n.rsplit('/', 1)[1]}" for n in names]
-        yield pd.DataFrame({"path": [paths[0]], "docs_path": [paths[1]], "part": [part], "n_docs": [n_docs],
-                            "n_tokens": [packer.total]})
+        yield pa.RecordBatch.from_pydict({"path": [paths[0]], "docs_path": [paths[1]], "part": [part], "n_docs": [n_docs],
+                                          "n_tokens": [packer.total]})
 
-    found = sorted((r.asDict() for r in docs.mapInPandas(save, FILE_FIELDS).collect()), key=lambda r: r["part"])
+    found = sorted((r.asDict() for r in docs.mapInArrow(save, FILE_FIELDS).collect()), key=lambda r: r["part"])
     start = 0
     for r in found:
         r["start"], start = start, start + r["n_tokens"]

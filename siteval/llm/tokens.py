@@ -13,15 +13,21 @@ import gc
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 1_000_000
 WORD_START = np.uint32(1 << 31)  # marks the first id of a piece in flagged ids
 
 _NUMERIC = "\\d²³¹¼½¾"
 _PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[^\W_{_NUMERIC}]+| ?[{_NUMERIC}]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# the same for texts of one-byte characters, with classes spelled out, which the scanner tests by table
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t\\n\\r \xa0"
+_NARROW = re.compile(rf" ?[{_L}]+| ?[^{_S}{_L}{_N}']+[^{_S}{_L}{_N}]*|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+"
+                     rf"|[{_S}]+(?![^{_S}])|[{_S}]+")
+_KNOWN = bytes([9, 10, 13, *range(0x20, 0x7f), *range(0xa0, 0x100)])
 _UNSURE = re.compile("[^\t\n\r\x20-\x7e -ɏ‐-⁞€]")
 
 
@@ -46,45 +52,46 @@ class Bpe:
         self.margin = 4 + max([0, *map(len, self.special)])
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self._cache: dict[str, bytes] = {}
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as packed little-endian numbers of ``dtype``."""
-        pieces: list[list[str] | None] = []
-        for x in texts:
-            sure = self.splits and not _UNSURE.search(x) and not any(s in x for s in self.special)
-            pieces.append(_PIECE.findall(x) if sure else None)
+        pieces = [self._pieces(x) for x in texts]
         new: set[str] = set()
         for p in pieces:
             if p:
                 new.update(p)
-        new = [p for p in new if p not in self._cache]
+        cache = self._cache
+        new = [p for p in new if p not in cache]
         was = gc.isenabled()
         gc.disable()  # encodings hold no cycles
         try:
-            fresh = {k: self._pack(e.ids) for k, e in
-                     zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False))}
+            for k, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+                cache[k] = array(self.code, e.ids).tobytes()
             whole = [x for x, p in zip(texts, pieces) if p is None]
-            rest = iter([self._pack(e.ids) for e in self.tok.encode_batch_fast(whole, add_special_tokens=False)])
+            rest = iter([array(self.code, e.ids).tobytes()
+                         for e in self.tok.encode_batch_fast(whole, add_special_tokens=False)])
         finally:
             if was:
                 gc.enable()
-        room = CACHED_PIECES - len(self._cache)
-        if len(fresh) <= room:
-            self._cache.update(fresh)
-            known = self._cache.__getitem__
-        else:
-            cache = self._cache
-            for k in list(fresh)[:max(0, room)]:
-                cache[k] = fresh[k]
-
-            def known(k):
-                v = fresh.get(k)
-                return cache[k] if v is None else v
-        return [next(rest) if p is None else b"".join(map(known, p)) for p in pieces]
+        known = cache.__getitem__
+        out = [next(rest) if p is None else b"".join(map(known, p)) for p in pieces]
+        for k in new[:max(0, len(cache) - CACHED_PIECES)]:
+            del cache[k]
+        return out
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """The text's pieces, or None where the library has to look at the whole."""
+        if not self.splits or any(s in text for s in self.special):
+            return None
+        try:
+            narrow = not text.encode("latin-1").translate(None, _KNOWN)
+        except UnicodeEncodeError:
+            narrow = False
+        if narrow:
+            return _NARROW.findall(text)
+        return None if _UNSURE.search(text) else _PIECE.findall(text)
 
     def flagged(self, text: str) -> np.ndarray:
         """Ids of a text as uint32; the first id of each piece has ``WORD_START``."""
