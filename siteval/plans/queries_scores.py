@@ -254,8 +254,10 @@ def m01(t: Tables):
 
 def tfidf_sql(source: str, key: str, text: str, features: int) -> str:
     return f"""src AS (SELECT {key}, regexp_replace(lower({text}), '\\s\\s+', ' ', 'g') AS x FROM {source}),
-    grams AS (SELECT {key}, substr(x, i, n) AS token FROM src, range(2, 7) AS s(n), range(1, 20000) AS p(i) WHERE i + n - 1 <= length(x)),
-    tf AS (SELECT {key}, token, count(*) AS tf FROM grams GROUP BY ALL),
+    letters AS (SELECT {key}, unnest(string_split(x, '')) AS c, unnest(range(1, length(x) + 1)) AS i FROM src WHERE x <> ''),
+    ahead AS (SELECT {key}, c, {', '.join(f"lead(c, {k}) OVER w AS c{k}" for k in range(1, 6))} FROM letters WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+    grams AS (SELECT {key}, unnest([{', '.join('c || ' + ' || '.join(f'c{k}' for k in range(1, n)) for n in range(2, 7))}]) AS token FROM ahead),
+    tf AS (SELECT {key}, token, count(*) AS tf FROM grams WHERE token IS NOT NULL GROUP BY ALL),
     vocab AS (SELECT token, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 5 ORDER BY sum(tf) DESC, token LIMIT {features}),
     raw AS (SELECT {key}, token, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM src)) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (token)),
     weights AS (SELECT {key}, token, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS weight FROM raw)"""
@@ -273,14 +275,15 @@ def m04(t: Tables):
     return rounded(page_weights(t)[2], "weight").drop("idx")
 
 
-@query("m04_char_tfidf_documents")
+@query("m04_char_tfidf_documents", f"""WITH {tfidf_sql('documents', 'doc_id', 'text', 5000)}
+    SELECT token, count(*) AS docs, round(sum(weight), 4) AS weight FROM weights GROUP BY 1""")
 def m04d(t: Tables):
-    """Whole labelled documents: vocabulary of 5,000 n-grams and its total weight per source."""
-    docs = t.spread(t.read("documents").join(t.read("labels"), "doc_id", "left_semi").select("doc_id", "text"))
-    tokens = TF.char_ngrams(docs, "doc_id", "text", (2, 3))
+    """Whole documents: vocabulary of 5,000 n-grams and the total weight of each."""
+    docs = t.spread(t.read("documents").select("doc_id", "text"))
+    tokens = R.checkpointed(TF.char_ngrams(docs, "doc_id", "text"))
     vocabulary = TF.fit_char_tfidf(tokens, "doc_id", docs, 5000)
     w = TF.tfidf_weights(tokens, "doc_id", vocabulary)
-    return w.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum("weight"), 6).alias("weight"))
+    return w.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 @query("m05_tfidf_diagnostics", f"""WITH {tfidf_sql('pages', 'page_id', 'url', 2000)} SELECT CASE WHEN page_id % 5 = 0 THEN 'validation' ELSE 'train' END AS "partition",

@@ -13,6 +13,7 @@ def local_session(name: str = "siteval", cpus: int | str = "*", shuffle: int = 8
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
