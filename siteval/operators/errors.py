@@ -17,7 +17,6 @@ FN_CATEGORIES = ["FN-A", "FN-B", "FN-C", "FN-D", "FN-E"]
 UNCATEGORIZED = "UNCATEGORIZED"
 ENVELOPE = ["url_length", "hostname_length", "digit_ratio", "special_char_count",
             "derived_path_depth", "derived_query_parameter_count"]
-SITE_SALT = "P3_14_SITE_V1|"
 
 
 def _quantile(df: DataFrame, by: list[str], cols: dict[str, tuple[str, float]]) -> DataFrame:
@@ -162,8 +161,9 @@ def compare_categories(counts: DataFrame, regime: str, values: tuple[str, str],
     return wide.withColumn("difference_pp", 100.0 * (F.col(f"prevalence_{c}") - F.col(f"prevalence_{a}")))
 
 
-def site_errors(errors: DataFrame, by: list[str], site: str) -> DataFrame:
-    """Errors per site with rank, share and per-category counts as JSON."""
+def site_errors(errors: DataFrame, by: list[str], site: str, salt: str = "site|") -> DataFrame:
+    """Errors per site with share, per-category counts as JSON, and a public name
+    that depends on the caller's salt."""
     keys = [*by, "error_type"]
     names = FP_CATEGORIES + FN_CATEGORIES
     ordered = sorted(names)
@@ -175,7 +175,7 @@ def site_errors(errors: DataFrame, by: list[str], site: str) -> DataFrame:
     # one total per experiment and error type, from the grouped rows
     per = per.join(per.groupBy(*keys).agg(F.sum("errors").alias("total_errors")), keys, "inner")
     return per.withColumns({"share": F.col("errors") / F.col("total_errors"),
-                            "anonymous_site": anonymous_site(F.col(site), SITE_SALT)})
+                            "anonymous_site": anonymous_site(F.col(site), salt)})
 
 
 def contributor_rank(sites: DataFrame, by: list[str], site: str) -> DataFrame:

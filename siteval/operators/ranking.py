@@ -117,8 +117,12 @@ def value_ranges(df: DataFrame, col: str, out: str = "_range") -> DataFrame:
 
     The split points (one per shuffle partition) are the only thing that
     reaches the driver.  They become constants, so every use of the result
-    sees the same ranges even when tasks are re-run.
+    sees the same ranges even when tasks are re-run.  NaN has no rank and is an
+    error; NULL comes last in the last range.
     """
+    value = F.col(col)
+    df = df.withColumn(col, F.when(F.isnan(value.cast("double")), F.raise_error(F.lit(f"NaN in {col}")).cast(
+        df.schema[col].dataType)).otherwise(value))
     n = shuffle_width(df.sparkSession)
     points = df.stat.approxQuantile(col, [i / n for i in range(1, n)], 1 / (4 * n))
     splits = [-float("inf"), *sorted(set(points)), float("inf")]

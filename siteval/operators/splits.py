@@ -188,9 +188,9 @@ def quarantine(df: DataFrame, url_hash: str, site: str, label: str) -> DataFrame
     return remove_keys(df_urls, mixed_keys(df, site, label), site)
 
 
-def dedup(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per key, the first in the given order."""
-    return first_per_group(df, [key], [F.col(c) for c in order], 1)
+def dedup(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
+    """One row per (composite) key, the first in the given order."""
+    return first_per_group(df, [key] if isinstance(key, str) else key, [F.col(c) for c in order], 1)
 
 
 def common_cohort(a: DataFrame, c: DataFrame, key: str, partition: str = "partition") -> DataFrame:

@@ -521,9 +521,12 @@ def sp16c(t: Tables):
     return build_corpus(halves, t.rules, caps=(5,))["cap5"].select("record_id", "label", "site_key_private")
 
 
-@query("sp17_composite_dedup", f"WITH {CAPTURES_SQL} SELECT DISTINCT site, urlkey, status FROM captures")
+@query("sp17_composite_dedup", f"""WITH {CAPTURES_SQL}, twice AS (SELECT * FROM captures UNION ALL SELECT * FROM captures WHERE record_id % 10 = 0)
+    SELECT DISTINCT urlkey, crawl_timestamp, record_id, status FROM twice""")
 def sp17(t: Tables):
-    return t.captures().select("site", "urlkey", "status").dropDuplicates(["site", "urlkey", "status"])
+    c = t.captures()
+    twice = c.unionByName(c.where("record_id % 10 = 0"))
+    return S.dedup(twice, ["urlkey", "crawl_timestamp", "record_id"], ["status"]).select("urlkey", "crawl_timestamp", "record_id", "status")
 
 
 @query("sp18_exclude_shorteners", f"{PARSED_SQL} SELECT label, count(*) AS n_rows FROM parsed WHERE NOT coalesce(is_shortener, FALSE) GROUP BY 1")

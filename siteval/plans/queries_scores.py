@@ -643,7 +643,7 @@ SITES_SQL = ERRORS_SQL + """, se AS (SELECT regime, model, error_type, site_key_
       FROM wc GROUP BY regime, model, error_type, site_key_private),
     sr AS (SELECT *, CAST(sum(errors) OVER (PARTITION BY regime, model, error_type) AS BIGINT) AS total_errors,
       round(errors / sum(errors) OVER (PARTITION BY regime, model, error_type), 6) AS share,
-      'SITE-' || upper(substr(sha256('P3_14_SITE_V1|' || site_key_private), 1, 12)) AS anonymous_site,
+      'SITE-' || upper(substr(sha256('site|' || site_key_private), 1, 12)) AS anonymous_site,
       row_number() OVER (PARTITION BY regime, model, error_type ORDER BY errors DESC, site_key_private) AS site_rank FROM se)"""
 
 

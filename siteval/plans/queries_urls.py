@@ -105,10 +105,10 @@ def u14(t: Tables):
 
 
 @query("u16_anonymous_site", f"""{GROUPED_SQL} SELECT DISTINCT site_key_private,
-    'SITE-' || upper(substr(sha256('P3_14_SITE_V1|' || site_key_private), 1, 12)) AS anon FROM grouped""")
+    'SITE-' || upper(substr(sha256('site|' || site_key_private), 1, 12)) AS anon FROM grouped""")
 def u16(t: Tables):
     return t.grouped().select("site_key_private").distinct().withColumn(
-        "anon", U.anonymous_site(F.col("site_key_private"), "P3_14_SITE_V1|"))
+        "anon", U.anonymous_site(F.col("site_key_private"), "site|"))
 
 
 TEMPLATES_SQL = GROUPED_SQL + r""", masked AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(

@@ -81,6 +81,15 @@ def test_filter_on_parse_columns_keeps_udf_out_of_filters(spark, rules):
     assert out.count() == 1
 
 
+def test_features_ignore_white_space_at_the_ends(spark, rules):
+    raw = ["\thttp://a.com/x \n", "http://a.com/x", "http://a.com/x ?q ", "http://a.com/x?q", "http://a.com/ ?", "http://a.com/"]
+    rows = spark.createDataFrame(list(enumerate(raw)), "i int, raw_url string")
+    got = {r.i: r for r in url_features(parse_urls(rows, "raw_url", rules)).collect()}
+    for a, b in ((0, 1), (2, 3), (4, 5)):
+        assert all(got[a][f] == got[b][f] for f in ("path_length", "query_length", "path_depth", "is_root_path", "has_query"))
+    assert got[0].url_length == got[1].url_length == 14
+
+
 def test_ablation_sizes():
     assert len(FEATURES) == 22
     assert [len(ablation_features(a)) for a in ("AB1", "AB2", "AB3", "AB4", "AB5a", "AB5b")] == [18, 21, 20, 18, 6, 5]
