@@ -1,21 +1,23 @@
 """Exact Jaccard join of documents on word shingles, in the Jaccard metric space.
 
 Texts with equal shingle sets become one point first.  Two points within
-distance r = 1 - threshold must share one of the first shingles of each under
-any one order of all shingles, so points that share such a shingle form a cell
-and no other pair is looked at.  The order puts shingles of crowded hash
-buckets last (``hot``), which keeps common passages out of the cells.
+distance r = 1 - threshold must share several of the first shingles of each
+under any one order of all shingles, so points that share such a shingle form a
+cell, no other pair is looked at, and points that share too few with all others
+together are done.  The order puts shingles of crowded hash buckets last
+(``hot``), which keeps common passages out of the cells.
 
 * Pivots and Voronoi regions: each cell's least point is its pivot; points
   join the region of the nearest pivot within r, measured exactly.  Regions
   linked so far share a label, and cells with one label are done.
 * Recursion: cells with several labels choose another pivot and join again, as
-  long as that finds links.
+  long as that closes cells at a good rate.
 * Windows: then regions of different labels that meet in a cell are measured
   pivot to pivot.  By the triangle inequality points x, y of regions p, q can
   only be within r if d(p, q) <= d(x, p) + r + d(y, q); the boundary points
-  for which this holds are replicated to the pair of regions and measured
-  exactly.  Links inside a label change no component.
+  for which this can hold are replicated to the other region and measured to its
+  pivot, which narrows the windows once more; what is left is measured exactly.
+  Links inside a label change no component.
 
 Distances are counted from whole sets.  Before sets travel, parity bitmaps
 (a lower bound of the symmetric difference) drop most distant pairs.
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from siteval.llm.common import text_of, written
+from siteval.llm.common import packed, slices, text_of, written
 from siteval.llm.components import components
 from siteval.operators.joins import join_null_safe
 
@@ -49,6 +51,8 @@ BLOCK = 1 << 12
 HOT_FLOOR, HOT_TIMES = 32, 8
 SEEN_LIMIT = 500_000
 ROUNDS = 6
+SHRINK = 0.9  # of the open rows; above, another round is not worth its jobs
+SHARE = 16
 
 # ---------------------------------------------------------------- sets of one text
 
@@ -97,14 +101,23 @@ def bucket(values: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
     return (values.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def must_share(n):
+    """How many of their first shingles two points within r share at least, the
+    smaller having ``n`` shingles; one more for every ``SHARE`` keeps points out
+    that meet others by chance."""
+    return 1 + n // SHARE
+
+
 def first_shingles(shingles: np.ndarray, hot: np.ndarray | None, percent: int = PERCENT) -> np.ndarray:
-    """Those of which a neighbour must share one: after them too few are left."""
+    """A neighbour has at least ``percent`` of the shingles.  So at most the
+    rest are missing, and the first ones it has, ``must_share`` of them, lie
+    among the rest and as many more."""
     n = len(shingles)
-    need = n - -(-percent * n // 100) + 1
+    take = n - -(-percent * n // 100) + must_share(n)
     if hot is not None:
         last = hot[bucket(shingles)]
         shingles = np.concatenate([shingles[~last], shingles[last]])
-    return shingles[:need]
+    return shingles[:take]
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
@@ -168,7 +181,7 @@ def census(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, np.nda
 
     def look(batches):
         counts, seen, ids = np.zeros(size, dtype=np.int64), set(), None
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "_text")):
             ids = b.column("_id")
             rows = []
             for text in b.column("_text").to_pylist():
@@ -196,15 +209,15 @@ def census(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, np.nda
 
 
 def cells(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFrame:
-    """shingle, sig, pivot of every cell with two points or more.
+    """shingle, sig of every cell with two points or more.
 
     Cells are runs of a sorted stream; no cell is ever held as a whole.
     """
     def points(batches):
         seen: set[int] = set()
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "_text")):
             firsts, sigs = [], []
-            for text in b["_text"]:
+            for text in b.column("_text").to_pylist():
                 s = shingle_set(text, width)
                 sig = signature(s)[0]
                 if len(s) == 0 or sig in seen:
@@ -214,11 +227,11 @@ def cells(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFra
                 firsts.append(first_shingles(s, hot, percent))
                 sigs.append(sig)
             if sigs:
-                yield pd.DataFrame({"shingle": np.concatenate(firsts),
-                                    "sig": np.repeat(np.array(sigs, np.int64), [len(f) for f in firsts])})
+                yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(firsts), "sig": np.repeat(
+                    np.array(sigs, np.int64), [len(f) for f in firsts])})
 
     def runs(batches):
-        key = pivot = last = None  # the open run; held: its first point is not yet given out
+        key = last = None  # the open run; held: its only point so far is not yet given out
         held = False
         for b in batches:
             k, s = b["shingle"].to_numpy(), b["sig"].to_numpy()
@@ -229,32 +242,32 @@ def cells(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFra
             k, s = k[fresh], s[fresh]
             if not len(k):
                 continue
+            with_next = np.append(k[1:] == k[:-1], False)
+            with_last = np.append(False, k[1:] == k[:-1])
+            out = with_next | with_last
             goes_on = key is not None and k[0] == key
-            begin = np.ones(len(k), dtype=bool)
-            begin[1:] = k[1:] != k[:-1]
-            begin[0] = not goes_on
-            run = np.cumsum(begin) - (0 if goes_on else 1)  # run 0 is the open one if it goes on
-            first = np.flatnonzero(begin)
-            pivots = s[first]
-            if goes_on:
-                pivots = np.concatenate([[pivot], pivots])
-            sizes = np.bincount(run, minlength=len(pivots))
-            if goes_on and held:
-                sizes[0] += 1
-            many = sizes > 1
-            if goes_on and not held:
-                many[0] = True
-            ok = many[run]
-            out_k, out_s, out_p = k[ok], s[ok], pivots[run[ok]]
-            if goes_on and held:
-                out_k, out_s, out_p = (np.concatenate([[x], y]) for x, y in ((key, out_k), (pivot, out_s), (pivot, out_p)))
-            key, pivot, last, held = k[-1], pivots[run[-1]], s[-1], not many[run[-1]]
-            if len(out_k):
-                yield pd.DataFrame({"shingle": out_k, "sig": out_s, "pivot": out_p})
-
-    stream = docs.mapInPandas(points, "shingle long, sig long")
+            first = ([key], [last]) if goes_on and held else ([], [])
+            out[0] |= goes_on
+            key, last, held = k[-1], s[-1], not out[-1]
+            if out.any():
+                yield pd.DataFrame({"shingle": np.concatenate([np.array(first[0], np.int64), k[out]]),
+                                    "sig": np.concatenate([np.array(first[1], np.int64), s[out]])})
+
+    stream = docs.mapInArrow(points, "shingle long, sig long")
     stream = stream.repartition("shingle").sortWithinPartitions("shingle", "sig")
-    return stream.mapInPandas(runs, "shingle long, sig long, pivot long")
+    return stream.mapInPandas(runs, "shingle long, sig long")
+
+
+def with_pivots(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """shingle, sig, pivot, for points that share enough first shingles and cells
+    in which two or more such points are left."""
+    n = F.col("n_shingles")
+    smaller = F.ceil(n * percent / 100)  # of a neighbour at least
+    counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("shared"))
+    enough = counts.join(points, "sig").where(F.col("shared") >= 1 + F.floor(smaller / SHARE)).select("sig")
+    rows = written(rows.join(enough, "sig", "left_semi"), "cells")
+    pivots = rows.groupBy("shingle").agg(F.min("sig").alias("pivot"), F.max("sig").alias("_last"))
+    return rows.join(pivots.where("pivot <> _last").select("shingle", "pivot"), "shingle")
 
 
 def point_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -277,9 +290,9 @@ def point_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def build(batches):
         seen: set[int] = set()
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "_text")):
             rows = []
-            for text in b["_text"]:
+            for text in b.column("_text").to_pylist():
                 s = shingle_set(text, width)
                 sig = signature(s)[0]
                 if not len(s) or sig in seen or not keep[bucket(np.array([sig], np.int64))[0]]:
@@ -287,9 +300,11 @@ def point_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 if len(seen) < SEEN_LIMIT:
                     seen.add(sig)
                 rows.append((sig, len(s), parity_bits(s), s))
-            yield pd.DataFrame(rows, columns=["sig", "n", "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["sig", "n", "bits", "shingles"])
 
-    found = docs.mapInPandas(build, "sig long, n long, bits binary, shingles array<long>")
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    found = docs.mapInArrow(build, "sig long, n long, bits binary, shingles array<long>")
     return found.dropDuplicates(["sig"])
 
 
@@ -326,25 +341,31 @@ def point_components(live: DataFrame, sets: DataFrame, percent: int, rounds: int
 
     links = linked(live.where("sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
     labels = components(links)
-    cell = live.select("shingle", "sig")
+    cell, before = written(_open_cells(live, labels), "open-cells"), None
     for turn in range(rounds):
-        cell = written(_open_cells(cell, labels), "open-cells")
+        rows = cell.count()
+        if not rows or before is not None and rows > SHRINK * before:
+            break
+        before = rows
         pivots = cell.groupBy("shingle").agg(F.min_by(F.struct("sig", "label"), F.xxhash64("sig", F.lit(turn))).alias("p"))
         tried = cell.join(pivots, "shingle").where("label <> p.label").select(F.col("sig").alias("a"), F.col("p.sig").alias("b"))
         found = linked(tried)
-        if found.isEmpty():
-            break
         links = links.unionByName(found)
-        labels = components(links)
-        cell = cell.select("shingle", "sig")
-    cell = written(_open_cells(cell.select("shingle", "sig"), labels), "open-cells")
-    return components(links.select("a", "b").unionByName(_window_links(cell, links, sets, r, exact))).select(
-        F.col("node").alias("sig"), "component")
+        labels = components(found.select("a", "b").unionByName(_stars(labels)))
+        cell = written(_open_cells(cell, labels), "open-cells")
+    if cell.isEmpty():
+        return labels.select(F.col("node").alias("sig"), "component")
+    more = _window_links(cell, links, sets, r, exact)
+    return components(_stars(labels).unionByName(more)).select(F.col("node").alias("sig"), "component")
+
+
+def _stars(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def _open_cells(cell: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of cells that still hold several labels, with the label."""
-    named = cell.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left")
+    named = cell.select("shingle", "sig").join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left")
     named = named.select("shingle", "sig", F.coalesce("component", "sig").alias("label"))
     mixed = named.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     return named.join(mixed.select("shingle"), "shingle", "left_semi")
@@ -374,12 +395,25 @@ def _window_links(cell: DataFrame, links: DataFrame, sets: DataFrame, r: float,
     near = written(measured(pairs, sets), "near-regions")
     direct = near.where(exact).select("a", "b")
     wide = near.where(F.col("reach") > r + 1e-9).select("a", "b", F.col("distance").alias("d"))
-    left = placed.toDF("shingle", "x", "lx", "a", "dx")
-    right = placed.toDF("shingle", "y", "ly", "b", "dy")
-    # the pairs of regions are few; each meets its boundary points cell by cell
-    boundary = left.join(wide, "a").join(right, ["shingle", "b"]).where("lx <> ly")
-    boundary = boundary.where(F.col("d") <= F.col("dx") + F.col("dy") + r + 1e-9)
-    tried = boundary.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    wide = wide.join(radius.toDF("a", "ra"), "a").join(radius.toDF("b", "rb"), "b")
+    points = placed.select("sig", "region", "away").distinct()
+    # boundary points of either side, measured to the pivot of the other
+    sides = wide.join(points.toDF("x", "a", "dx"), "a").where(F.col("d") <= F.col("dx") + r + F.col("rb") + 1e-9)
+    sides = sides.select("x", F.col("a").alias("own"), F.col("b").alias("other"), "dx", (F.col("rb") + r).alias("reach")).unionByName(
+        wide.join(points.toDF("x", "b", "dx"), "b").where(F.col("d") <= F.col("dx") + r + F.col("ra") + 1e-9).select(
+            "x", F.col("b").alias("own"), F.col("a").alias("other"), "dx", (F.col("ra") + r).alias("reach")))
+    sides = written(sides, "boundary-points")
+    asked = sides.groupBy(F.col("x").alias("a"), F.col("other").alias("b")).agg(F.max(F.least("reach", F.lit(1.0))).alias("reach"))
+    far = written(measured(asked, sets), "boundary-distances")
+    direct = direct.unionByName(far.where(exact).select("a", "b"))
+    seen = sides.join(far.select(F.col("a").alias("x"), F.col("b").alias("other"), F.col("distance").alias("ex")), ["x", "other"])
+    left = seen.where("own < other").select(F.col("own").alias("p"), F.col("other").alias("q"), "x", "dx", "ex")
+    right = seen.where("own > other").select(F.col("other").alias("p"), F.col("own").alias("q"), F.col("x").alias("y"),
+                                             F.col("dx").alias("dy"), F.col("ex").alias("ey"))
+    # x is near q and y is near p: distances to either pivot differ by r at most
+    tried = left.join(right, ["p", "q"]).where(
+        (F.abs(F.col("ex") - F.col("dy")) <= r + 1e-9) & (F.abs(F.col("ey") - F.col("dx")) <= r + 1e-9))
+    tried = tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
     found = measured(tried.withColumn("reach", F.lit(r)), sets).where(exact).select("a", "b")
     return direct.unionByName(found)
 
@@ -388,12 +422,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", width: int = WIDTH,
     """doc id, n_shingles and component_id of every document."""
     texts = _texts(docs, id_col)
     members, hot = census(texts, width, percent)
-    live = written(cells(texts, hot, width, percent), "cells")
+    whole = F.assert_true(F.min("sig2") == F.max("sig2"), "two shingle sets have one signature")
+    points = members.where("n_shingles > 0").groupBy("sig").agg(
+        F.min("_id").alias("least"), F.first("n_shingles").alias("n_shingles"), whole.alias("_ok"))
+    points = written(points.where("_ok is null").drop("_ok"), "points")
+    rows = written(cells(texts, hot, width, percent), "shared-shingles")
+    live = written(with_pivots(rows, points, percent), "live-cells")
     sets = written(point_sets(texts, live, width), "point-sets")
     parts = point_components(live, sets, percent)
-    whole = F.assert_true(F.min("sig2") == F.max("sig2"), "two shingle sets have one signature")
-    points = members.where("n_shingles > 0").groupBy("sig").agg(F.min("_id").alias("least"), whole.alias("_ok"))
-    points = written(points.select("sig", "least"), "points")
     named = points.join(parts, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     named = written(named, "named-points")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -407,5 +443,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", width: int = WIDTH,
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows, with all columns, of the least id of each class; rows without an id stay."""
     classes = jaccard_classes(docs, id_col, width, percent)
-    kept = classes.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(id_col).distinct()
-    return join_null_safe(docs, kept, id_col).select(*docs.columns)
+    kept = classes.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
+    kept = kept.select(F.col(id_col).alias("_id")).distinct()
+    return join_null_safe(packed(docs, _id=F.col(id_col)), kept, "_id").select("_row.*")
