@@ -6,7 +6,8 @@ schedule has the point frac(i * golden ratio), mapped through the cumulative
 target shares to a source, so every stretch of the schedule is close to the
 mix.  The slots of a source are ranked; slot k takes block k of the source:
 ``block`` words of its documents in hash order, round and round.  A source that
-has met its target leaves the schedule.
+has met its target leaves the schedule; blocks that the points of a source do
+not reach, as may be with a target of few blocks, are appended to it.
 
 Ranks and positions are sums over hash buckets or slot chunks plus sums inside
 one of them, so a source may hold any share of the rows.
@@ -88,7 +89,7 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     needed = F.ceil(F.floor("target") / block)
     got = sources.agg(F.sum(needed).alias("slots"), F.count(F.lit(1)).alias("n")).first()
     slots, n = got["slots"] or 0, got["n"]
-    # spare slots: the points of an interval are off its share by a few at most
+    # spare slots: the points of an interval are mostly off its share by a few
     length = slots + slots // 64 + 8 * n if slots else 0
     cells = 8 * max(1, n)
     upto = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -105,12 +106,19 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     points = points.withColumn("_cell", F.floor(F.col("_u") * cells))
     hit = (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high"))
     chosen = points.join(parts, "_cell").where(hit).select("slot", "rank", "_needed", F.floor(i / CHUNK_SLOTS).alias("_c"))
-    counts = chosen.groupBy("rank", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(chosen.groupBy("rank", "_c").agg(F.count(F.lit(1)).alias("_n")), "mix-slots")
     before = Window.partitionBy("rank").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("rank", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    starts = counts.select("rank", "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("rank", "_c").orderBy("slot")
-    ranked = chosen.join(counts, ["rank", "_c"]).withColumn("block", F.col("_before") + F.row_number().over(inside) - 1)
-    return ranked.where(F.col("block") < F.col("_needed")).select("slot", "rank", "block")
+    ranked = chosen.join(starts, ["rank", "_c"]).withColumn("block", F.col("_before") + F.row_number().over(inside) - 1)
+    ranked = ranked.where(F.col("block") < F.col("_needed")).select("slot", "rank", "block")
+    # exact for every source: blocks that no point reached follow, one of each source in turn
+    short = sources.select("rank", needed.alias("_needed")).join(
+        counts.groupBy("rank").agg(F.sum("_n").alias("_got")), "rank", "left")
+    short = short.withColumn("_got", F.coalesce("_got", F.lit(0))).where("_got < _needed")
+    short = short.select("rank", "_got", F.explode(F.sequence(F.col("_got"), F.col("_needed") - 1)).alias("block"))
+    slot = F.lit(length) + (F.col("block") - F.col("_got")) * n + F.col("rank") - 1
+    return ranked.unionByName(short.select(slot.alias("slot"), "rank", "block"))
 
 
 def block_pieces(placed: DataFrame, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:

@@ -5,12 +5,16 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siteval.llm import mixing, near_dup, ngram_join
 from siteval.llm.components import components
+from siteval.llm.queries import ORACLES
+from tools.check_oracles import compare
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -187,6 +191,29 @@ def test_every_stretch_of_the_schedule_is_close_to_the_mix(spark):
         assert abs(part[1] - 60) <= 3 and abs(part[2] - 30) <= 3 and abs(part[3] - 10) <= 3
 
 
+def test_tiny_sources_beside_a_huge_one_get_their_slots(spark):
+    """Targets of less than a block, of a few blocks and of none beside a huge one."""
+    targets = [1e7, 2e7, 3e7, 100.0, 250.0, 1000.0, 2500.0, 10000.0, 0.4, 0.0]
+    sources = spark.createDataFrame(list(enumerate(targets, 1)), "rank int, target double")
+    got = mixing.schedule(sources).groupBy("rank").agg(
+        F.count("*").alias("n"), F.min("block").alias("least"), F.max("block").alias("most"), F.countDistinct("block").alias("blocks"))
+    want = {(k, n, 0, n - 1, n) for k, t in enumerate(targets, 1) if (n := -(-int(t) // mixing.BLOCK))}
+    assert set(map(tuple, got.collect())) == want
+    small = mixing.schedule(sources.where("rank > 3"))
+    assert small.select("slot").distinct().count() == small.count()
+
+
+def test_mix_of_tiny_sources_equals_the_oracle(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * 50_000, "big") for i in range(40)]
+    rows += [(100 * k + j, "w " * rng.randrange(1, 60), f"tiny{k:02}") for k in range(1, 41) for j in range(rng.randrange(1, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert compare(mixing.mix(docs), con, ORACLES["op9_mix_sources"]) == ""
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark, folder):
