@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
-from siteval.functions.features import error_properties, url_features
+from siteval.functions.features import ABLATIONS, error_properties, url_features
 from siteval.functions.hashing import h60, unit
 from siteval.operators import attribution as T
 from siteval.operators import bootstrap as B
@@ -341,10 +343,11 @@ def _bench(t: Tables):
 
 @query("m02_m06_search")
 def m06(t: Tables):
-    """Logistic grid and a small boosted grid, scored on validation."""
-    bench, _ = _bench(t)
-    grids = {"M1": {"C": [0.1, 1.0]}, "M2": {"learning_rate": [0.1], "max_iter": [5], "max_leaf_nodes": [31]}}
-    return M.search(bench, grids).select("model_id", "candidate_id", "train_n", F.round("mcc", 3).alias("mcc"))
+    """All candidates of the three models, fitted on train and scored on validation."""
+    rows = R.checkpointed(url_features(t.parsed()).withColumn("url_text", F.col("raw_url")))
+    rows = R.checkpointed(assign_regime(rows, "A", 42))
+    bench = M.Bench(rows.where("partition = 'train'"), rows.where("partition = 'validation'"), "record_id", "label", "url_text")
+    return M.search(bench, M.GRIDS).select("model_id", "candidate_id", "train_n", F.round("mcc", 3).alias("mcc"))
 
 
 @query("m10_score_test")
@@ -372,24 +375,27 @@ def _url_experiment(t: Tables, regime: str = "C"):
     return R.checkpointed(assign_regime(rows, regime, 42, "page_id"))
 
 
-_SMALL = {"M1": {"C": [0.1]}, "M2": {"learning_rate": [0.1], "max_iter": [3], "max_leaf_nodes": [7]},
-          "M3": {"C": [1.0], "max_features": [500]}}
+def _union(parts: list):
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("m09_m11_run_experiment")
 def m11(t: Tables):
-    """Search, freeze, gate, refit and score on the site-disjoint split."""
-    out = run_experiment(_url_experiment(t), t.scratch("experiment"), "C", 42, grids=_SMALL, key="page_id", text="url_text")
-    return out.metrics.select("regime", "variant", "model_id", "tn", "fp", "fn", "tp")
+    """Search, freeze, gate, refit and score on the random split and the three disjoint ones."""
+    return _union([run_experiment(
+        _url_experiment(t, regime), t.scratch("experiment"), regime, 42, key="page_id", text="url_text", tie="capacity").metrics
+        for regime in "ABCD"]).select("regime", "variant", "model_id", "tn", "fp", "fn", "tp")
 
 
 @query("m12_run_ablation")
 def m12(t: Tables):
+    """Every feature set over the tabular models, with the change against all features."""
     rows = _url_experiment(t)
-    grids = {"M1": {"C": [0.1]}}
-    args = dict(grids=grids, key="page_id", text="url_text")
-    full = run_experiment(rows, t.scratch("full"), "C", 42, **args)
-    return run_ablation(rows, t.scratch("ablation"), "AB4", full.metrics, 42, **args).select("feature_set", "model_id")
+    args = dict(grids={m: M.GRIDS[m] for m in ("M1", "M2")}, key="page_id", text="url_text")
+    full = run_experiment(rows, t.scratch("full"), "C", 42, tie="capacity", **args)
+    baseline = R.checkpointed(full.metrics)
+    out = _union([run_ablation(rows, t.scratch("ablation"), a, baseline, 42, **args) for a in ABLATIONS])
+    return rounded(out.select("feature_set", "model_id", "mcc", "delta_mcc"), "mcc", "delta_mcc")
 
 
 @query("m13_baselines")

@@ -1,15 +1,22 @@
 """Selection, gate, TF-IDF weights, attribution identities."""
 
 import collections
+import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from siteval.functions.features import ABLATIONS, FEATURES, ablation_features
 from siteval.functions.hashing import unit
 from siteval.operators import attribution as A
 from siteval.operators import models as M
 from siteval.operators import tfidf
+from siteval.plans import catalog
+from siteval.plans.tables import Tables
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -134,3 +141,34 @@ def test_save_and_load(spark, parts, folder):
 def iter_models(models, df):
     todo = list(models)
     return lambda: M.score(todo.pop(), df, ["id"])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_registered_model_queries_run_whole_grids(spark, monkeypatch):
+    """Every candidate, regime and feature set; the fits themselves are not repeated here."""
+    seen = []
+
+    def search(bench, grids):
+        seen.append((len(bench.features), {m: len(list(M.candidates(g))) for m, g in grids.items()}))
+        rows = [(m, f"{m}_1", json.dumps(next(M.candidates(g)), sort_keys=True), 1, 0.5) for m, g in grids.items()]
+        return spark.createDataFrame(rows, "model_id string, candidate_id string, parameter_json string, train_n long, mcc double")
+
+    def score_test(bench, chosen, test, keep):
+        models = F.explode(F.array(*[F.lit(r.model_id) for r in chosen.select("model_id").collect()])).alias("model_id")
+        guess = F.when(F.col("page_id") % 7 == 0, 1 - F.col("label")).otherwise(F.col("label"))
+        return test.select("page_id", "label", guess.cast("double").alias("score"), guess.alias("predicted"), models)
+
+    monkeypatch.setattr(M, "search", search)
+    monkeypatch.setattr(M, "score_test", score_test)
+    t = Tables(spark, SF)
+    catalog.QUERIES["m02_m06_search"](t)
+    assert seen == [(len(FEATURES), {"M1": 4, "M2": 8, "M3": 6})]
+    seen.clear()
+    got = catalog.QUERIES["m09_m11_run_experiment"](t).collect()
+    assert seen == [(len(FEATURES), {"M1": 4, "M2": 8, "M3": 6})] * 4
+    assert {(r.regime, r.model_id) for r in got} == {(r, m) for r in "ABCD" for m in M.GRIDS}
+    seen.clear()
+    got = catalog.QUERIES["m12_run_ablation"](t).collect()
+    assert seen == [(len(ablation_features(a)), {"M1": 4, "M2": 8}) for a in [None, *ABLATIONS]]
+    assert {(r.feature_set, r.model_id) for r in got} == {(a, m) for a in ABLATIONS for m in ("M1", "M2")}
+    assert all(r.mcc is not None and r.delta_mcc == 0 for r in got)
