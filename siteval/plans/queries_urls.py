@@ -167,6 +167,14 @@ def j12(t: Tables):
     return d.select(F.col("hostname_ascii").alias("host"), F.col("public_suffix_private").alias("suffix")).distinct()
 
 
+@query("j12_longest_suffix_all_rules", f"""{PARSED_SQL} SELECT DISTINCT hostname_ascii AS host, public_suffix_private AS suffix
+    FROM parsed WHERE NOT is_ip AND public_suffix_private <> ''""")
+def j12_all(t: Tables):
+    """Hosts of wildcard and exception rules too."""
+    d = t.parsed().where(~F.col("is_ip") & (F.col("public_suffix_private") != ""))
+    return d.select(F.col("hostname_ascii").alias("host"), F.col("public_suffix_private").alias("suffix")).distinct()
+
+
 # ---------------------------------------------------------------- features
 
 FEATURES_SQL = PARSED_SQL + r""", features AS (SELECT record_id, label, site_key_private, site_key_icann, hostname_ascii,

@@ -37,3 +37,11 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_longest_suffix_keeps_wildcard_hosts(spark, duck):
+    name = "j12_longest_suffix_all_rules"
+    assert compare(contract.queries()[name](spark, SF), duck, contract.oracle_sql()[name]) == ""
+    found = {r.host: r.suffix for r in contract.queries()[name](spark, SF).collect()}
+    hosts = {h: s for h, s in found.items() if h.endswith(".ck")}
+    assert hosts and all(h == f"x.{s}" for h, s in hosts.items())
