@@ -4,7 +4,7 @@ Fixed patterns give the kinds ``assign``, ``access`` and ``hex``; their spans
 are whole matches.  Kind ``entropy`` adds candidate strings (runs of key
 characters) in which a window reaches the Shannon entropy set for its character
 class.  The window slides one character at a time with incremental counts.
-Candidates that the allow-list knows, or that a fixed match already covers, are
+Candidates that the allow-list knows, or that one fixed match covers whole, are
 left out; the allow-list never removes a fixed match.
 
 Null texts are empty; every text is scanned whole; rows of null or repeated ids
@@ -86,7 +86,7 @@ def scan(text: str, rules=ENTROPY_RULES, allowed: re.Pattern | None = None) -> l
     for rule in rules:
         for m in _compiled(rule.pattern).finditer(text):
             at, end = m.span()
-            if any(s < end and at < e for s, _, e in base) or any(s <= at and end <= e for s, e in seen):
+            if any(s <= at and end <= e for s, _, e in base) or any(s <= at and end <= e for s, e in seen):
                 continue
             if allowed.fullmatch(m[0]) or not window_entropy_reaches(m[0], rule.window, rule.bits):
                 continue
