@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -155,6 +156,7 @@ def features(page: _Builder) -> np.ndarray:
     total = max(text[0], 1.0)
     rows = np.zeros((n, len(FEATURES)))
     place: dict[int, int] = {}
+    tags: dict[int, Counter] = {}  # of the children of each parent, counted once
     for i, node in enumerate(nodes):
         p = node.parent
         siblings = p.children if p is not None else [node]
@@ -163,7 +165,9 @@ def features(page: _Builder) -> np.ndarray:
         if p is not None:
             j = index[id(p)]
             above[i] = above[j] + (p.around, p.within, p.tag in HIDDEN)
-        same = sum(s.tag == node.tag for s in siblings) if len(siblings) <= 64 else len(siblings)
+        if k == 0:
+            tags[id(p)] = Counter(s.tag for s in siblings)
+        same = tags[id(p)][node.tag]
         t = max(text[i], 1.0)
         rows[i] = (node.depth, len(node.children), k / len(siblings), math.log1p(len(siblings)), same / len(siblings),
                    math.log1p(text[i]), math.log1p(node.own), links[i] / t, math.log1p(below[i]),

@@ -144,6 +144,13 @@ def test_decoding_keeps_nothing_below_a_dropped_element():
         assert all(keep[index[id(n.parent)]] for i, n in enumerate(page.nodes) if keep[i] and n.parent is not None)
 
 
+def test_siblings_of_a_tag_are_counted_on_long_pages():
+    page = dom.parse("<body>" + "<p>text</p>" * 80 + "<h2>head</h2>" * 20 + "<div>ad</div></body>")
+    rows = dom.features(page)
+    got = {n.tag: rows[i, dom.COLUMN["siblings of the same tag"]] for i, n in enumerate(page.nodes)}
+    assert got["p"] == 80 / 101 and got["h2"] == 20 / 101 and got["div"] == 1 / 101
+
+
 # ---------------------------------------------------------------- fingerprints
 
 def test_incremental_entropy_equals_counting():
