@@ -9,7 +9,8 @@ Selected features go into a chain of Bloom filters.  Two fingerprints are
 compared filter by filter: bits in common beyond chance, over the most there
 could be; each filter of the shorter chain takes its best partner.
 
-Texts shorter than a window are one feature; empty texts have no filter, are
+Texts shorter than a window, and texts of which nothing is selected, are one
+feature; empty texts have no filter, are
 alike to each other (1) and unlike any other text (0).  Null texts are empty.
 Rows of one id are ordered by text; null ids come last; with one document the
 next one is itself.  An empty table gives an empty table.
@@ -154,6 +155,9 @@ def feature_hashes(raw: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         windows = np.pad(raw, (0, WINDOW - len(raw)))[None, :]
     else:
         at = selected(raw, ranks)
+        if not len(at):  # as with padding alone: the whole text is one feature
+            whole = hashlib.blake2b(raw.tobytes(), digest_size=8).digest()
+            return np.frombuffer(whole, "<u8").astype(np.uint64)
         windows = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[at]
     words = np.ascontiguousarray(windows).view("<u8")
     h = np.full(len(words), np.uint64(len(raw) if len(raw) < WINDOW else WINDOW))

@@ -153,6 +153,15 @@ def test_siblings_of_a_tag_are_counted_on_long_pages():
 
 # ---------------------------------------------------------------- fingerprints
 
+def test_texts_without_selected_windows_have_a_filter():
+    ranks = fingerprints.ranks_of(np.ones(fingerprints.LEVELS + 1, np.int64))
+    lines, dashes, blank, empty = (fingerprints.fingerprint(t, ranks) for t in ("=" * 80, "-" * 80, " " * 64, ""))
+    assert len(lines) == len(dashes) == len(blank) == 1 and len(empty) == 0
+    assert fingerprints.likeness(lines, fingerprints.fingerprint("=" * 80, ranks)) == 1
+    for a, b in ((lines, dashes), (lines, blank), (lines, empty)):
+        assert fingerprints.likeness(a, b) < 0.5
+
+
 def test_incremental_entropy_equals_counting():
     rng = np.random.default_rng(9)
     for n in (1, 63, 64, 65, 700):
