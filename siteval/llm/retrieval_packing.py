@@ -20,7 +20,11 @@ range partitions of fixed order, so a task that runs again gives the same rows.
 
 from __future__ import annotations
 
+import gc
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,42 +41,89 @@ WINDOW = 4_096
 SHARD_TOKENS = 1 << 18
 K1, B = 1.2, 0.75
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 LONGEST_CACHED = 64
-_NO_SPACE = set("\x1c\x1d\x1e\x1f᠎")  # white space to one of the two scanners only
+# how the vocabulary's own file cuts words, and the same for lower-cased one-byte characters
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+").findall
+_UNSURE_SPACE = re.compile("[\x1c-\x1f\u180e]").search  # white space to one of the two scanners only
 
 
 class SpacedEncoder:
     """Ids of texts for a vocabulary whose pieces never cross white space.
 
-    Then a text's ids are those of its words in turn; the library encodes each
-    new word once.  Other vocabularies, and texts on whose white space Python
-    and the library could differ, go to the library whole.
+    Then a text's ids are those of its words in turn.  The pieces of a new word
+    of one-byte characters go to the library's model; other words, texts on
+    whose white space Python and the library could differ, and the whole texts
+    of other vocabularies go to the library as they are.
     """
 
     def __init__(self, path: str):
         self.bpe = bpe(path)
         self.dtype = self.bpe.dtype
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.splits = self._drops_space()
+        self.model = self.bpe.tok.model if self.splits and self._known_rules(spec) else None
+        # the byte alphabet: printable characters stand for themselves, the other bytes for those from 256 on
+        shown = [*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
         self._cache: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def _drops_space(self) -> bool:
         def ids(text):
             return self.bpe.tok.encode(text, add_special_tokens=False).ids
         return ids("a  b\t\nc") == ids("a") + ids("b") + ids("c") and not ids(" \n") and not self.bpe.splits
 
+    @staticmethod
+    def _known_rules(spec: dict) -> bool:
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        return ([x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+                and cuts[0]["pattern"] == {"Regex": _SPLIT} and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"])
+
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.bpe.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        was = gc.isenabled()
+        gc.disable()  # encodings hold no cycles
+        try:
+            return [array(self.bpe.code, e.ids).tobytes() for e in self.bpe.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        finally:
+            if was:
+                gc.enable()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.alphabet)
+        raw = array(self.bpe.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self._pieces) < CACHED_WORDS and len(piece) <= LONGEST_CACHED:
+            self._pieces[piece] = raw
+        return raw
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space."""
+        if self.model is None:
+            return self._library(words)
+        special, known, piece = self.bpe.special, self._pieces.get, self._piece
+        out: list[bytes | None] = []
+        for w in words:
+            if (w.isascii() or max(w) < "\u0100") and not any(x in w for x in special):
+                out.append(b"".join([known(p) or piece(p) for p in _PIECES(w.lower())]))
+            else:
+                out.append(None)
+        rest = iter(self._library([w for w, x in zip(words, out) if x is None]))
+        return [next(rest) if x is None else x for x in out]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [x.split() if self.splits and _NO_SPACE.isdisjoint(x) else None for x in texts]
+        words = [x.split() if self.splits and not _UNSURE_SPACE(x) else None for x in texts]
         new: set[str] = set()
         for w in words:
             if w:
                 new.update(w)
         cache = self._cache
-        fresh = [w for w in new if w not in cache]
-        cache.update(zip(fresh, self._library(fresh)))
+        fresh = list(new.difference(cache))
+        cache.update(zip(fresh, self._words(fresh)))
         whole = iter(self._library([x for x, w in zip(texts, words) if w is None]))
         known = cache.__getitem__
         out = [next(whole) if w is None else b"".join(map(known, w)) for w in words]
@@ -305,8 +356,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         if made:
             yield rows(made)
 
-    width = partitions or max(1, min(shuffle_width(spark), -(-tokens // shard_tokens)))
     # enough partitions for the cluster, but none below the size of a shard
-    order = ["subject", "doc_id", "ids"]
-    ranged = ids.select("doc_id", "ids", "subject").repartitionByRange(width, *order).sortWithinPartitions(*order)
+    width = partitions or max(1, min(shuffle_width(spark), -(-tokens // shard_tokens)))
+    # the order is sampled for the ranges: it holds a hash in place of the ids themselves
+    order = ["subject", "doc_id", F.xxhash64("ids")]
+    ranged = ids.select("doc_id", "ids", "subject").repartitionByRange(width, *order).sortWithinPartitions(*order, "ids")
     return ranged.select("doc_id", "ids").mapInArrow(run, schema)

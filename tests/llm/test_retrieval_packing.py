@@ -31,9 +31,11 @@ def test_encoder_equals_the_library(documents, words_path, library):
     rng = random.Random(3)
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x250), rng.randrange(9, 14), 32, 0x301, 0x3a3]))
                       for _ in range(200)) for _ in range(60)]
+    texts += ["".join(rng.choice("ab1'sSÉéßµ²½ªº×÷\xad\x00\x7f\x80|<>_-.ÿÀ ") for _ in range(150)) for _ in range(120)]
+    texts += [f"a{chr(i)}b {chr(i)} {chr(i)}x" for i in range(0x250)]
     want = [library.encode(x, add_special_tokens=False).ids for x in texts]
     enc = P.spaced_encoder(words_path)
-    assert enc.splits
+    assert enc.splits and enc.model is not None
     for _ in range(2):  # the second time from the cache
         assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
 
