@@ -1,29 +1,40 @@
 """Class-stratified site-cluster bootstrap.
 
-Rows are first reduced to one row of confusion cells per site.  A draw picks
-a site's number from a hash, so replicates are generated where the clusters
-are.  The draws of a site are then packed: one row holds the numbers of all
-replicates of a block that drew it.  Everything after works on these rows with
-arrays over the block, so a replicate costs a few bytes of shuffle per site.
+Rows are first reduced to one row of confusion cells per site.  A replicate
+draws as many sites of a class as the class has, with replacement: a
+multinomial.  It is generated from counters where it is needed and never stored
+or shuffled: the sites of a class are cut into leaves of ``LEAF`` ordinals,
+exact binomials down a tree say how many draws fall into a leaf, and a counter
+hash places them inside.  A task can so make the multiplicities of any leaf and
+any replicates by itself, the same each time; chosen replicates cost their share.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from siteval.functions.hashing import LANES, digest, h60, hex_lane
+from siteval.functions.hashing import digest, h60
 from siteval.functions.stats import confusion_cells, confusion_metrics, ratio
 from siteval.operators.joins import hot_key_join
-from siteval.operators.ranking import checkpointed, hash_ordinal, shuffle_width, value_ranges
+from siteval.operators.ranking import checkpointed, global_prefix, hash_ordinal, shuffle_width, value_ranges
 
 REPLICATES = 2_000
 BLOCK = 256  # replicates worked on together
+LEAF = 4_096  # clusters whose multiplicities are made at once
 RANK_METRICS = ("pr_auc", "roc_auc")
 THRESHOLD_METRICS = ("mcc", "precision", "recall", "specificity", "fpr", "balanced_accuracy", "macro_f1")
+CELLS = ("tn", "fp", "fn", "tp")
+
+# the counter hash: steps of GAMMA from a key, mixed by two multiplications (fixed values of splitmix64)
+GAMMA, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def stream_id(by: list[str], purpose: str) -> Column:
@@ -66,47 +77,94 @@ def clusters(pred: DataFrame, by: list[str], site: str, label: str = "label", sc
     return hash_ordinal(per, [*by, "class"], h60("cluster", F.col(site)), site, "ordinal", "n")
 
 
-def draws(cluster_table: DataFrame, by: list[str], reps: int, seed: int, purpose: str = "draws") -> DataFrame:
-    """One row per draw: replicate, class and the number of the drawn site.
+# ---------------------------------------------------------------- the draws of a leaf
+
+def _sha(*parts) -> str:
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_1)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_2)
+    return x ^ (x >> np.uint64(31))
+
+
+def leaf_counts(source: tuple, n: int, leaf: int, block: int, size: int = LEAF) -> np.ndarray:
+    """Draws that fall into a leaf in each replicate of a block: binomials from the root down."""
+    counts, low, high = np.full(BLOCK, n), 0, -(-n // size)
+    while high - low > 1:
+        mid = (low + high) // 2
+        share = (mid - low) * size / (min(high * size, n) - low * size)
+        rng = np.random.Generator(np.random.Philox(key=int(_sha(*source, low, high, block)[:32], 16)))
+        first = rng.binomial(counts, share)
+        if leaf < mid:
+            counts, high = first, mid
+        else:
+            counts, low = counts - first, mid
+    return counts
+
 
-    Every cluster is one slot per replicate, so a class of n sites gives n
-    draws.  One digest serves four replicates.
+def leaf_multiplicities(source: tuple, n: int, leaf: int, block: int, lanes: list[int], size: int = LEAF) -> np.ndarray:
+    """Ordinals of a leaf x lanes: how often each replicate drew each cluster.
+
+    ``source`` is (seed, stream, class); draw i of a replicate takes slot
+    (hash(key + (i + 1) * GAMMA) >> 4) mod (slots of the leaf).
     """
-    blocks = (reps + LANES - 1) // LANES
-    # a small table grows by the number of replicates here: use every core for it
-    slots = cluster_table.select(*by, "class", "ordinal", "n", stream_id(by, purpose).alias("_stream"))
-    slots = slots.repartition(shuffle_width(slots.sparkSession))
-    slots = slots.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    hexes = digest(seed, F.col("_stream"), F.col("class"), F.col("ordinal"), F.col("_block"))
-    slots = slots.withColumn("_hex", hexes)
-    lanes = F.array(*[F.pmod(hex_lane(F.col("_hex"), i), F.col("n")) for i in range(LANES)])
-    picked = slots.select(*by, "class", "_block", F.posexplode(lanes).alias("_lane", "ordinal"))
-    replicate = (F.col("_block") * LANES + F.col("_lane")).cast("int")
-    return picked.select(*by, replicate.alias("replicate"), "class", "ordinal").where(F.col("replicate") < reps)
-
-
-def draw_clusters(cluster_table: DataFrame, by: list[str], reps: int, seed: int) -> DataFrame:
-    """Multiplicity of each drawn site per replicate."""
-    return (draws(cluster_table, by, reps, seed).groupBy(*by, "replicate", "class", "ordinal")
-            .agg(F.count(F.lit(1)).alias("multiplicity")))
-
-
-def packed_draws(drawn: DataFrame, by: list[str]) -> DataFrame:
-    """by, class, ordinal, _rb and _lanes: the replicates of a block that drew
-    the site, one entry per draw.  Accepts single draws or multiplicities."""
-    lane = F.pmod(F.col("replicate"), F.lit(BLOCK)).cast("int")
-    lanes = F.flatten(F.collect_list(F.array_repeat(lane, F.col("multiplicity").cast("int")))) \
-        if "multiplicity" in drawn.columns else F.collect_list(lane)
-    block = F.floor(F.col("replicate") / BLOCK).cast("int").alias("_rb")
-    return drawn.groupBy(*by, "class", "ordinal", block).agg(lanes.alias("_lanes"))
-
-
-def _weights(lanes: pd.Series) -> np.ndarray:
-    """Rows x block: how often each replicate drew the row's site."""
-    sizes = lanes.map(len).to_numpy()
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    flat = np.concatenate(lanes.to_list()) if len(row) else np.zeros(0, np.int64)
-    return np.bincount(row * BLOCK + flat, minlength=len(sizes) * BLOCK).reshape(-1, BLOCK).astype(np.float64)
+    counts = leaf_counts(source, n, leaf, block, size)
+    slots = min(size, n - leaf * size)
+    steps = np.arange(1, int(counts.max()) + 1, dtype=np.uint64) * np.uint64(GAMMA)
+    out = np.empty((len(lanes), slots), np.uint16)
+    for k, lane in enumerate(lanes):
+        key = (int(_sha(*source, block * BLOCK + lane)[:15], 16) + (leaf * MIX_1)) % (1 << 64)
+        slot = (mixed(steps[:counts[lane]] + np.uint64(key)) >> np.uint64(4)) % np.uint64(slots)
+        out[k] = np.bincount(slot.astype(np.int64), minlength=slots)
+    return np.ascontiguousarray(out.T)
+
+
+def blocks_of(replicates) -> dict[int, list[int]]:
+    """Block -> lanes, for a number of replicates or chosen ones."""
+    chosen = range(replicates) if isinstance(replicates, int) else sorted(set(replicates))
+    out: dict[int, list[int]] = {}
+    for r in chosen:
+        out.setdefault(r // BLOCK, []).append(r % BLOCK)
+    return out
+
+
+def _leaf(size: int) -> Column:
+    return F.floor(F.col("ordinal") / size).cast("int")
+
+
+def draw_clusters(cluster_table: DataFrame, by: list[str], replicates, seed: int, purpose: str = "draws",
+                  leaf_size: int = LEAF) -> DataFrame:
+    """One row per cluster: by, class, ordinal and its multiplicity in each replicate, as an array."""
+    strata = cluster_table.groupBy(*by, "class").agg(F.max("n").alias("n"))
+    leaves = strata.select("*", stream_id(by, purpose).alias("_stream"),
+                           F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / leaf_size).cast("int"))).alias("_leaf"))
+    leaves = leaves.repartition(shuffle_width(leaves.sparkSession))
+    schema = StructType([cluster_table.schema[k] for k in [*by, "class", "ordinal"]] + [StructField("multiplicities", ArrayType(IntegerType()))])
+    blocks = blocks_of(replicates)
+
+    def run(batches):
+        for b in batches:
+            for i, (stream, cls, n, leaf) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_stream", "class", "n", "_leaf")))):
+                made = np.hstack([leaf_multiplicities((seed, stream, cls), n, leaf, k, lanes, leaf_size) for k, lanes in blocks.items()])
+                for at in range(0, len(made), 256):
+                    part = made[at:at + 256].astype(np.int32)
+                    same = pa.array(np.full(len(part), i))
+                    ordinals = pa.array(leaf * leaf_size + at + np.arange(len(part)), pa.int64())
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32()), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(same) for c in [*by, "class"]),
+                                                      ordinals.cast(pa.int32()) if narrow else ordinals, lists], names=schema.names)
+
+    narrow = schema["ordinal"].dataType == IntegerType()
+    return leaves.mapInArrow(run, schema)
+
+
+def single_draws(drawn: DataFrame, by: list[str], replicates) -> DataFrame:
+    """by, replicate, class, ordinal, multiplicity: one row per drawn cluster and replicate."""
+    names = F.array(*[F.lit(k * BLOCK + lane) for k, lanes in blocks_of(replicates).items() for lane in lanes])
+    rows = drawn.select(*by, "class", "ordinal", F.posexplode("multiplicities").alias("_at", "multiplicity"))
+    return rows.where("multiplicity > 0").select(*by, names[F.col("_at")].alias("replicate"), "class", "ordinal", "multiplicity")
 
 
 def _array_schema(df: DataFrame, keys: list[str], names: list[str]) -> StructType:
@@ -122,27 +180,35 @@ def _per_replicate(arrays: DataFrame, by: list[str], names: list[str]) -> DataFr
     return rows.groupBy(*by, "replicate").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def replicate_metrics(packed: DataFrame, cluster_table: DataFrame, by: list[str]) -> DataFrame:
+def replicate_metrics(cluster_table: DataFrame, by: list[str], replicates, seed: int, purpose: str = "draws",
+                      leaf_size: int = LEAF) -> DataFrame:
     """Weighted confusion and threshold metrics per replicate.
 
-    Each task sums arrays per experiment and block; only these are shuffled.
+    A group is the clusters of one leaf; only its sums over each block of
+    replicates are shuffled.
     """
-    cells = ["tn", "fp", "fn", "tp"]
-    met = packed.join(cluster_table.select(*by, "class", "ordinal", *cells), [*by, "class", "ordinal"])
-    names = [*cells, "drawn"]
-
-    def add(batches):
-        sums: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            for key, rows in b.groupby([*by, "_rb"]):
-                values = np.vstack([rows[cells].to_numpy(np.float64).T, np.ones(len(rows))])
-                sums[key] = sums.get(key, 0) + values @ _weights(rows["_lanes"])
-        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=[*by, "_rb", *names])
-
-    sums = met.mapInPandas(add, _array_schema(met, [*by, "_rb"], names))
+    names = [*CELLS, "drawn"]
+    blocks = blocks_of(replicates)
+    leaves = cluster_table.select(*by, "class", "ordinal", "n", *CELLS, _leaf(leaf_size).alias("_leaf"), stream_id(by, purpose).alias("_stream"))
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        head, out = rows.iloc[0], []
+        values = np.vstack([rows[list(CELLS)].to_numpy(np.float64).T, np.ones(len(rows))])
+        local = rows["ordinal"].to_numpy() - int(head["_leaf"]) * leaf_size
+        source = (seed, head["_stream"], head["class"])
+        for block, lanes in blocks.items():
+            weights = leaf_multiplicities(source, int(head["n"]), int(head["_leaf"]), block, lanes, leaf_size)
+            sums = np.zeros((len(names), BLOCK))
+            sums[:, lanes] = values @ weights[local].astype(np.float64)
+            out.append((*head[by], block, *sums))
+        return pd.DataFrame(out, columns=[*by, "_rb", *names])
+
+    schema = StructType([leaves.schema[k] for k in by] + [StructField("_rb", IntegerType())]
+                        + [StructField(n, ArrayType(DoubleType())) for n in names])
+    sums = leaves.groupBy(*by, "class", "_leaf").applyInPandas(add, schema)
     wide = _per_replicate(sums, by, names).where("drawn > 0").drop("drawn")
-    wide = wide.withColumns({c: F.col(c).cast("bigint") for c in cells})
-    return wide.withColumns(confusion_metrics(*cells, default=None))
+    wide = wide.withColumns({c: F.col(c).cast("bigint") for c in CELLS})
+    return wide.withColumns(confusion_metrics(*CELLS, default=None))
 
 
 def score_rows(pred: DataFrame, cluster_table: DataFrame, by: list[str], site: str, label: str = "label",
@@ -150,36 +216,97 @@ def score_rows(pred: DataFrame, cluster_table: DataFrame, by: list[str], site: s
     """Site × tied score: positives, totals and score range."""
     per = pred.groupBy(*by, site, score).agg(
         F.sum(label).cast("bigint").alias("pos"), F.count(F.lit(1)).alias("tot"))
-    side = cluster_table.select(*by, site, "class", "ordinal", F.col("rows").alias("_count"))
+    side = cluster_table.select(*by, site, "class", "ordinal", "n", F.col("rows").alias("_count"))
     numbered = hot_key_join(per, side, [*by, site], "_count", [score])
     return value_ranges(numbered.drop(site), score, "_range")
 
 
-def replicate_rank_metrics(packed: DataFrame, cluster_table: DataFrame, scores: DataFrame, by: list[str],
-                           score: str = "score") -> DataFrame:
+def _weighted(batches, seed: int, blocks: dict[int, list[int]], size: int) -> Iterator[tuple]:
+    """(rows of one leaf, block, weights as rows x BLOCK bytes or 16-bit numbers).
+
+    Rows come ordered by leaf, so a leaf's multiplicities are made once per task.
+    """
+    at, made = None, {}
+    for b in batches:
+        for key, rows in b.groupby(["_stream", "class", "n", "_leaf"], sort=False):
+            if key != at:
+                at, made = key, {}
+            stream, cls, n, leaf = key
+            local = rows["ordinal"].to_numpy() - int(leaf) * size
+            for block, lanes in blocks.items():
+                if block not in made:
+                    full = np.zeros((min(size, int(n) - int(leaf) * size), BLOCK), np.uint16)
+                    full[:, lanes] = leaf_multiplicities((seed, stream, cls), int(n), int(leaf), block, lanes, size)
+                    made[block] = full.astype(np.uint8) if full.max(initial=0) < 256 else full
+                yield rows, block, made[block][local]
+
+
+def _weights(packed: pd.Series) -> np.ndarray:
+    """Rows x block: how often each replicate drew the row's site."""
+    wide = [len(x) // BLOCK for x in packed]
+    if set(wide) <= {1}:
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, BLOCK).astype(np.float64)
+    return np.stack([np.frombuffer(x, np.uint8 if k == 1 else np.uint16) for x, k in zip(packed, wide)]).astype(np.float64)
+
+
+def replicate_rank_metrics(cluster_table: DataFrame, scores: DataFrame, by: list[str], replicates, seed: int, purpose: str = "draws",
+                           score: str = "score", leaf_size: int = LEAF) -> DataFrame:
     """Average precision and ROC area per replicate.
 
-    Score rows meet the packed draws of their site once.  A first pass sums
-    every score range; the second walks each range from the highest score down,
+    Score rows gather by leaf, where their multiplicities are made.  A first
+    pass sums every score range; the second sends the rows, with a byte per
+    replicate, to their range and walks it from the highest score down,
     starting from the totals of the ranges above.  Rows are streamed, so memory
-    is a few arrays over the block.
+    is a few arrays over the block.  A hot leaf is split by the rebalancing.
     """
-    met = scores.select(*by, "class", "ordinal", "_range", F.col(score).cast("double").alias("_score"), "pos", "tot").join(
-        packed, [*by, "class", "ordinal"]).drop("class", "ordinal")
+    blocks = blocks_of(replicates)
+    met = scores.select(*by, "class", "ordinal", "n", "_range", F.col(score).cast("double").alias("_score"), "pos", "tot",
+                        _leaf(leaf_size).alias("_leaf"), stream_id(by, purpose).alias("_stream"))
+    met = met.hint("rebalance", *by, "class", "_leaf").sortWithinPartitions(*by, "class", "_leaf")
     key = [*by, "_rb", "_range"]
     names = ["_pos", "_tot"]
 
+    def keyed(fields: list[StructField]) -> StructType:
+        found = {"_rb": StructField("_rb", IntegerType())}
+        return StructType([found.get(k, met.schema[k] if k in met.columns else None) for k in key] + fields)
+
     def total(batches):
         sums: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            for k, rows in b.groupby(key):
-                sums[k] = sums.get(k, 0) + rows[["pos", "tot"]].to_numpy(np.float64).T @ _weights(rows["_lanes"])
+        for rows, block, w in _weighted(batches, seed, blocks, leaf_size):
+            ranges, at = np.unique(rows["_range"].to_numpy(), return_inverse=True)
+            part = np.zeros((len(ranges), 2, BLOCK))
+            for i, c in enumerate(("pos", "tot")):
+                spread = np.zeros((len(ranges), len(rows)), np.float32)
+                spread[at, np.arange(len(rows))] = rows[c].to_numpy()
+                for p in range(0, len(rows), 2048):  # sums of a slice are exact in 32 bits
+                    part[:, i] += spread[:, p:p + 2048] @ w[p:p + 2048].astype(np.float32)
+            head = tuple(rows[by].iloc[0])
+            for r, sum_ in zip(ranges.tolist(), part):
+                k = (*head, block, r)
+                sums[k] = sums.get(k, 0) + sum_
+            if len(sums) > 4096:
+                yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=[*key, *names])
+                sums = {}
         yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=[*key, *names])
 
-    partial = met.mapInPandas(total, _array_schema(met, key, names))
+    partial = met.mapInPandas(total, keyed([StructField(n, ArrayType(DoubleType())) for n in names]))
+
+    def send(batches):
+        for rows, block, w in _weighted(batches, seed, blocks, leaf_size):
+            out = rows[[*by, "_range", "_score", "pos", "tot"]].assign(_rb=block)
+            raw, width = w.tobytes(), w.shape[1] * w.itemsize
+            out["_w"] = [raw[i:i + width] for i in range(0, len(raw), width)]
+            out = out[w.any(axis=1)]  # no replicate of the block drew the others
+            yield out[[*key, "_score", "pos", "tot", "_w"]]
+
+    sent = met.mapInPandas(send, keyed([met.schema["_score"], met.schema["pos"], met.schema["tot"], StructField("_w", BinaryType())]))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        # one row per task that met the range
+        return pd.DataFrame([(*pdf[key].iloc[0], *[np.sum(np.stack(pdf[n]), axis=0) for n in names])], columns=[*key, *names])
 
     def above(pdf: pd.DataFrame) -> pd.DataFrame:
-        # at most one row per range and task
+        # one row per range
         pdf = pdf.sort_values("_range", ascending=False)
         out, so_far = [], np.zeros((2, BLOCK))
         for r, rows in pdf.groupby("_range", sort=False):
@@ -187,11 +314,12 @@ def replicate_rank_metrics(packed: DataFrame, cluster_table: DataFrame, scores:
             so_far = so_far + [np.sum(np.stack(rows[n]), axis=0) for n in names]
         return pd.DataFrame(out, columns=[*key, *names])
 
-    offsets = partial.groupBy(*by, "_rb").applyInPandas(above, _array_schema(met, key, names))
-    lanes = ArrayType(IntegerType())
+    # ranges as summed by tasks first, so that a group holds one row per range
+    merged = partial.groupBy(*key).applyInPandas(merge, partial.schema)
+    offsets = merged.groupBy(*by, "_rb").applyInPandas(above, partial.schema)
     heads = offsets.withColumns({"_score": F.lit(float("inf")), "pos": F.lit(None).cast("bigint"), "tot": F.lit(None).cast("bigint"),
-                                 "_lanes": F.lit(None).cast(lanes)})
-    body = met.withColumns({n: F.lit(None).cast("array<double>") for n in names})
+                                 "_w": F.lit(None).cast("binary")})
+    body = sent.withColumns({n: F.lit(None).cast("array<double>") for n in names})
     walk = body.unionByName(heads).repartition(*key).sortWithinPartitions(
         *key, F.col("_pos").isNull(), F.col("_score").desc())
     results = ["hits", "above", "pos", "neg"]
@@ -223,7 +351,7 @@ def replicate_rank_metrics(packed: DataFrame, cluster_table: DataFrame, scores:
                     sums, open_sum, value = np.zeros((4, BLOCK)), np.zeros((2, 1, BLOCK)), None
                 if not len(rows):
                     continue
-                w = _weights(rows["_lanes"])
+                w = _weights(rows["_w"])
                 scored = rows["_score"].to_numpy()
                 first = np.flatnonzero(np.append(True, scored[1:] != scored[:-1]))
                 pos, tot = (np.add.reduceat(rows[c].to_numpy(np.float64)[:, None] * w, first, axis=0) for c in ("pos", "tot"))
@@ -241,27 +369,52 @@ def replicate_rank_metrics(packed: DataFrame, cluster_table: DataFrame, scores:
             close(*open_sum)
             yield pd.DataFrame([(*at[:-1], *sums)], columns=[*by, "_rb", *results])
 
-    parts = walk.select(*key, *names, "_score", "pos", "tot", "_lanes").mapInPandas(area, _array_schema(met, [*by, "_rb"], results))
+    parts = walk.select(*key, *names, "_score", "pos", "tot", "_w").mapInPandas(area, _array_schema(sent, [*by, "_rb"], results))
     wide = _per_replicate(parts, by, results).where("pos + neg > 0")
     pos, neg = F.col("pos"), F.col("neg")
     return wide.select(*by, "replicate", ratio(F.col("hits"), pos, None).alias("pr_auc"),
                        ratio(pos * neg - F.col("above"), pos * neg, None).alias("roc_auc"))
 
 
-def bootstrap(pred: DataFrame, by: list[str], site: str, reps: int = REPLICATES, seed: int = 42, rank: bool = True,
-              label: str = "label", score: str = "score") -> DataFrame:
-    """All replicates in long form: by, replicate, metric, value."""
-    table = checkpointed(clusters(pred, by, site, label, score))
-    packed = checkpointed(packed_draws(draws(table, by, reps, seed), by))
-    wide = replicate_metrics(packed, table, by)
+def bootstrap(pred: DataFrame, by: list[str], site: str, replicates=REPLICATES, seed: int = 42, rank: bool = True,
+              label: str = "label", score: str = "score", purpose: str = "draws", table: DataFrame | None = None,
+              leaf_size: int = LEAF) -> DataFrame:
+    """Replicates (a number of them, or chosen ones) in long form: by, replicate, metric, value."""
+    table = checkpointed(clusters(pred, by, site, label, score)) if table is None else table
+    wide = replicate_metrics(table, by, replicates, seed, purpose, leaf_size)
     names = list(THRESHOLD_METRICS)
     if rank:
-        scores = score_rows(pred, table, by, site, label, score)
-        wide = wide.join(replicate_rank_metrics(packed, table, scores, by, score), [*by, "replicate"], "inner")
+        scores = checkpointed(score_rows(pred, table, by, site, label, score))
+        areas = replicate_rank_metrics(table, scores, by, replicates, seed, purpose, score, leaf_size)
+        wide = wide.join(areas, [*by, "replicate"], "inner")
         names += RANK_METRICS
     return long_metrics(wide, [*by, "replicate"], names)
 
 
+def formula_metrics(pred: DataFrame, cluster_table: DataFrame, by: list[str], site: str, replicate: int, seed: int,
+                    purpose: str = "draws", label: str = "label", score: str = "score", leaf_size: int = LEAF) -> DataFrame:
+    """One replicate by the plain weighted formulas over its rows, in long form:
+    sums and running totals of Spark in place of the arrays of ``bootstrap``."""
+    drawn = single_draws(draw_clusters(cluster_table, by, [replicate], seed, purpose, leaf_size), by, [replicate])
+    weights = cluster_table.join(drawn, [*by, "class", "ordinal"], "left").select(
+        *by, site, F.coalesce("multiplicity", F.lit(0)).alias("_weight"), F.col("rows").alias("_count"))
+    rows = hot_key_join(pred.select(*by, site, label, score), weights, [*by, site], "_count", [score])
+    y, w, z = F.col(label), F.col("_weight"), (F.col(score) >= 0.5).cast("int")
+    cell = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+    wide = rows.groupBy(*by).agg(*[F.sum(F.when((y == a) & (z == b), w).otherwise(0)).alias(c) for c, (a, b) in cell.items()])
+    wide = wide.withColumns(confusion_metrics(*CELLS, default=None))
+    tied = rows.groupBy(*by, score).agg(F.sum(y * w).alias("_pos"), F.sum(w).alias("_tot"))
+    run = global_prefix(tied, [F.col(score).desc()], {"_upto_pos": "_pos", "_upto": "_tot"}, by)
+    sums = run.groupBy(*by).agg(
+        F.sum(F.when(F.col("_upto") > 0, F.col("_upto_pos") / F.col("_upto") * F.col("_pos"))).alias("_hits"), F.sum("_pos").alias("_p"),
+        F.sum("_tot").alias("_n"), F.sum(F.col("_pos") * (F.col("_upto") - F.col("_upto_pos") - (F.col("_tot") - F.col("_pos")) / 2)).alias("_above"))
+    neg = F.col("_n") - F.col("_p")
+    areas = sums.select(*by, ratio(F.col("_hits"), F.col("_p"), None).alias("pr_auc"),
+                        (1 - ratio(F.col("_above"), F.col("_p") * neg, None)).alias("roc_auc"))
+    wide = wide.join(areas, by, "inner").withColumn("replicate", F.lit(replicate))
+    return long_metrics(wide, [*by, "replicate"], [*THRESHOLD_METRICS, *RANK_METRICS])
+
+
 def with_point_estimates(intervals: DataFrame, metrics: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """Intervals beside the value of the undisturbed sample (one row per ``by``)."""
     points = long_metrics(metrics, by, names).withColumnRenamed("value", "estimate")

@@ -137,12 +137,19 @@ CLUSTERS_SQL = f"""per AS (SELECT regime, model, site, min(label) AS class, coun
       count(*) OVER (PARTITION BY regime, model, class) AS n FROM per)"""
 
 
+_U64 = "18446744073709551615::UHUGEINT"
+
+
 def draws_sql(purpose: str = "draws") -> str:
-    blocks = (REPS + 3) // 4
-    return f"""hexes AS (SELECT regime, model, class, n, block, sha256('{SEED}|' || sha256(regime || '|' || model || '|{purpose}') || '|' || class || '|' || ordinal
-        || '|' || block) AS hx FROM clusters CROSS JOIN range({blocks}) AS b(block)),
-    drawn AS (SELECT regime, model, CAST(block * 4 + lane AS INTEGER) AS replicate, class,
-        CAST('0x' || substr(hx, CAST(1 + 15 * lane AS BIGINT), 15) AS BIGINT) % n AS ordinal FROM hexes CROSS JOIN range(4) AS l(lane) WHERE block * 4 + lane < {REPS})"""
+    """Draws of classes that fit into one leaf; larger ones are tested against the binomial tree."""
+    mix = "SELECT * EXCLUDE x, (({}::UHUGEINT) & {})::UBIGINT AS x FROM {}".format
+    return f"""keys AS (SELECT regime, model, class, n, replicate, ('0x' || substr(sha256('{SEED}|' || sha256(regime || '|' || model || '|{purpose}')
+        || '|' || class || '|' || replicate), 1, 15))::UBIGINT AS key
+      FROM (SELECT DISTINCT regime, model, class, n FROM clusters) CROSS JOIN (SELECT i::INTEGER AS replicate FROM range({REPS}) AS r(i))),
+    x0 AS (SELECT regime, model, class, n, replicate, ((key::UHUGEINT + i::UHUGEINT * {B.GAMMA}) & {_U64})::UBIGINT AS x
+      FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM keys)),
+    x1 AS ({mix(f"xor(x, x >> 30)::UHUGEINT * {B.MIX_1}", _U64, "x0")}), x2 AS ({mix(f"xor(x, x >> 27)::UHUGEINT * {B.MIX_2}", _U64, "x1")}),
+    drawn AS (SELECT regime, model, class, replicate, CAST((xor(x, x >> 31) >> 4) % n AS BIGINT) AS ordinal FROM x2)"""
 
 
 @query("b02_clusters", f"{PURE}, {CLUSTERS_SQL} SELECT * FROM clusters")
@@ -158,11 +165,17 @@ def b03(t: Tables):
 
 
 @query("b04_draw_clusters", f"""{PURE}, {CLUSTERS_SQL}, {draws_sql()}, m AS (SELECT regime, model, replicate, class, ordinal, count(*) AS k FROM drawn GROUP BY ALL)
-    SELECT regime, model, class, ordinal, count(*) AS replicates, CAST(sum(k) AS BIGINT) AS draws, CAST(max(k) AS BIGINT) AS most FROM m GROUP BY ALL""")
+    SELECT regime, model, class, ordinal, count(*) AS replicates, CAST(sum(k) AS BIGINT) AS draws, CAST(max(k) AS BIGINT) AS most,
+      sha256(string_agg(replicate || ':' || k, ',' ORDER BY replicate)) AS multiplicities_sha256 FROM m GROUP BY ALL""")
 def b04(t: Tables):
+    """The multiplicities of every cluster in all replicates, as a digest of their list."""
     table = R.checkpointed(B.clusters(t.scored(True), EXP, "site"))
-    return B.draw_clusters(table, EXP, REPS, SEED).groupBy(*EXP, "class", "ordinal").agg(
-        F.count(F.lit(1)).alias("replicates"), F.sum("multiplicity").alias("draws"), F.max("multiplicity").alias("most"))
+    drawn = B.draw_clusters(table, EXP, REPS, SEED)
+    ks = F.col("multiplicities")
+    listed = F.filter(F.transform(ks, lambda k, i: F.when(k > 0, F.concat_ws(":", i, k))), lambda x: x.isNotNull())
+    return drawn.select(*EXP, "class", "ordinal", F.size(F.array_remove(ks, 0)).cast("bigint").alias("replicates"),
+                        F.aggregate(ks, F.lit(0).cast("bigint"), lambda a, k: a + k).alias("draws"),
+                        F.array_max(ks).cast("bigint").alias("most"), F.sha2(F.concat_ws(",", listed), 256).alias("multiplicities_sha256")).where("draws > 0")
 
 
 REPLICATE_SQL = f"""{CLUSTERS_SQL}, {draws_sql()}, rc AS (SELECT regime, model, replicate, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp,
@@ -171,7 +184,7 @@ REPLICATE_SQL = f"""{CLUSTERS_SQL}, {draws_sql()}, rc AS (SELECT regime, model,
 
 def replicates(t: Tables):
     table = R.checkpointed(B.clusters(t.scored(True), EXP, "site"))
-    return B.replicate_metrics(B.packed_draws(B.draws(table, EXP, REPS, SEED), EXP), table, EXP)
+    return B.replicate_metrics(table, EXP, REPS, SEED)
 
 
 @query("b05_j11_replicate_metrics", f"{PURE}, {REPLICATE_SQL} SELECT *, {metric_sql('')} FROM rc")
@@ -179,21 +192,23 @@ def b05(t: Tables):
     return rounded(replicates(t), *THRESHOLD)
 
 
-@query("b06_replicate_rank_metrics", f"""{PURE}, {CLUSTERS_SQL}, {draws_sql()},
-    s AS (SELECT regime, model, site, score, sum(label) AS pos, count(*) AS tot FROM scored GROUP BY ALL),
+RANK_REPLICATE_SQL = """s AS (SELECT regime, model, site, score, sum(label) AS pos, count(*) AS tot FROM scored GROUP BY ALL),
     m AS (SELECT regime, model, replicate, class, ordinal, count(*) AS mult FROM drawn GROUP BY ALL),
     g AS (SELECT regime, model, replicate, score, sum(pos * mult) AS pos, sum((tot - pos) * mult) AS neg, sum(tot * mult) AS tot
       FROM m JOIN clusters USING (regime, model, class, ordinal) JOIN s USING (regime, model, site) GROUP BY ALL),
     r AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(tot) OVER w AS ct, sum(neg) OVER (PARTITION BY regime, model, replicate) AS nn
-      FROM g WINDOW w AS (PARTITION BY regime, model, replicate ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
-    SELECT regime, model, replicate, round(sum(cp / ct * pos) / sum(pos), 6) AS pr_auc,
-    round(sum(pos * (nn - cn + 0.5 * neg)) / (sum(pos)::DOUBLE * max(nn)), 6) AS roc_auc FROM r GROUP BY ALL""")
+      FROM g WINDOW w AS (PARTITION BY regime, model, replicate ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+    ra AS (SELECT regime, model, replicate, sum(cp / ct * pos) / sum(pos) AS pr_auc,
+      sum(pos * (nn - cn + 0.5 * neg)) / (sum(pos)::DOUBLE * max(nn)) AS roc_auc FROM r GROUP BY ALL)"""
+
+
+@query("b06_replicate_rank_metrics", f"""{PURE}, {CLUSTERS_SQL}, {draws_sql()}, {RANK_REPLICATE_SQL}
+    SELECT regime, model, replicate, round(pr_auc, 6) AS pr_auc, round(roc_auc, 6) AS roc_auc FROM ra""")
 def b06(t: Tables):
     pred = t.scored(True)
     table = R.checkpointed(B.clusters(pred, EXP, "site"))
-    scores = B.score_rows(pred, table, EXP, "site")
-    packed = R.checkpointed(B.packed_draws(B.draws(table, EXP, REPS, SEED), EXP))
-    return rounded(B.replicate_rank_metrics(packed, table, scores, EXP), "pr_auc", "roc_auc")
+    scores = R.checkpointed(B.score_rows(pred, table, EXP, "site"))
+    return rounded(B.replicate_rank_metrics(table, scores, EXP, REPS, SEED), "pr_auc", "roc_auc")
 
 
 _MCC = "(tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn))"
@@ -235,11 +250,41 @@ def s13(t: Tables):
     return rounded(t.spark.read.schema("model string, replicate int, metric string, value double, experiment_id string").parquet(path), "value")
 
 
-@query("b11_replay_check")
+NAMES = [*B.THRESHOLD_METRICS, *B.RANK_METRICS]
+REPLAYED = [1, 2, 3, 4, 5]
+
+
+@query("b11_replay_check", f"""{PURE}, e AS (SELECT count(DISTINCT regime || model) AS n FROM scored)
+    SELECT n * {len(NAMES) * len(REPLAYED)} AS compared, TRUE AS within, n * {len(NAMES)} AS formula_compared, TRUE AS formula_within FROM e""")
 def b11(t: Tables):
-    saved = R.checkpointed(mcc_long(t))
-    again = mcc_long(t).where(F.pmod(h60("replay", F.col("replicate")), F.lit(10)) == 0)
-    return B.replay_check(saved, again, EXP)
+    """Five replicates drawn again by themselves against the saved ones, and the first of them by plain formulas."""
+    pred = t.scored(True)
+    table = R.checkpointed(B.clusters(pred, EXP, "site"))
+    saved = R.checkpointed(B.bootstrap(pred, EXP, "site", REPS, SEED, table=table))
+    again = B.replay_check(saved, B.bootstrap(pred, EXP, "site", REPLAYED, SEED, table=table), EXP)
+    plain = B.replay_check(saved, B.formula_metrics(pred, table, EXP, "site", REPLAYED[0], SEED), EXP)
+    return again.select("compared", "within").crossJoin(  # two single rows
+        plain.select(F.col("compared").alias("formula_compared"), F.col("within").alias("formula_within")))
+
+
+_LONG_SQL = f"""pv AS (SELECT rc.*, {_MCC} AS mcc, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, tn / nullif(tn + fp, 0) AS specificity,
+      fp / nullif(tn + fp, 0) AS fpr, (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS balanced_accuracy,
+      (2 * tp / nullif(2 * tp + fp + fn, 0) + 2 * tn / nullif(2 * tn + fp + fn, 0)) / 2 AS macro_f1, pr_auc, roc_auc
+      FROM {{0}} rc JOIN {{1}} ra USING ({{2}})),
+    long AS (UNPIVOT (SELECT {{2}}, {', '.join(NAMES)} FROM pv) ON {', '.join(NAMES)} INTO NAME metric VALUE value)"""
+
+
+@query("b12_bootstrap_table", f"""{PURE}, {REPLICATE_SQL}, {RANK_REPLICATE_SQL}, reps AS (WITH {_LONG_SQL.format("rc", "ra", "regime, model, replicate")} SELECT * FROM long),
+    ci AS (SELECT regime, model, metric, count(value) AS replicates, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper FROM reps GROUP BY ALL),
+    {CELLS_SQL}, {GROUPS_SQL}, {AREAS_SQL}, points AS (WITH {_LONG_SQL.format("cells", "ar", "regime, model")} SELECT * FROM long)
+    SELECT regime, model, metric, replicates, round(lower, 6) AS lower, round(upper, 6) AS upper, round(value, 6) AS estimate FROM ci JOIN points USING (regime, model, metric)""")
+def b12(t: Tables):
+    """Nine metrics of every experiment: point estimate and 95 % interval of 2,000 replicates."""
+    pred = t.scored(True)
+    found = R.checkpointed(B.bootstrap(pred, EXP, "site", REPS, SEED))
+    intervals = B.percentile_ci(B.assert_complete(found, EXP, REPS), EXP)
+    points = K.classification_metrics(pred, EXP)
+    return rounded(B.with_point_estimates(intervals, points, EXP, NAMES), "lower", "upper", "estimate")
 
 
 # ---------------------------------------------------------------- scaling, TF-IDF, selection

@@ -126,8 +126,7 @@ class Tables:
                                    for r, m in EXPERIMENTS])).alias("e")
         o = o.select("*", exps).select("e.*", "id", "site", "label")
         tag = F.concat("regime", "model")
-        raw = 0.5 * F.col("label") * unit("u1", tag, F.col("id")) + 0.5 * unit("u2", tag, F.col("id"))
-        o = o.withColumn("score", F.floor(raw * 1000) / 1000.0)
+        o = o.withColumn("score", 0.5 * F.col("label") * unit("u1", tag, F.col("id")) + 0.5 * unit("u2", tag, F.col("id")))
         if pure:
             o = o.withColumn("site", F.concat_ws("-", F.col("site"), F.col("label")))
         return o
@@ -296,7 +295,7 @@ def scored_sql(pure: bool = False) -> str:
     site = "site || '-' || label" if pure else "site"
     u1, u2 = (sql_unit(f"'{u}'", "regime || model", "id") for u in ("u1", "u2"))
     return (ORDERS_SQL + f", scored AS (SELECT regime, model, id, {site} AS site, label, "
-            f"floor((0.5 * label * {u1} + 0.5 * {u2}) * 1000) / 1000.0 AS score "
+            f"0.5 * label * {u1} + 0.5 * {u2} AS score "
             f"FROM ord CROSS JOIN (VALUES {exps}) AS e(regime, model))")
 
 

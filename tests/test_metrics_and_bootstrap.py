@@ -61,29 +61,49 @@ def test_spearman_matches_pandas(pred):
     assert got == pytest.approx(p["score"].rank().corr(p["id"].rank()), abs=1e-12)
 
 
-def test_bootstrap_matches_brute_force(pred):
+@pytest.mark.parametrize("leaf", [B.LEAF, 16])
+def test_bootstrap_matches_brute_force(pred, leaf):
     reps = B.BLOCK + 4  # two blocks
+    chosen = [0, 1, 5, B.BLOCK - 1, B.BLOCK, reps - 1]
     table = B.clusters(pred, ["e"], "site")
-    drawn = B.draw_clusters(table, ["e"], reps, 42)
+    drawn = B.single_draws(B.draw_clusters(table, ["e"], reps, 42, leaf_size=leaf), ["e"], reps)
     sizes = {r["class"]: r["n"] for r in table.select("class", "n").distinct().collect()}
-    for r in drawn.groupBy("replicate", "class").agg(F.sum("multiplicity").alias("m")).collect():
-        assert r["m"] == sizes[r["class"]]
+    totals = drawn.groupBy("replicate", "class").agg(F.sum("multiplicity").alias("m")).collect()
+    assert len(totals) == 2 * reps and all(r["m"] == sizes[r["class"]] for r in totals)
     want = drawn.join(table.select("class", "ordinal", "site"), ["class", "ordinal"]).toPandas()
     p = pred.toPandas()
-    got = B.bootstrap(pred, ["e"], "site", reps, 42).toPandas()
+    got = B.bootstrap(pred, ["e"], "site", reps, 42, leaf_size=leaf).toPandas()
     assert len(got) == 9 * reps
-    for rep in (0, 1, 5, B.BLOCK - 1, B.BLOCK, reps - 1):
+    for rep in chosen:
         w = p["site"].map(want[want["replicate"] == rep].set_index("site")["multiplicity"]).fillna(0)
         values = got[got["replicate"] == rep].set_index("metric")["value"]
         assert tuple(values[["mcc", "pr_auc", "roc_auc"]]) == pytest.approx(brute(p["label"], p["score"], w), abs=1e-12)
-
-
-def test_draws_and_multiplicities_pack_alike(pred):
-    table = B.clusters(pred, ["e"], "site")
-    drawn = B.draws(table, ["e"], 4, 1)
-    a = sorted(map(str, B.replicate_metrics(B.packed_draws(drawn, ["e"]), table, ["e"]).collect()))
-    counted = B.packed_draws(B.draw_clusters(table, ["e"], 4, 1), ["e"])
-    assert sorted(map(str, B.replicate_metrics(counted, table, ["e"]).collect())) == a and len(a) == 4
+    # chosen replicates alone, and the first by plain formulas
+    again = B.bootstrap(pred, ["e"], "site", chosen, 42, leaf_size=leaf).toPandas()
+    both = again.merge(got, on=["replicate", "metric"])
+    assert len(both) == 9 * len(chosen) and (both["value_x"] - both["value_y"]).abs().max() < 1e-12
+    plain = B.formula_metrics(pred, table, ["e"], "site", 5, 42, leaf_size=leaf).toPandas().merge(got, on=["replicate", "metric"])
+    assert len(plain) == 9 and (plain["value_x"] - plain["value_y"]).abs().max() < 1e-12
+
+
+def test_leaf_counts_are_a_multinomial():
+    n, leaves = 83, 11
+    counts = np.stack([B.leaf_counts((1, "s", 0), n, k, 3, 8) for k in range(leaves)])
+    assert counts.shape == (leaves, B.BLOCK) and (counts.sum(axis=0) == n).all() and counts.min() >= 0
+    share = np.array([8] * 10 + [3]) / n
+    spread = np.sqrt(n * share * (1 - share) / B.BLOCK)
+    assert (np.abs(counts.mean(axis=1) - n * share) < 5 * spread).all()
+    made = np.stack([B.leaf_multiplicities((1, "s", 0), n, 10, 3, [7, 200], 8)])
+    assert (made.sum(axis=1) == counts[10, [7, 200]]).all()
+
+
+def test_multiplicities_are_uniform():
+    n = 500
+    made = np.hstack([B.leaf_multiplicities((9, "s", 1), n, 0, k, list(range(B.BLOCK))) for k in range(8)]).astype(float)
+    assert (made.sum(axis=0) == n).all()
+    assert abs(made.var() - (1 - 1 / n)) < 0.01  # of a binomial (n, 1/n)
+    assert np.abs(made.mean(axis=1) - 1).max() < 5 / np.sqrt(made.shape[1])
+    assert abs(np.corrcoef(made[0], made[1])[0, 1] + 1 / (n - 1)) < 0.1
 
 
 def test_draws_do_not_depend_on_partitioning(pred):
