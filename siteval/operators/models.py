@@ -5,13 +5,15 @@ from __future__ import annotations
 import itertools
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.feature import Normalizer, OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteval.functions.features import FEATURES
@@ -28,6 +30,9 @@ GRIDS = {
 # Parameters that grow with model capacity, in tie-break order.
 CAPACITY = {"M1": ["C"], "M2": ["max_iter", "max_leaf_nodes", "learning_rate"], "M3": ["C", "max_features"]}
 
+FITS_AT_ONCE = 4  # fits that share the cluster; each keeps its own state on the driver
+ROWS_PER_TASK = 25_000  # an iteration over fewer rows costs more in scheduling than in work
+
 # Columns that identify rows, groups or labels.
 FORBIDDEN = {
     "combined_row_id", "label", "site_key_private", "site_key_icann", "hostname", "normalized_url",
@@ -104,6 +109,25 @@ def fit_gbt(train: DataFrame, params: dict, label: str = "label", features: str
         maxDepth=depth, maxBins=255, minInstancesPerNode=20, lossType="logistic", seed=seed).fit(train)
 
 
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model after its first ``n`` rounds: boosting only adds trees, so one
+    long fit holds every shorter one."""
+    fitted = model._java_obj
+    if n >= model.getNumTrees:
+        return model
+    gateway = SparkContext._active_spark_context._gateway
+    kind = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    all_trees, all_weights = fitted.trees(), fitted.treeWeights()
+    for i in range(n):
+        trees[i], weights[i] = all_trees[i], all_weights[i]
+    short = kind(f"{model.uid}_{n}", trees, weights)
+    for p in ("featuresCol", "labelCol", "predictionCol", "probabilityCol", "rawPredictionCol"):
+        short.set(short.getParam(p), fitted.getOrDefault(fitted.getParam(p)))
+    return GBTClassificationModel(short)
+
+
 def fit_baseline(kind: str, train: DataFrame, label: str = "label") -> PipelineModel:
     """B1: URL length alone.  B2: one-hot public suffix."""
     if kind == "B1":
@@ -151,10 +175,29 @@ class CharNgrams:
         return tf.sparse_rows(df, self.key, tf.tfidf_weights(tokens, self.key, self.vocabulary), self.size)
 
 
+class FirstRanks:
+    """The first ranks of a wider vocabulary: rows are cut and scaled to length 1 again."""
+
+    def __init__(self, whole: CharNgrams, size: int, made: dict[int, DataFrame]):
+        self.whole, self.size, self.made = whole, size, made
+        self.slicer = VectorSlicer(inputCol="features", outputCol="_cut", indices=list(range(size)))
+        self.scaler = Normalizer(inputCol="_cut", outputCol="features", p=2.0)
+
+    def vectors(self, df: DataFrame) -> DataFrame:
+        """Of rows that the wider bench has already made, or new ones."""
+        wide = self.made[id(df)] if id(df) in self.made else self.whole.vectors(df)
+        return self.scaler.transform(self.slicer.transform(wide).drop("features")).drop("_cut")
+
+
 # ---------------------------------------------------------------- search and selection
 
 class Bench:
-    """Train and validation vectors of one experiment, prepared once per representation."""
+    """Train and validation vectors of one experiment, prepared once per representation.
+
+    All penalties share one matrix; a smaller n-gram vocabulary is the first
+    ranks of the largest one, scaled anew.  Fitted models are kept, so a refit
+    of the same candidate is the same model.  ``close`` gives the memory back.
+    """
 
     def __init__(self, train: DataFrame, val: DataFrame, key: str, label: str, text: str,
                  features: list[str] | None = None, min_df: int = tf.MIN_DF):
@@ -162,44 +205,99 @@ class Bench:
         self.key, self.label, self.text = key, label, text
         self.features, self.min_df = features or list(FEATURES), min_df
         self.rows = train.count()
+        self.largest = 0  # vocabulary asked for so far
         self._ready: dict[tuple, tuple] = {}
+        self._models: dict[tuple, Transformer] = {}
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        tasks = max(1, -(-self.rows // ROWS_PER_TASK))
+        return df.select(self.key, self.label, "features").coalesce(tasks).persist()
 
     def prepared(self, model_id: str, params: dict):
         name = (model_id, params.get("max_features"))
         if name not in self._ready:
             if model_id == "M3":
-                rep = CharNgrams(self.train, self.key, self.text, params["max_features"], self.min_df)
+                rep = self._ngrams(params["max_features"])
             else:
                 rep = Tabular(self.train, self.features, scaled=model_id == "M1")
-            keep = [self.key, self.label, "features"]
-            self._ready[name] = (rep, rep.vectors(self.train).select(*keep).persist(),
-                                 rep.vectors(self.val).select(*keep).persist())
+            self._ready[name] = (rep, self._kept(rep.vectors(self.train)), self._kept(rep.vectors(self.val)))
         return self._ready[name]
 
+    def _ngrams(self, size: int):
+        """The widest vocabulary is built once; a smaller one takes its first ranks."""
+        widest = max(self.largest, size)
+        if size == widest:
+            return CharNgrams(self.train, self.key, self.text, size, self.min_df)
+        whole, train, val = self.prepared("M3", {"max_features": widest})
+        return FirstRanks(whole, size, {id(self.train): train, id(self.val): val}) if size < whole.size else whole
+
     def fit(self, model_id: str, params: dict):
+        """The representation, the model and the validation vectors of a candidate."""
         rep, train, val = self.prepared(model_id, params)
-        if model_id == "M2":
-            return rep, fit_gbt(train, params, self.label), val
-        return rep, fit_logistic(train, params["C"], self.rows, self.label), val
+        name = (model_id, json.dumps(params, sort_keys=True))
+        if name not in self._models:
+            if model_id == "M2":
+                self._models[name] = fit_gbt(train, params, self.label)
+            else:
+                self._models[name] = fit_logistic(train, params["C"], self.rows, self.label)
+        return rep, self._models[name], val
+
+    def fit_all(self, model_id: str, grid: dict) -> None:
+        """Every candidate of a grid, some side by side; boosting rounds are fitted once for all their prefixes."""
+        wanted = list(candidates(grid))
+        self.largest = max([self.largest, *grid.get("max_features", [])])
+        for params in wanted:
+            self.prepared(model_id, params)[1].count()
+        if model_id != "M2":
+            _side_by_side(lambda p: self.fit(model_id, p), wanted)
+            return
+        most = max(p["max_iter"] for p in wanted)
+        longest = [p for p in wanted if p["max_iter"] == most]
+        _side_by_side(lambda p: self.fit(model_id, p), longest)
+        for params in wanted:
+            whole = self._models[model_id, json.dumps(params | {"max_iter": most}, sort_keys=True)]
+            self._models[model_id, json.dumps(params, sort_keys=True)] = first_trees(whole, params["max_iter"])
 
     def close(self) -> None:
-        for _, train, val in self._ready.values():
+        for rep, train, val in self._ready.values():
             train.unpersist()
             val.unpersist()
+            if isinstance(rep, CharNgrams):
+                rep.vocabulary.table.unpersist()
+        self._ready.clear()
+        self._models.clear()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
+
+
+def _side_by_side(fn: Callable, items: list) -> None:
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        list(pool.map(inheritable_thread_target(fn), items))
 
 
 def search(bench: Bench, grids: dict[str, dict]) -> DataFrame:
-    """Every candidate fitted on train and scored on validation: one row each."""
+    """Every candidate fitted on train and scored on validation: one row each.
+
+    The candidates of a model are measured by one job.
+    """
+    names = ("mcc", "pr_auc", "roc_auc", "macro_f1", "recall", "precision")
     rows = []
     for model_id, grid in grids.items():
+        bench.fit_all(model_id, grid)
+        scored = None
         for i, params in enumerate(candidates(grid), 1):
             _, model, val = bench.fit(model_id, params)
-            scored = score(model, val, [bench.key, bench.label]).withColumn("e", F.lit(0))
-            m = classification_metrics(scored, ["e"], bench.label).first().asDict()
-            rows.append((model_id, f"{model_id}_{i}", json.dumps(params, sort_keys=True), bench.rows,
-                         *[float(m[k]) for k in ("mcc", "pr_auc", "roc_auc", "macro_f1", "recall", "precision")]))
-    schema = ("model_id string, candidate_id string, parameter_json string, train_n long, mcc double, "
-              "pr_auc double, roc_auc double, macro_f1 double, recall double, precision double")
+            part = score(model, val, [bench.key, bench.label]).withColumn("candidate_id", F.lit(f"{model_id}_{i}"))
+            scored = part if scored is None else scored.unionByName(part)
+        found = {r["candidate_id"]: r for r in classification_metrics(scored, ["candidate_id"], bench.label).collect()}
+        for i, params in enumerate(candidates(grid), 1):
+            m = found[f"{model_id}_{i}"]
+            rows.append((model_id, f"{model_id}_{i}", json.dumps(params, sort_keys=True), bench.rows, *[float(m[k]) for k in names]))
+    schema = "model_id string, candidate_id string, parameter_json string, train_n long, " + ", ".join(f"{n} double" for n in names)
     return bench.train.sparkSession.createDataFrame(rows, schema)
 
 
@@ -278,7 +376,6 @@ def load_model(loader, root: str, regime: str, model_id: str, role: str = "model
 
 def coefficient_table(model, features: list[str]) -> DataFrame:
     """(feature, feature_index, coefficient) of a fitted linear model."""
-    from pyspark.sql import SparkSession
     spark = SparkSession.active()
     rows = [(f, i, float(v)) for i, (f, v) in enumerate(zip(features, model.coefficients.toArray()))]
     return spark.createDataFrame(rows, "feature string, feature_index int, coefficient double")

@@ -15,6 +15,7 @@ from siteval.functions.features import ablation_features
 from siteval.operators import integrity as I
 from siteval.operators import models as M
 from siteval.operators.metrics import classification_metrics
+from siteval.operators.ranking import checkpointed
 from siteval.operators.splits import apply_cap
 
 
@@ -48,17 +49,18 @@ def run_experiment(rows: DataFrame, path: str, regime: str, seed: int, variant:
         rows = apply_cap(rows, capped, key)
     cols = features or ablation_features(ablation)
     part = {p: rows.where(F.col("partition") == p) for p in ("train", "validation", "test")}
-    bench = M.Bench(part["train"], part["validation"], key, label, text, cols, min_df)
-    results = M.search(bench, grids or M.GRIDS)
-    selected = M.select_best(results, tie=tie)
-    record = f"{path}/{regime}_{seed}_{variant}_{ablation or 'FULL'}"
-    M.freeze_selection(selected, split_hash(rows, key), search_hash(results), record)
-
-    chosen = M.open_test_gate(rows.sparkSession, record, split_hash(rows, key), search_hash(results))
-    predictions = M.score_test(bench, chosen, part["test"], list(keep))
-    tags = {"regime": F.lit(regime), "split_seed": F.lit(seed), "variant": F.lit(variant),
-            "feature_set": F.lit(ablation or "FULL")}
-    predictions = predictions.withColumns(tags)
+    with M.Bench(part["train"], part["validation"], key, label, text, cols, min_df) as bench:
+        results = M.search(bench, grids or M.GRIDS)
+        selected = M.select_best(results, tie=tie)
+        record = f"{path}/{regime}_{seed}_{variant}_{ablation or 'FULL'}"
+        M.freeze_selection(selected, split_hash(rows, key), search_hash(results), record)
+
+        chosen = M.open_test_gate(rows.sparkSession, record, split_hash(rows, key), search_hash(results))
+        predictions = M.score_test(bench, chosen, part["test"], list(keep))
+        tags = {"regime": F.lit(regime), "split_seed": F.lit(seed), "variant": F.lit(variant),
+                "feature_set": F.lit(ablation or "FULL")}
+        # written out, because the bench's vectors go
+        predictions = checkpointed(predictions.withColumns(tags))
     metrics = classification_metrics(predictions, [*tags, "model_id"], label)
     return Result(results, chosen, predictions, metrics)
 

@@ -391,8 +391,8 @@ def m06(t: Tables):
     """All candidates of the three models, fitted on train and scored on validation."""
     rows = R.checkpointed(url_features(t.parsed()).withColumn("url_text", F.col("raw_url")))
     rows = R.checkpointed(assign_regime(rows, "A", 42))
-    bench = M.Bench(rows.where("partition = 'train'"), rows.where("partition = 'validation'"), "record_id", "label", "url_text")
-    return M.search(bench, M.GRIDS).select("model_id", "candidate_id", "train_n", F.round("mcc", 3).alias("mcc"))
+    with M.Bench(rows.where("partition = 'train'"), rows.where("partition = 'validation'"), "record_id", "label", "url_text") as bench:
+        return M.search(bench, M.GRIDS).select("model_id", "candidate_id", "train_n", F.round("mcc", 3).alias("mcc"))
 
 
 @query("m10_score_test")

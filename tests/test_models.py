@@ -49,6 +49,31 @@ def test_search_select_score(spark, parts, folder):
     bench.close()
 
 
+def test_first_rounds_are_the_shorter_fit(parts):
+    train, val, _ = parts
+    train, val = (M.assemble(x, ["url_length", "dot_count"]) for x in (train, val))
+    params = {"learning_rate": .1, "max_leaf_nodes": 7}
+    long, short = (M.fit_gbt(train, params | {"max_iter": n}) for n in (6, 3))
+    cut = M.first_trees(long, 3)
+    assert cut.getNumTrees == 3 and M.first_trees(long, 6) is long
+    a, b = (M.score(m, val, ["id"]).orderBy("id").toPandas() for m in (cut, short))
+    assert a["score"].tolist() == pytest.approx(b["score"].tolist(), abs=1e-12)
+
+
+def test_small_vocabulary_is_the_start_of_a_large_one(parts):
+    train, val, _ = parts
+    with M.Bench(train, val, "id", "label", "url", ["url_length"]) as bench:
+        bench.largest = 60
+        cut = bench.prepared("M3", {"C": 1.0, "max_features": 20})
+        assert isinstance(cut[0], M.FirstRanks)
+        plain = M.CharNgrams(train, "id", "url", 20)
+        for made, rows in ((cut[1], train), (cut[2], val)):
+            want = {r["id"]: r["features"].toArray() for r in plain.vectors(rows).collect()}
+            got = {r["id"]: r["features"].toArray() for r in made.collect()}
+            assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    assert not bench._ready and not bench._models
+
+
 def test_ties(spark):
     r = spark.createDataFrame([("M2", "a", '{"learning_rate": 0.1, "max_iter": 100, "max_leaf_nodes": 31}', .9),
                                ("M2", "b", '{"learning_rate": 0.05, "max_iter": 100, "max_leaf_nodes": 31}', .9),
