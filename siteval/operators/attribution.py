@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteval.functions.hashing import h60
 from siteval.functions.stats import confusion_cells, confusion_metrics, ratio
 from siteval.operators.metrics import spearman
-from siteval.operators.ranking import average_rank, first_by_hash, hash_ordinal
+from siteval.operators.ranking import average_rank, checkpointed, first_by_hash, hash_ordinal
+
+EXCHANGE_ROWS = 256  # positions whose permuted values meet in one group
 
 
 def compare_coefficients(a: DataFrame, c: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -116,6 +122,92 @@ def model_permutation_importance(df: DataFrame, key: str, label: str, cols: list
                        score_fn(wide).withColumn("_z", F.col("predicted")), label)
 
 
+def shuffled_positions(pos: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A keyed permutation of 0..n-1, applied to any of its positions.
+
+    Four Feistel rounds permute the next power of four; positions that land
+    beyond n - 1 walk on until they are inside, which keeps it one to one.
+    """
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
+    mask = np.uint64((1 << int(half)) - 1)
+    out = pos.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for i in range(4):
+            x = (right + np.uint64((key + (i + 1) * 0x9E3779B97F4A7C15) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((x >> np.uint64(32)) & mask)
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+def run_key(seed: int, feature: str, repeat: int) -> int:
+    return int(hashlib.sha256(f"{seed}|run|{feature}|{repeat}".encode()).hexdigest()[:15], 16)
+
+
+def moved_values(numbered: DataFrame, n: int, runs: list[tuple[str, int]], seed: int) -> DataFrame:
+    """pos and ``moved``: for each run (feature, repeat), the value that the position receives.
+
+    Every row sends its values to the positions that the runs' permutations
+    give, packed per group of positions: one exchange for all runs, no sort.
+    """
+    cols = sorted({f for f, _ in runs})
+    keys = [(cols.index(f), run_key(seed, f, r)) for f, r in runs]
+    width = len(runs)
+
+    def send(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                pos = b.column("pos").to_numpy()
+                x = [b.column(c).to_numpy(zero_copy_only=False) for c in cols]
+                to = np.stack([shuffled_positions(pos, n, key) for _, key in keys])
+                value = np.stack([x[k] for k, _ in keys]).ravel()
+                group = (to // EXCHANGE_ROWS).ravel()
+                cell = (to % EXCHANGE_ROWS * width + np.arange(width)[:, None]).ravel().astype(np.int32)
+                order = np.argsort(group, kind="stable")
+                first = np.flatnonzero(np.diff(group[order], prepend=-1))
+                ends = np.append(first[1:], len(order))
+                yield pa.RecordBatch.from_pydict({
+                    "_group": pa.array(group[order][first], pa.int64()),
+                    "_cells": pa.array([cell[order[i:j]].tobytes() for i, j in zip(first, ends)], pa.binary()),
+                    "_values": pa.array([value[order[i:j]].tobytes() for i, j in zip(first, ends)], pa.binary())})
+
+    def receive(table: pa.Table) -> pa.Table:
+        base = table.column("_group")[0].as_py() * EXCHANGE_ROWS
+        rows = min(EXCHANGE_ROWS, n - base)
+        out = np.full(rows * width, np.nan)
+        for cells, values in zip(table.column("_cells"), table.column("_values")):
+            out[np.frombuffer(cells.as_buffer(), np.int32)] = np.frombuffer(values.as_buffer(), np.float64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(out))
+        return pa.table({"pos": pa.array(base + np.arange(rows), pa.int64()), "moved": lists})
+
+    values = numbered.select(F.col("pos").cast("bigint"), *[F.col(c).cast("double") for c in cols])
+    sent = values.mapInArrow(send, "_group long, _cells binary, _values binary")
+    return sent.groupBy("_group").applyInArrow(receive, "pos long, moved array<double>")
+
+
+def keyed_permutation_importance(df: DataFrame, key: str, label: str, cols: list[str], score_fn, repeats: int,
+                                 seed: int, runs: list[tuple[str, int]] | None = None) -> DataFrame:
+    """Drop of MCC per feature and repeat for any model.
+
+    ``score_fn`` adds ``predicted`` to a table that has all feature columns;
+    one widened scoring pass.  ``runs`` chooses some (feature, repeat) alone.
+    """
+    runs = runs or [(c, r) for c in cols for r in range(repeats)]
+    numbered = checkpointed(hash_ordinal(df.select(key, label, *cols), [], h60("position", F.col(key)), key, "pos"))
+    n = numbered.count()
+    moved = numbered.join(moved_values(numbered, n, runs, seed), "pos", "inner")
+    moved = moved.select(key, label, *cols, F.posexplode("moved").alias("_run", "_value"))
+    names = F.array(*[F.lit(f) for f, _ in runs]), F.array(*[F.lit(r) for _, r in runs])
+    wide = moved.select(key, label, names[0][F.col("_run")].alias("feature"), names[1][F.col("_run")].alias("repeat"), "_value", *cols)
+    wide = wide.withColumns({c: F.when(F.col("feature") == c, F.col("_value")).otherwise(F.col(c).cast("double")) for c in cols})
+    return _importance(score_fn(df).withColumn("_z", F.col("predicted")),
+                       score_fn(wide).withColumn("_z", F.col("predicted")), label)
+
+
 def _importance(plain: DataFrame, moved: DataFrame, label: str) -> DataFrame:
     def mcc(df: DataFrame, by: list[str]) -> DataFrame:
         cells = df.groupBy(*by).agg(*[c.alias(n) for n, c in confusion_cells(F.col(label), F.col("_z")).items()])

@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from siteval.functions.features import ABLATIONS, error_properties, url_features
+from siteval.functions.features import ABLATIONS, FEATURES, error_properties, url_features
 from siteval.functions.hashing import h60, unit
 from siteval.operators import attribution as T
 from siteval.operators import bootstrap as B
@@ -519,6 +519,45 @@ def a06(t: Tables):
     return T.replay_difference(saved, again, ["feature", "repeat"], "importance")
 
 
+REPEATS = 30
+
+
+def _boosted(t: Tables):
+    """URL rows of the site-disjoint split, a boosted model fitted on its train rows, and how to score others."""
+    rows = R.checkpointed(url_features(t.grouped()).select("record_id", "label", "site_key_private", "site_key_icann", "hostname_ascii", *FEATURES))
+    rows = R.checkpointed(assign_regime(rows, "C", 42))
+    train, test = rows.where("partition = 'train'"), rows.where("partition = 'test'")
+    rep = M.Tabular(train, list(FEATURES), scaled=False)
+    vectors = rep.vectors(train).select("label", "features").persist()
+    model = M.fit_gbt(vectors, {"learning_rate": .1, "max_iter": 100, "max_leaf_nodes": 31})
+    vectors.unpersist()
+
+    def scored(df):
+        keep = [c for c in ("record_id", "label", "feature", "repeat") if c in df.columns]
+        return M.score(model, rep.vectors(df), keep)
+
+    return test.select("record_id", "label", *[F.col(c).cast("double").alias(c) for c in FEATURES]), scored
+
+
+@query("a05_model_permutation_importance")
+def a05m(t: Tables):
+    """22 features x 30 repeats on the fitted boosted model."""
+    test, scored = _boosted(t)
+    out = T.keyed_permutation_importance(test, "record_id", "label", list(FEATURES), scored, REPEATS, 42)
+    return rounded(out, "permuted_mcc", "baseline_mcc", "importance")
+
+
+@query("a06_replay_model_permutation", "SELECT CAST(4 AS BIGINT) AS compared, CAST(0 AS DOUBLE) AS max_abs_diff, count(*) > 0 AS equal FROM orders")
+def a06m(t: Tables):
+    """Four runs chosen by hash, made again by themselves; they must be equal."""
+    test, scored = _boosted(t)
+    saved = R.checkpointed(T.keyed_permutation_importance(test, "record_id", "label", list(FEATURES), scored, REPEATS, 42))
+    runs = [(f, r) for f in FEATURES for r in range(REPEATS)]
+    chosen = sorted(runs, key=lambda run: T.run_key(7, *run))[:4]
+    again = T.keyed_permutation_importance(test, "record_id", "label", list(FEATURES), scored, REPEATS, 42, runs=chosen)
+    return T.replay_difference(saved, again, ["feature", "repeat"], "importance")
+
+
 TOP_SQL = """l AS (SELECT regime, token, coefficient, 'positive' AS list_type, coefficient AS k FROM coefficients
       UNION ALL SELECT regime, token, coefficient, 'negative', -coefficient FROM coefficients
       UNION ALL SELECT regime, token, coefficient, 'absolute', abs(coefficient) FROM coefficients),

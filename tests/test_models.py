@@ -5,11 +5,12 @@ import json
 import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siteval.functions.features import ABLATIONS, FEATURES, ablation_features
-from siteval.functions.hashing import unit
+from siteval.functions.hashing import h60, unit
 from siteval.operators import attribution as A
 from siteval.operators import models as M
 from siteval.operators import tfidf
@@ -147,6 +148,38 @@ def test_permutation_importance_agrees_with_full_rescoring(parts):
     assert diff["compared"] == 4 and diff["max_abs_diff"] < 1e-12
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 16, 17, 1000, 4097])
+def test_shuffled_positions_are_a_permutation(n):
+    made = [A.shuffled_positions(np.arange(n), n, A.run_key(1, "f", r)) for r in range(3)]
+    assert all(sorted(m) == list(range(n)) for m in made)
+    part = A.shuffled_positions(np.array([n - 1, 0]), n, A.run_key(1, "f", 0))
+    assert part.tolist() == [made[0][n - 1], made[0][0]]
+    assert n < 100 or (made[0] != made[1]).mean() > .9 and abs(np.corrcoef(np.arange(n), made[0])[0, 1]) < .2
+
+
+def test_keyed_importance_against_explicit_permutations(parts):
+    train = parts[0].withColumn("label", F.col("label").cast("int"))
+    cols = ["url_length", "dot_count"]
+    score = lambda df: df.withColumn("predicted", (F.col("url_length") - 0.2 * F.col("dot_count") > 0.9).cast("int"))
+    got = A.keyed_permutation_importance(train.repartition(5), "id", "label", cols, score, 3, 9)
+    got = {(r["feature"], r["repeat"]): r for r in got.collect()}
+    p = train.withColumn("h", h60("position", F.col("id"))).toPandas().sort_values(["h", "id"], ignore_index=True)
+
+    def mcc(x):
+        z = (x["url_length"] - 0.2 * x["dot_count"] > 0.9).astype(int)
+        return np.corrcoef(z, x["label"])[0, 1]
+
+    assert len(got) == 6
+    for (feature, repeat), r in got.items():
+        moved = p.copy()
+        to = A.shuffled_positions(np.arange(len(p)), len(p), A.run_key(9, feature, repeat))
+        values = p[feature].to_numpy().copy()
+        moved.loc[to, feature] = values
+        assert r["permuted_mcc"] == pytest.approx(mcc(moved)) and r["baseline_mcc"] == pytest.approx(mcc(p))
+    again = A.keyed_permutation_importance(train, "id", "label", cols, score, 3, 9, runs=[("dot_count", 2)]).collect()
+    assert len(again) == 1 and again[0]["importance"] == got["dot_count", 2]["importance"]
+
+
 def test_zero_attribution_fails(spark):
     phi = spark.createDataFrame([(1, "f", 0.0, 1.0)], "id int, feature string, phi_a double, phi_c double")
     with pytest.raises(Exception, match="without attribution"):
