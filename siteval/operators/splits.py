@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteval.functions.hashing import digest, h60
-from siteval.operators.joins import remove_keys
-from siteval.operators.ranking import checkpointed, cut_by_hash, first_by_hash, first_per_group, place_by_cuts, shuffle_width
+from siteval.operators.joins import assign, remove_keys
+from siteval.operators.ranking import checkpointed, cut_by_hash, first_by_hash, first_per_group, hash_ordinal, place_by_cuts, shuffle_width
 
 PARTITIONS = ("train", "validation", "test")
 
@@ -106,6 +108,67 @@ def split_group_prefix(df: DataFrame, group: str, seed: int | Column, by: list[s
     return place_by_cuts(df, edges, by, order, F.col(group), list(PARTITIONS[:2]), out, PARTITIONS[2])
 
 
+GREEDY_WEIGHTS = (14, 3, 3)  # 70 / 15 / 15
+
+
+def greedy_shares(filled: np.ndarray, size: np.ndarray, taken: np.ndarray, weights: tuple[int, ...]) -> np.ndarray:
+    """How many of ``taken`` equal groups each partition has got (partitions x cases).
+
+    A group goes to the partition with the least filled / weight, the first of
+    equals.  The j-th group of partition k is so taken at level
+    (filled_k + j * size) / weight_k; how many groups of the others are taken
+    before it is a division, so j is found by bisection.  All in whole numbers.
+    """
+    filled, size, taken = (np.asarray(x, np.int64) for x in (filled, size, taken))
+    out = []
+    for k, w in enumerate(weights):
+        low, high = np.zeros_like(taken), taken.copy()  # groups that k has surely got, and at most
+        while (low < high).any():
+            mid = (low + high) // 2  # is the group number mid of k among those taken?
+            rank = mid.copy()
+            for o, v in enumerate(weights):
+                if o != k:
+                    ahead = (filled[k] + mid * size) * v - filled[o] * w  # other groups j with j * size * w before this
+                    step = size * w
+                    rank += np.maximum(0, (ahead // step + 1) if o < k else -(-ahead // step))
+            inside = rank < taken
+            low, high = np.where(inside & (low < high), mid + 1, low), np.where(inside, high, np.minimum(high, mid))
+        out.append(low)
+    return np.stack(out)
+
+
+def split_group_greedy(df: DataFrame, group: str, seed: int, weights: tuple[int, ...] = GREEDY_WEIGHTS,
+                       out: str = "partition") -> DataFrame:
+    """Whole groups, largest first (ties by hash), each to the partition that is
+    furthest below its share: the result of the sequential loop, without it.
+
+    Groups of one size form a run.  Only sizes and their counts, at most about
+    sqrt(2 * rows) runs, reach the driver, which walks the runs; a group then
+    finds its partition from its run's start and its number within the run.
+    Rows without a group get no partition.
+    """
+    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
+    numbered = checkpointed(hash_ordinal(groups, ["rows"], h60(seed, "greedy", F.col(group)), group, "_i", "_c"))
+    runs = sorted(((r["rows"], r["c"]) for r in numbered.groupBy("rows").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    filled, starts = np.zeros(len(weights), np.int64), {}
+    for size, count in runs:
+        starts[size] = filled.copy()
+        filled = filled + greedy_shares(filled[:, None], np.array([size]), np.array([count]), weights)[:, 0] * size
+    table = df.sparkSession.sparkContext.broadcast(starts)
+    schema = groups.select(group).schema.add(out, "string")
+
+    def place(batches):
+        for b in batches:
+            size, i = b.column("rows").to_numpy(), b.column("_i").to_numpy()
+            sizes, at = np.unique(size, return_inverse=True)
+            before = np.stack([table.value[x] for x in sizes.tolist()])[at].T if len(at) else np.zeros((len(weights), 0), np.int64)
+            got = greedy_shares(before, size, i + 1, weights) - greedy_shares(before, size, i, weights)
+            names = pa.array(PARTITIONS).take(pa.array(got.argmax(axis=0)))
+            yield pa.RecordBatch.from_arrays([b.column(group), names], names=[group, out])
+
+    return assign(df, numbered.select(group, "rows", "_i").mapInArrow(place, schema), group)
+
+
 def _best_holdout(groups: DataFrame, group: str, fraction: float, seed: int, candidates: int) -> Column:
     """Condition on ``group``: held by the candidate whose held groups come
     closest to the class targets.
@@ -152,10 +215,11 @@ def split_group_best(df: DataFrame, group: str, label: str, seed: int, candidate
 
 
 def split_grid(df: DataFrame, keys: dict[str, str], seeds: list[int], keep: list[str]) -> DataFrame:
-    """Every group key × seed, one placement pass per key."""
+    """Every group key × seed over the rows that have the key, one placement pass per key."""
     parts = []
     for protocol, key in keys.items():
-        spread = df.select(*keep).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+        known = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+        spread = df.where(known).select(*keep).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
         spread = spread.withColumn("protocol", F.lit(protocol))
         parts.append(split_group_prefix(spread, key, F.col("seed"), by=["seed"]))
     out = parts[0]

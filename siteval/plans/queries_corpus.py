@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from siteval.functions.hashing import h60
@@ -80,6 +82,27 @@ def g10(t: Tables):
     return rounded(out, "site_seen_pct", "host_seen_pct")
 
 
+CAPS = {"UNCAPPED": None, "CAP10": 10, "CAP5": 5}
+_CAPS_SQL = ", ".join(f"('{name}', {k or 'NULL'})" for name, k in CAPS.items())
+
+
+@query("g10_exposure_by_seed_and_cap", f"""{GROUPED_SQL}, ranked AS (SELECT record_id, label, hostname_ascii, site_key_private,
+      row_number() OVER (PARTITION BY label, site_key_private ORDER BY {sql_h60("'cap'", "record_id")}, record_id) AS cap_rank FROM grouped),
+    variants AS (SELECT r.* EXCLUDE cap_rank, variant || '/' || seed AS cell, seed FROM ranked r JOIN (VALUES {_CAPS_SQL}) AS c(variant, k)
+      ON k IS NULL OR cap_rank <= k CROSS JOIN (VALUES {", ".join(f"({s})" for s in SEEDS)}) AS s(seed)),
+    {split_sql("variants", "record_id", "cell, label", "CAST(seed AS VARCHAR)")}, ex AS (WITH {exposure_sql("splitted", "cell")})
+    SELECT split_part(cell, '/', 1) AS variant, CAST(split_part(cell, '/', 2) AS INTEGER) AS seed, * EXCLUDE (cell) FROM ex""")
+def g10_all(t: Tables):
+    """Exposure of random splits for every seed, of the whole corpus and of its capped forms."""
+    rows = R.checkpointed(t.grouped().select("record_id", "label", "hostname_ascii", "site_key_private", h60("cap", F.col("record_id")).alias("_h")))
+    parts = [rows if k is None else S.cap_per_group(rows, ["label", "site_key_private"], ["_h", "record_id"], k) for k in CAPS.values()]
+    variants = functools.reduce(lambda a, b: a.unionByName(b), [p.withColumn("variant", F.lit(n)) for n, p in zip(CAPS, parts)])
+    variants = R.checkpointed(variants.drop("_h").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS]))))
+    split = S.split_stratified(variants, "record_id", "label", F.col("seed"), by=["variant", "seed"])
+    out = A.site_exposure(split, "label", "hostname_ascii", "site_key_private", by=["variant", "seed"])
+    return rounded(out, "site_seen_pct", "host_seen_pct")
+
+
 # ---------------------------------------------------------------- validity and duplicates
 
 @query("g01_validity", f"{PARSED_SQL} SELECT parse_status, label, count(*) AS rows FROM parsed GROUP BY ALL")
@@ -388,31 +411,60 @@ def sp07x(t: Tables):
     return rounded(out, "site_seen_pct", "host_seen_pct")
 
 
-_GRID_SRC = ", ".join(f"({s})" for s in SEEDS)
+@query("sp07_group_greedy", f"""WITH RECURSIVE {ORDERS_SQL}, num AS MATERIALIZED (SELECT site, n, row_number() OVER (ORDER BY n DESC, {sql_h60("'42'", "'greedy'", "site")}, site) AS i
+      FROM (SELECT site, count(*) AS n FROM ord GROUP BY 1)),
+    walk(i, site, p, a, b, c) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+      UNION ALL SELECT i, site, p, a + CASE WHEN p = 'train' THEN n ELSE 0 END, b + CASE WHEN p = 'validation' THEN n ELSE 0 END,
+        c + CASE WHEN p = 'test' THEN n ELSE 0 END
+      FROM (SELECT num.i, num.site, n, a, b, c, CASE WHEN 3 * a <= 14 * b AND 3 * a <= 14 * c THEN 'train' WHEN b <= c THEN 'validation' ELSE 'test' END AS p
+        FROM walk JOIN num ON num.i = walk.i + 1))
+    SELECT o.id, o.site, w.p AS "partition" FROM ord o JOIN walk w ON w.site = o.site""")
+def sp07g(t: Tables):
+    """Largest groups first, each to the partition furthest below its share."""
+    return S.split_group_greedy(t.orders(), "site", 42).select("id", "site", "partition")
+
+
+GRID_KEYS = {"hostname": "hostname_ascii", "icann": "site_key_icann", "private": "site_key_private"}
 
 
 def grid_sql() -> str:
-    base = f"{ORDERS_SQL}, spread AS (SELECT o.*, seed FROM ord o CROSS JOIN (VALUES {_GRID_SRC}) AS v(seed))"
-    one = prefix_sql("spread", "site", "CAST(seed AS VARCHAR)", "seed")
-    two = prefix_sql("spread", "o_orderpriority", "CAST(seed AS VARCHAR)", "seed")
-    for n in ("gsz", "pre p", "pre AS", "splitted"):
-        two = two.replace(n, n.replace("pre", "pre2") if "pre" in n else n + "2")
-    return f"{base}, {one}, {two}, grid AS (SELECT *, 'site' AS protocol FROM splitted UNION ALL SELECT *, 'priority' FROM splitted2)"
+    parts = []
+    for protocol, key in GRID_KEYS.items():
+        h = sql_h60("CAST(seed AS VARCHAR)", "'group'", key)
+        parts.append(f"""{protocol}_src AS (SELECT * FROM spread WHERE coalesce({key}, '') <> ''),
+    {protocol}_sizes AS (SELECT seed, {key}, count(*) AS n FROM {protocol}_src GROUP BY ALL),
+    {protocol}_pre AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY seed ORDER BY {h}, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef,
+      sum(n) OVER (PARTITION BY seed) AS tot FROM {protocol}_sizes),
+    {protocol}_grid AS (SELECT s.*, '{protocol}' AS protocol, CASE WHEN bef < tot * 0.7 THEN 'train'
+      WHEN bef < tot * (CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS "partition"
+      FROM {protocol}_src s JOIN {protocol}_pre p USING (seed, {key}))""")
+    return (GROUPED_SQL + ", spread AS (SELECT record_id, label, hostname_ascii, site_key_icann, site_key_private, seed FROM grouped CROSS JOIN (VALUES "
+            + ", ".join(f"({s})" for s in SEEDS) + ") AS v(seed)), " + ", ".join(parts)
+            + ", grid AS (" + " UNION ALL BY NAME ".join(f"SELECT * FROM {p}_grid" for p in GRID_KEYS) + ")")
 
 
 def grid(t: Tables):
-    return S.split_grid(t.orders(), {"site": "site", "priority": "o_orderpriority"}, SEEDS, ["id", "label", "site", "o_orderpriority"])
+    rows = R.checkpointed(t.grouped().select("record_id", "label", *GRID_KEYS.values()))
+    return S.split_grid(rows, GRID_KEYS, SEEDS, rows.columns)
 
 
-@query("sp08_split_grid", f"""WITH {grid_sql()} SELECT id, protocol, seed, "partition" FROM grid""")
+@query("sp08_split_grid", f"""{grid_sql()} SELECT record_id, protocol, seed, "partition" FROM grid""")
 def sp08(t: Tables):
-    return grid(t).select("id", "protocol", "seed", "partition")
+    return grid(t).select("record_id", "protocol", "seed", "partition")
 
 
-@query("g23_split_summary", f"""WITH {grid_sql()} SELECT protocol, seed, "partition", count(*) AS rows, count_if(label = 1) AS positive_rows,
-    count_if(label = 0) AS negative_rows, count(DISTINCT o_orderpriority) AS hosts, count(DISTINCT site) AS sites FROM grid GROUP BY ALL""")
+@query("g23_split_summary", f"""{grid_sql()} SELECT protocol, seed, "partition", count(*) AS rows, count_if(label = 1) AS positive_rows,
+    count_if(label = 0) AS negative_rows, count(DISTINCT hostname_ascii) AS hosts, count(DISTINCT site_key_private) AS sites FROM grid GROUP BY ALL""")
 def g23(t: Tables):
-    return S.split_summary(grid(t), ["protocol", "seed"], "partition", "label", "o_orderpriority", "site")
+    return S.split_summary(grid(t), ["protocol", "seed"], "partition", "label", "hostname_ascii", "site_key_private")
+
+
+@query("sp08_residual_overlap", f"""{grid_sql()}, ov AS (SELECT protocol, seed, site_key_private, bool_or("partition" = 'train') AS a, bool_or("partition" = 'validation') AS b,
+      bool_or("partition" = 'test') AS c FROM grid GROUP BY ALL)
+    SELECT protocol, seed, count_if(a AND b) AS train_validation, count_if(a AND c) AS train_test, count_if(b AND c) AS validation_test FROM ov GROUP BY ALL""")
+def sp08o(t: Tables):
+    """Private sites that the partitions of each split still share."""
+    return S.key_overlap(grid(t), "site_key_private", by=["protocol", "seed"])
 
 
 @query("sp09_validate_split", f"""WITH {ORDERS_SQL}, {prefix_sql('ord', 'site')} SELECT "partition", count(*) AS rows, count_if(label = 1) AS positive_rows,

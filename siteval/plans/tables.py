@@ -58,7 +58,8 @@ RAW_URL = f"""CASE WHEN k % 97 = 96 THEN '  ' ELSE
   || (CASE WHEN k % 11 = 3 THEN '#top' ELSE '' END) END"""
 
 EXPERIMENTS = [("A", "M1"), ("A", "M2"), ("C", "M1"), ("C", "M2")]
-SEEDS = [13, 42, 73]
+# Split seeds.
+SEEDS = [13, 42, 73, 101, 2026]
 
 
 class Tables:

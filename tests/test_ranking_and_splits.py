@@ -1,5 +1,9 @@
 """Cuts, running totals and splits against brute force, under other partitionings."""
 
+import random
+from fractions import Fraction
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +137,41 @@ def test_band_sample(spark):
     got = splits.sample_bands(df, "rank", "domain", [(1, 50), (51, 90)], 10, 42).toPandas()
     assert got.groupby("rank_band").size().to_dict() == {"1-50": 10, "51-90": 10}
     assert isinstance(got, pd.DataFrame)
+
+
+def loop_greedy(sizes, weights=(14, 3, 3)):
+    """The sequential loop: each to the least filled share, the first of equals."""
+    filled, out = [0] * len(weights), []
+    for n in sizes:
+        k = min(range(len(weights)), key=lambda i: Fraction(filled[i], weights[i]))
+        filled[k] += n
+        out.append(k)
+    return out, filled
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_greedy_shares_equal_the_loop(seed):
+    rng = random.Random(seed)
+    weights = rng.choice([(14, 3, 3), (1, 1, 1), (5, 2, 1)])
+    filled = [rng.randrange(200) for _ in weights]
+    size, count = rng.randrange(1, 9), 150
+    so_far, want = list(filled), [[0] * len(weights)]
+    for _ in range(count):
+        k = min(range(len(weights)), key=lambda i: Fraction(so_far[i], weights[i]))
+        so_far[k] += size
+        want.append([w + (i == k) for i, w in enumerate(want[-1])])
+    got = splits.greedy_shares(np.array(filled)[:, None], np.full(count + 1, size), np.arange(count + 1), weights)
+    assert got.T.tolist() == want
+
+
+def test_greedy_split_equals_the_loop(spark):
+    rng = random.Random(8)
+    sizes = [400, 90, 90] + [rng.choice([1, 1, 1, 2, 3, 7, 20]) for _ in range(300)]
+    rows = [(g, i) for g, n in enumerate(sizes) for i in range(n)] + [(None, 0)] * 3
+    df = spark.createDataFrame(rows, "g long, i int").where("g IS NOT NULL")
+    got = {r["g"]: r["partition"] for r in splits.split_group_greedy(df, "g", 5).select("g", "partition").distinct().collect()}
+    order = df.select("g").distinct().withColumn("h", h60(5, "greedy", F.col("g"))).collect()
+    order = sorted(order, key=lambda r: (-sizes[r["g"]], r["h"], r["g"]))
+    want, _ = loop_greedy([sizes[r["g"]] for r in order])
+    assert got == {r["g"]: splits.PARTITIONS[k] for r, k in zip(order, want)}
+    assert splits.split_group_greedy(df.limit(0), "g", 5).count() == 0
