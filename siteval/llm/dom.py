@@ -41,6 +41,9 @@ class Node:
         self.end = begin
 
 
+_UNFINISHED = re.compile("<[!?/A-Za-z]")
+
+
 def marks(tag: str, attrs) -> tuple[int, int]:
     """How many words of an element mark surroundings, and an article."""
     words = [tag]
@@ -112,7 +115,14 @@ class _Builder(HTMLParser):
             node.own += n
             self.size += n
 
+    def parse_marked_section(self, i, report=1):
+        """``<![`` without CDATA: a comment up to the next ``>``, as browsers take it."""
+        return self.parse_bogus_comment(i)
+
     def finish(self):
+        # a comment, declaration, instruction or tag that the page does not finish is markup, not text
+        if _UNFINISHED.match(self.rawdata):
+            self.rawdata = ""
         self.close()
         self._pop(0)
         return self
