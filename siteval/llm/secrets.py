@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,13 +82,17 @@ def scan(text: str, rules=ENTROPY_RULES, allowed: re.Pattern | None = None) -> l
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LENGTH]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = list(spans)
     allowed = allowed or _allow(ALLOWED)
     seen: set[tuple[int, int]] = set()
     for rule in rules:
+        # matches of one rule lie apart, so only spans found before can hold them
+        held = sorted([(s, e) for s, _, e in spans] + list(seen))
+        starts = [s for s, _ in held]
+        reach = list(accumulate((e for _, e in held), max))
         for m in _compiled(rule.pattern).finditer(text):
             at, end = m.span()
-            if any(s <= at and end <= e for s, _, e in base) or any(s <= at and end <= e for s, e in seen):
+            before = bisect_right(starts, at)
+            if before and reach[before - 1] >= end:
                 continue
             if allowed.fullmatch(m[0]) or not window_entropy_reaches(m[0], rule.window, rule.bits):
                 continue

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -205,3 +206,36 @@ def test_candidates_that_only_overlap_a_fixed_match_are_scored():
         assert (0, 3, len(text)) in secrets.scan(text)
         assert secrets.redacted(f"a {text} b", secrets.scan(f"a {text} b"), "*") == "a * b"
     assert all(k < 3 for _, k, _ in secrets.scan(f"password={key}"))
+
+
+@pytest.mark.parametrize("tail", ["<![>x", "<!-- never closed", "<?php x", "<!foo [ x", '<a href="x', "</div", "<![CDATA[ x", "<!", "<"])
+def test_malformed_markup_is_no_text(tail):
+    page = dom.parse("<article><p>kept text</p></article>" + tail).texts
+    text = "".join(t for node, t in page if node is not None)
+    assert text.startswith("kept text") and "never" not in text and "php" not in text and "foo" not in text and "href" not in text
+
+
+def test_conditional_comments_inside_a_block_are_no_text():
+    page = dom.parse("<p>one<![if IE]> two <![endif]--> three</p>").texts
+    assert "".join(t for node, t in page if node is not None).split() == ["one", "two", "three"]
+
+
+def test_any_bytes_parse():
+    rng = random.Random(12)
+    parts = ["<", ">", "<!", "<![", "]]>", "<!--", "-->", "<?", "</", "/>", "p", "div", " class=", '"', "'", "&", "&#", "&#x;", "&amp", "\x00",
+             "text ", "[", "]", "<script>", "</script>", "<style", "=", "\n", "é", "<a", "<li>", "CDATA[", "!DOCTYPE", "if IE", "endif"]
+    for _ in range(3000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        page = dom.parse(html)
+        assert len(dom.features(page)) == len(page.nodes)
+
+
+def test_many_secrets_in_one_long_text():
+    rng = random.Random(2)
+    key = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    text = " ".join(f"password={key(14)} {key(40)}" for _ in range(20_000))
+    began = time.process_time()
+    spans = secrets.scan(text)
+    assert time.process_time() - began < 30
+    assert sum(k == 0 for _, k, _ in spans) == 20_000 and sum(k == 3 for _, k, _ in spans) > 19_000
+    assert not any(k == 3 and s < 24 for s, k, _ in spans)  # the first password is covered
