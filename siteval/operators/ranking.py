@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from siteval.functions.hashing import HASH_BITS, as_column
 from siteval.operators.joins import hot_key_join, join_null_safe
 
-CUT_BITS = 12
+CUT_BITS = 12  # of the hash, for each of two rounds of narrowing
+ORDINAL_BITS = 16
 
 
 # ---------------------------------------------------------------- shared plumbing
@@ -55,9 +56,10 @@ def cut_by_hash(df: DataFrame, by: list[str], order: Column, tie: Column, cuts:
     """Per stratum, struct columns ``cut0..``: the last (hash, tie) whose
     preceding weight is below the cut; NULL when a cut is 0 or less.
 
-    ``cuts`` are expressions over ``n``, the stratum's total weight.  Only
-    counts per hash range and the rows of the one range holding a cut are
-    ever grouped, so a stratum may hold all rows of the table.
+    ``cuts`` are expressions over ``n``, the stratum's total weight.  Two rounds
+    narrow a cut: sums per hash range find the range that holds it, sums over
+    further bits its part; only that part, 2 ** -(2 * bits) of a stratum, is
+    ever ordered, so a stratum may hold all rows of the table.
     """
     keyed = df.select(*by, order.alias("_h"), tie.alias("_t"),
                       (weight if weight is not None else F.lit(1)).alias("_w"))
@@ -76,6 +78,12 @@ def cut_by_hash(df: DataFrame, by: list[str], order: Column, tie: Column, cuts:
             .select(*by, "_b", "_before", F.col("_cut.i").alias("_i"), F.col("_cut.at").alias("_at")))
     # one edge row per stratum and cut: both numbers are fixed by the caller
     near = join_null_safe(keyed, edge, [*by, "_b"], broadcast=True)
+    near = near.withColumn("_p", F.shiftright("_h", HASH_BITS - 2 * bits))
+    inner = near.groupBy(*by, "_i", "_p").agg(F.sum("_w").alias("_sum"), F.first("_before").alias("_base"), F.first("_at").alias("_at"))
+    so_far = Window.partitionBy(*by, "_i").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = inner.withColumn("_ahead", F.col("_base") + F.sum("_sum").over(so_far) - F.col("_sum"))
+    inner = inner.where((F.col("_ahead") < F.col("_at")) & (F.col("_ahead") + F.col("_sum") >= F.col("_at")))
+    near = join_null_safe(near.drop("_before"), inner.select(*by, "_i", "_p", F.col("_ahead").alias("_before")), [*by, "_i", "_p"], broadcast=True)
     running = (Window.partitionBy(*by, "_i").orderBy("_h", "_t")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = near.withColumn("_pre", F.col("_before") + F.sum("_w").over(running) - F.col("_w"))
@@ -183,7 +191,7 @@ def ordinal(df: DataFrame, order: list[Column], out: str = "ordinal") -> DataFra
 
 
 def hash_ordinal(df: DataFrame, by: list[str], order: Column, tie: str, out: str = "ordinal",
-                 total: str | None = "n", bits: int = CUT_BITS) -> DataFrame:
+                 total: str | None = "n", bits: int = ORDINAL_BITS) -> DataFrame:
     """Dense 0-based position by hash within a stratum, plus the stratum size."""
     df = df.withColumn("_h", order).withColumn("_b", F.shiftright("_h", HASH_BITS - bits).cast("int"))
     counts = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))

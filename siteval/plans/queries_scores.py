@@ -310,30 +310,33 @@ def tfidf_sql(source: str, key: str, text: str, features: int) -> str:
     weights AS (SELECT {key}, token, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS weight FROM raw)"""
 
 
-def page_weights(t: Tables, features: int = 2000):
+TOKENS = M.GRIDS["M3"]["max_features"]  # 25,000 and 50,000
+
+
+def page_weights(t: Tables, features: int = TOKENS[0]):
     src = t.spread(t.read("pages").select("page_id", "url"))
     tokens = TF.char_ngrams(src, "page_id", "url")
     vocabulary = TF.fit_char_tfidf(tokens, "page_id", src, features)
     return src, vocabulary, TF.tfidf_weights(tokens, "page_id", vocabulary)
 
 
-@query("m04_char_tfidf", f"WITH {tfidf_sql('pages', 'page_id', 'url', 2000)} SELECT page_id, token, round(weight, 6) AS weight FROM weights")
+@query("m04_char_tfidf", f"WITH {tfidf_sql('pages', 'page_id', 'url', TOKENS[0])} SELECT page_id, token, round(weight, 6) AS weight FROM weights")
 def m04(t: Tables):
     return rounded(page_weights(t)[2], "weight").drop("idx")
 
 
-@query("m04_char_tfidf_documents", f"""WITH {tfidf_sql('documents', 'doc_id', 'text', 5000)}
+@query("m04_char_tfidf_documents", f"""WITH {tfidf_sql('documents', 'doc_id', 'text', TOKENS[1])}
     SELECT token, count(*) AS docs, round(sum(weight), 4) AS weight FROM weights GROUP BY 1""")
 def m04d(t: Tables):
-    """Whole documents: vocabulary of 5,000 n-grams and the total weight of each."""
+    """Whole documents: vocabulary of 50,000 n-grams and the total weight of each."""
     docs = t.spread(t.read("documents").select("doc_id", "text"))
     tokens = R.checkpointed(TF.char_ngrams(docs, "doc_id", "text"))
-    vocabulary = TF.fit_char_tfidf(tokens, "doc_id", docs, 5000)
+    vocabulary = TF.fit_char_tfidf(tokens, "doc_id", docs, TOKENS[1])
     w = TF.tfidf_weights(tokens, "doc_id", vocabulary)
     return w.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("m05_tfidf_diagnostics", f"""WITH {tfidf_sql('pages', 'page_id', 'url', 2000)} SELECT CASE WHEN page_id % 5 = 0 THEN 'validation' ELSE 'train' END AS "partition",
+@query("m05_tfidf_diagnostics", f"""WITH {tfidf_sql('pages', 'page_id', 'url', TOKENS[0])} SELECT CASE WHEN page_id % 5 = 0 THEN 'validation' ELSE 'train' END AS "partition",
     count(DISTINCT page_id) AS rows, count(*) AS nonzeros, count(DISTINCT token) AS tokens_used, (SELECT count(*) FROM vocab) AS vocabulary_size FROM weights GROUP BY 1""")
 def m05(t: Tables):
     _, vocabulary, w = page_weights(t)
@@ -593,15 +596,35 @@ def a09(t: Tables):
     return rounded(T.topk_overlap(t.coefficients(), ("A", "C"), 50), "jaccard", "sign_agreement_rate")
 
 
-@query("a10_attribution_summary", f"""WITH {COEFFICIENTS_SQL}, {SHARED_SQL}, {GLOBAL_SQL}
-    SELECT 'M3' AS model, 'shared_token_abs_spearman' AS metric, round(corr(ra, rc), 6) AS value FROM rk
-    UNION ALL SELECT 'M2', 'mean_abs_delta', round(avg(gc - ga), 6) FROM gl WHERE stratum = 'all'""")
+_LOCAL_SQL = """nrm AS (SELECT row_id, sum(abs(phi_a)) AS na, sum(abs(phi_c)) AS nc FROM phi GROUP BY 1),
+    lc AS (SELECT row_id, sum(abs(phi_c - phi_a)) AS raw, sum(abs(phi_c / nc - phi_a / na)) AS norm FROM phi JOIN nrm USING (row_id) GROUP BY 1)"""
+
+
+@query("a10_attribution_summary", f"""WITH {COEFFICIENTS_SQL}, {SHARED_SQL}, {GLOBAL_SQL}, {_LOCAL_SQL}, {TOP_SQL},
+    gr AS (SELECT {_AVG_RANK.format("ga")} AS ra, {_AVG_RANK.format("gc")} AS rc FROM gl WHERE stratum = 'all'),
+    tk AS (SELECT token, count(DISTINCT regime) AS n FROM top WHERE list_type = 'absolute' GROUP BY 1)
+    SELECT 'M1' AS model, 'abs_coefficient_spearman' AS metric, round(corr(ra, rc), 6) AS value FROM rk
+    UNION ALL SELECT 'M2', 'mean_abs_spearman', round(corr(ra, rc), 6) FROM gr
+    UNION ALL SELECT 'M2', 'mean_local_change', round(avg(raw), 6) FROM lc
+    UNION ALL SELECT 'M2', 'mean_local_change_normalized', round(avg(norm), 6) FROM lc
+    UNION ALL SELECT 'M3', 'shared_token_abs_spearman', round(corr(ra, rc), 6) FROM rk
+    UNION ALL SELECT 'M3', 'top_50_abs_jaccard', round(count_if(n = 2) / count(*), 6) FROM tk""")
 def a10(t: Tables):
-    c, phi = t.coefficients(), T.global_attribution(t.phi(), "label")
-    shared = T.shared_vocab(c.where("regime = 'A'"), c.where("regime = 'C'"))
+    """Six named values of the change between two regimes; the coefficient table stands for M1's features and M3's tokens."""
+    c, phi = t.coefficients(), t.phi()
+    whole = R.checkpointed(T.global_attribution(phi, "label").where("stratum = 'all'"))
+    local = R.checkpointed(T.local_change(phi, "row_id"))
+    c = R.checkpointed(c)
+    a, b = c.where("regime = 'A'"), c.where("regime = 'C'")
+    m1 = T.compare_coefficients(a.select(F.col("token").alias("feature"), F.lit(0).alias("feature_index"), "coefficient"),
+                                b.select(F.col("token").alias("feature"), F.lit(0).alias("feature_index"), "coefficient"))
     return rounded(T.attribution_summary([
-        ("M3", "shared_token_abs_spearman", K.spearman(shared, "coefficient_a", "coefficient_c", True)),
-        ("M2", "mean_abs_delta", phi.where("stratum = 'all'").agg(F.avg("delta")))]), "value")
+        ("M1", "abs_coefficient_spearman", m1.agg(F.corr("rank_a", "rank_c"))),
+        ("M2", "mean_abs_spearman", K.spearman(whole, "mean_abs_a", "mean_abs_c")),
+        ("M2", "mean_local_change", local.agg(F.avg("raw_change"))),
+        ("M2", "mean_local_change_normalized", local.agg(F.avg("normalized_change"))),
+        ("M3", "shared_token_abs_spearman", K.spearman(R.checkpointed(T.shared_vocab(a, b)), "coefficient_a", "coefficient_c", True)),
+        ("M3", "top_50_abs_jaccard", T.topk_overlap(c, ("A", "C"), 50).select("jaccard"))]), "value")
 
 
 @query("a11_change_frame", f"""WITH {COEFFICIENTS_SQL}, {SHARED_SQL}, {GLOBAL_SQL} SELECT 'M1' AS model, token AS feature, 'all' AS stratum, 'delta_abs' AS change, round(abs(cc) - abs(ca), 6) AS value FROM sh
@@ -612,13 +635,17 @@ def a11(t: Tables):
     return rounded(T.change_frame(m1, T.global_attribution(t.phi(), "label")), "value")
 
 
-@query("a12_replay_attribution")
+@query("a12_replay_attribution", """WITH r AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS row_id FROM lineitem)
+    SELECT least(16, count(*)) * 2 AS compared, CAST(0 AS DOUBLE) AS max_abs_diff, TRUE AS equal FROM r""")
 def a12(t: Tables):
+    """Sixteen rows attributed again, each under a partitioning of its own, against the stored table."""
     li = t.read("lineitem").withColumn("row_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     args = ({"l_quantity": .25, "l_discount": -2.0}, {"l_quantity": 25.0, "l_discount": .05})
-    saved = T.local_attribution(li, "row_id", *args)
-    again = T.local_attribution(T.replay_subset(li, "row_id", "DET_V1", 16), "row_id", *args)
-    return T.replay_difference(saved, again, ["row_id", "feature"], "phi")
+    path = t.scratch("attribution")
+    T.local_attribution(t.spread(li), "row_id", *args).write.parquet(path)
+    saved = t.spark.read.schema("row_id string, feature string, phi double").parquet(path)
+    chosen = T.replay_subset(li.select("row_id", "l_quantity", "l_discount").distinct(), "row_id", "DET_V1", 16).repartition(16, "row_id")
+    return T.replay_difference(saved, T.local_attribution(chosen, "row_id", *args), ["row_id", "feature"], "phi")
 
 
 # ---------------------------------------------------------------- errors
