@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -374,6 +375,43 @@ def load_model(loader, root: str, regime: str, model_id: str, role: str = "model
     return loader.load(f"{root}/{regime}/{model_id}/{role}")
 
 
+REGISTRY = "regime string, model_id string, role string, path string, files long, digest string"
+
+
+def tree_digest(spark: SparkSession, path: str) -> tuple[int, str]:
+    """Number of files of a saved model, and one SHA-256 over their sorted names and digests.
+
+    A model's files are few; their bytes are hashed where they are read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # names below the model's own folder, so that a moved model keeps its digest
+    name = F.element_at(F.split("path", f"/{re.escape(path.rstrip('/').rsplit('/', 1)[-1])}/", 2), -1)
+    lines = files.select(F.concat_ws("  ", F.sha2("content", 256), name).alias("line"))
+    row = lines.agg(F.count(F.lit(1)), F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256)).first()
+    return row[0], row[1]
+
+
+def register_model(model: PipelineModel | Transformer, root: str, regime: str, model_id: str, role: str = "model") -> str:
+    """Save a model, then append its place and digest to the registry; the row comes last, so it never names half a model."""
+    spark = SparkSession.active()
+    path = save_model(model, f"{root}/models", regime, model_id, role)
+    row = (regime, model_id, role, path, *tree_digest(spark, path))
+    spark.createDataFrame([row], REGISTRY).coalesce(1).write.mode("append").parquet(f"{root}/registry")
+    return path
+
+
+def load_registered(loader, root: str, regime: str, model_id: str, role: str = "model"):
+    """The registered model; refuses an unknown or repeated entry and files that are not those saved."""
+    spark = SparkSession.active()
+    rows = spark.read.schema(REGISTRY).parquet(f"{root}/registry").where(
+        (F.col("regime") == regime) & (F.col("model_id") == model_id) & (F.col("role") == role)).limit(2).collect()
+    if len(rows) != 1:
+        raise LookupError(f"{len(rows)} registered models: {regime}, {model_id}, {role}")
+    if tree_digest(spark, rows[0]["path"]) != (rows[0]["files"], rows[0]["digest"]):
+        raise RuntimeError(f"files of a registered model have changed: {rows[0]['path']}")
+    return loader.load(rows[0]["path"])
+
+
 def coefficient_table(model, features: list[str]) -> DataFrame:
     """(feature, feature_index, coefficient) of a fitted linear model."""
     spark = SparkSession.active()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from siteval.functions.features import ABLATIONS, FEATURES, error_properties, url_features
@@ -19,7 +20,7 @@ from siteval.operators import splits as S
 from siteval.operators import tfidf as TF
 from siteval.plans.corpus import assign_regime
 from siteval.plans.experiment import run_ablation, run_experiment
-from siteval.plans.queries_corpus import BANDS, _BAND_SQL, rounded
+from siteval.plans.queries_corpus import BANDS, _BAND_SQL, rounded, split_sql
 from siteval.plans.queries_urls import ERROR_PROPS_SQL, FEATURES_SQL
 from siteval.plans.registry import query
 from siteval.sources.sinks import write_replicates
@@ -417,6 +418,27 @@ def m14(t: Tables):
     return M.repeat_check(run, ["id"]).select("rows", "label_changes", "within")
 
 
+@query("m15_model_registry", f"""WITH {ORDERS_SQL}, {split_sql('ord', 'id', 'label', 42)}
+    SELECT count(*) AS rows, CAST(0 AS DOUBLE) AS max_abs_diff, TRUE AS refused_after_change FROM splitted WHERE "partition" = 'test'""")
+def m15(t: Tables):
+    """A model registered, loaded and scoring as before; after a change to its files the load is refused."""
+    train, _, test = _experiment(t)
+    rep = M.Tabular(train, _PREDICTORS, scaled=True)
+    model, root = M.fit_logistic(rep.vectors(train), 1.0, train.count()), t.scratch("models")
+    path = M.register_model(model, root, "A", "M1")
+    vectors = rep.vectors(test)
+    again = M.score(M.load_registered(LogisticRegressionModel, root, "A", "M1"), vectors, ["id"]).select("id", F.col("score").alias("again"))
+    out = R.checkpointed(M.score(model, vectors, ["id"]).join(again, "id", "full").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.coalesce(F.abs(F.col("score") - F.col("again")), F.lit(1.0))).alias("max_abs_diff")))
+    t.read("region").limit(1).write.mode("append").parquet(f"{path}/data")
+    try:
+        M.load_registered(LogisticRegressionModel, root, "A", "M1")
+        refused = False
+    except RuntimeError:
+        refused = True
+    return out.withColumn("refused_after_change", F.lit(refused))
+
+
 def _url_experiment(t: Tables, regime: str = "C"):
     """Web pages with features, split by regime; parsed and split once."""
     rows = R.checkpointed(url_features(t.pages()).withColumn("url_text", F.col("raw_url")))

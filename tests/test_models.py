@@ -196,6 +196,31 @@ def test_save_and_load(spark, parts, folder):
     assert d["within"] and d["label_changes"] == 0
 
 
+def test_registry_refuses_changed_and_unknown_models(spark, parts, folder):
+    from pyspark.ml.classification import LogisticRegressionModel
+    train = M.assemble(parts[0], ["url_length", "dot_count"])
+    model = M.fit_logistic(train, 1.0, 630)
+    path = M.register_model(model, folder, "C", "M1")
+    M.register_model(model, folder, "A", "M1")
+    back = M.load_registered(LogisticRegressionModel, folder, "C", "M1")
+    assert back.coefficients == model.coefficients and back.intercept == model.intercept
+    with pytest.raises(LookupError):
+        M.load_registered(LogisticRegressionModel, folder, "C", "M3")
+    moved = M.tree_digest(spark, path)
+    os.rename(path, path + "-kept")
+    os.makedirs(folder + "/other")
+    os.rename(path + "-kept", folder + "/other/model")
+    assert M.tree_digest(spark, folder + "/other/model") == moved
+    os.rename(folder + "/other/model", path)
+    name = next(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.startswith("part-"))
+    with open(name, "ab") as f:
+        f.write(b" ")
+    os.remove(os.path.join(os.path.dirname(name), f".{os.path.basename(name)}.crc"))  # else the local file system itself refuses
+    with pytest.raises(RuntimeError, match="changed"):
+        M.load_registered(LogisticRegressionModel, folder, "C", "M1")
+    assert M.load_registered(LogisticRegressionModel, folder, "A", "M1").intercept == model.intercept
+
+
 def iter_models(models, df):
     todo = list(models)
     return lambda: M.score(todo.pop(), df, ["id"])
