@@ -23,7 +23,7 @@ from siteval.plans.tables import Tables  # noqa: E402
 HEADLINE = [
     "entry_site_exposure", "u15_parse_urls", "f01_f22_url_features", "g02_duplicate_groups", "g06_multiplicity",
     "g09_concentration", "g10_site_exposure", "g16_template_overlap", "sp03_stratified", "sp06_group_best",
-    "sp07_group_prefix", "sp08_split_grid", "sp10_cap_hot_site", "sp16_dedup", "j07_composite_lookup", "w03_running_total",
+    "sp07_group_prefix", "sp07_group_greedy", "sp08_split_grid", "sp10_cap_hot_site", "sp16_dedup", "j07_composite_lookup", "w03_running_total",
     "w04_average_rank", "w10_ordinal", "k01_k10_all_metrics", "k12_spearman", "b04_draw_clusters",
     "b05_j11_replicate_metrics", "b06_replicate_rank_metrics", "m04_char_tfidf", "m04_char_tfidf_documents", "a03_local_change",
     "a05_permutation_importance", "e07_category_counts", "e10_w07_site_errors", "i08_fingerprint",
