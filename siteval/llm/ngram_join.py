@@ -12,8 +12,9 @@ together are done.  The order puts shingles of crowded hash buckets last
   linked so far share a label, and cells with one label are done.
 * Recursion: cells with several labels choose another pivot and join again, as
   long as that closes cells at a good rate.
-* Windows: then regions of different labels that meet in a cell are measured
-  pivot to pivot.  By the triangle inequality points x, y of regions p, q can
+* Windows: then regions of different labels that meet in a cell are compared
+  tile by tile under bounds of set size and parity, and measured pivot to pivot
+  where these let them through.  By the triangle inequality points x, y of regions p, q can
   only be within r if d(p, q) <= d(x, p) + r + d(y, q); the boundary points
   for which this can hold are replicated to the other region and measured to its
   pivot, which narrows the windows once more; what is left is measured exactly.
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from siteval.llm.common import packed, slices, text_of, written
+from siteval.llm.common import discard, packed, slices, text_of, written
 from siteval.llm.components import components
 from siteval.operators.joins import join_null_safe
 
@@ -50,8 +51,9 @@ BUCKET_BITS = 20
 BLOCK = 1 << 12
 HOT_FLOOR, HOT_TIMES = 32, 8
 SEEN_LIMIT = 500_000
-ROUNDS = 6
+ROUNDS = 2
 SHRINK = 0.9  # of the open rows; above, another round is not worth its jobs
+TILE = 1024  # regions of a cell that a task compares with as many others
 SHARE = 16
 
 # ---------------------------------------------------------------- sets of one text
@@ -321,16 +323,93 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = 2 * least <= (b["reach"].to_numpy() + 1e-9) * (total + least)
             yield b.loc[keep, ["a", "b", "reach"]]
 
-    close = both.mapInPandas(near, "a long, b long, reach double")
+    return distances(both.mapInPandas(near, "a long, b long, reach double"), sets)
+
+
+def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``measured`` for pairs that the bounds on sizes and parities already let through."""
     full = sets.select("sig", "n", "shingles")
-    close = close.join(full.toDF("a", "na", "sa"), "a").join(full.toDF("b", "nb", "sb"), "b")
+    close = pairs.join(full.toDF("a", "na", "sa"), "a").join(full.toDF("b", "nb", "sb"), "b")
     close = close.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
     close = close.select("a", "b", "reach", "common", (F.col("na") + F.col("nb") - F.col("common")).alias("total"))
     distance = 1 - F.col("common") / F.col("total")
     return close.withColumn("distance", distance).where(distance <= F.col("reach") + 1e-9)
 
 
-def point_components(live: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
+def close_pairs(tile: pd.DataFrame, r: float, across: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of differently labelled regions of a tile (region, label, radius,
+    part, n, bits) whose pivots may be within reach: both radii and ``r``.
+
+    Rows go up by set size, so each meets only those up to the size that its
+    reach allows, and longer bitmaps are folded to the width of its own.
+    ``across``: only pairs of different parts.
+    """
+    tile = tile.sort_values("n", kind="stable")
+    region, label, part = (tile[c].to_numpy() for c in ("region", "label", "part"))
+    n, radius = tile["n"].to_numpy(), tile["radius"].to_numpy()
+    if (label == label[0]).all():
+        return []
+    words = [np.frombuffer(x, np.uint64) for x in tile["bits"]]
+    found, width, at = [], 0, 0
+    widest = radius.max()
+    for x in range(len(tile) - 1):
+        if len(words[x]) != width:
+            width, at = len(words[x]), x
+            folded = np.stack([np.bitwise_xor.reduce(w.reshape(-1, width), axis=0) for w in words[x:]])
+        least = 1 - radius[x] - widest - r - 1e-9
+        end = len(tile) if least <= 0 else int(np.searchsorted(n, n[x] / least, side="right"))
+        y = np.arange(x + 1, end)
+        y = y[label[y] != label[x]]
+        if across:
+            y = y[part[y] != part[x]]
+        reach = np.minimum(radius[y] + radius[x] + r, 1.0)
+        near = n[x] >= (1 - reach - 1e-9) * n[y]
+        y, reach = y[near], reach[near]
+        if not len(y):
+            continue
+        differ = np.bitwise_count(folded[y - at] ^ folded[x - at]).sum(axis=1, dtype=np.int64)
+        near = 2 * differ <= (reach + 1e-9) * (n[x] + n[y] + differ)
+        if near.any():
+            other = region[y[near]]
+            found.append((np.minimum(other, region[x]), np.maximum(other, region[x]), reach[near]))
+    return found
+
+
+def meetings(met: DataFrame, radius: DataFrame, sets: DataFrame, r: float) -> DataFrame:
+    """a, b, reach of regions of different labels that meet in a cell and may reach each other.
+
+    A cell is split into parts of about ``TILE`` regions and every pair of
+    parts is one tile, compared in a task, which only gives out pairs within
+    the bounds.
+    """
+    regions = radius.join(sets.select(F.col("sig").alias("region"), "n", "bits"), "region")
+    sizes = met.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    rows = met.join(sizes, "shingle").withColumn("part", F.pmod(F.xxhash64("region"), F.col("parts")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_with"))
+    rows = rows.select("shingle", "region", "label", "part", F.least("part", "_with").alias("i"), F.greatest("part", "_with").alias("j"))
+    rows = rows.join(regions, "region").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+
+    def tiles(batches):
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            key = b[["shingle", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            yield from given([b[s:e] for s, e in zip(starts[:-1], starts[1:])])
+            rest = b[starts[-1]:]
+        if rest is not None:
+            yield from given([rest])
+
+    def given(parts):
+        found = [f for t in parts if len(t) > 1 for f in close_pairs(t, r, t["i"].iat[0] != t["j"].iat[0])]
+        if found:
+            a, b, reach = (np.concatenate(c) for c in zip(*found))
+            yield pd.DataFrame({"a": a, "b": b, "reach": reach}).drop_duplicates()
+
+    return rows.mapInPandas(tiles, "a long, b long, reach double").distinct()
+
+
+def point_components(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """sig, component (a sig) of the points that link with another."""
     r = 1 - percent / 100
     exact = F.col("common") * 100 >= F.col("total") * percent
@@ -342,7 +421,7 @@ def point_components(live: DataFrame, sets: DataFrame, percent: int, rounds: int
     links = linked(live.where("sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
     labels = components(links)
     cell, before = written(_open_cells(live, labels), "open-cells"), None
-    for turn in range(rounds):
+    for turn in range(ROUNDS):
         rows = cell.count()
         if not rows or before is not None and rows > SHRINK * before:
             break
@@ -388,11 +467,7 @@ def _window_links(cell: DataFrame, links: DataFrame, sets: DataFrame, r: float,
     placed = written(placed, "regions")
     radius = placed.groupBy("region").agg(F.max("away").alias("radius"))
     met = placed.select("shingle", "region", "label").distinct()
-    pairs = met.toDF("shingle", "a", "la").join(met.toDF("shingle", "b", "lb"), "shingle").where("a < b and la <> lb")
-    pairs = pairs.select("a", "b").distinct()
-    pairs = pairs.join(radius.toDF("a", "ra"), "a").join(radius.toDF("b", "rb"), "b")
-    pairs = pairs.select("a", "b", F.least(F.col("ra") + F.col("rb") + r, F.lit(1.0)).alias("reach"))
-    near = written(measured(pairs, sets), "near-regions")
+    near = written(distances(meetings(met, radius, sets, r), sets), "near-regions")
     direct = near.where(exact).select("a", "b")
     wide = near.where(F.col("reach") > r + 1e-9).select("a", "b", F.col("distance").alias("d"))
     wide = wide.join(radius.toDF("a", "ra"), "a").join(radius.toDF("b", "rb"), "b")
@@ -428,6 +503,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", width: int = WIDTH,
     points = written(points.where("_ok is null").drop("_ok"), "points")
     rows = written(cells(texts, hot, width, percent), "shared-shingles")
     live = written(with_pivots(rows, points, percent), "live-cells")
+    discard(rows)
     sets = written(point_sets(texts, live, width), "point-sets")
     parts = point_components(live, sets, percent)
     named = points.join(parts, "sig", "left").withColumn("component", F.coalesce("component", "sig"))

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,9 +102,11 @@ def copies(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, sig long, _id double")
 
 
-@pytest.mark.parametrize("hot_floor", [32, 0])
-def test_jaccard_classes(copies, monkeypatch, hot_floor):
+@pytest.mark.parametrize("hot_floor, rounds, tile", [(32, 2, 1024), (0, 0, 3)])
+def test_jaccard_classes(copies, monkeypatch, hot_floor, rounds, tile):
     monkeypatch.setattr(ngram_join, "HOT_FLOOR", hot_floor)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
     rows = copies.collect()
     sets = {r.doc_id: shingles(r.text) for r in rows}
     links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b]
@@ -137,6 +140,28 @@ def test_first_shingles_hold_what_neighbours_share():
             assert ngram_join.least_difference(ngram_join.parity_bits(x), ngram_join.parity_bits(y)) <= len(np.setxor1d(x, y))
 
 
+def test_tiles_let_every_pair_within_reach_through():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(-2**62, 2**62, int(rng.choice([3, 40, 200])))
+        sets += [np.unique(np.concatenate([base[:int(len(base) * rng.uniform(0.8, 1)) or 1], rng.integers(-2**62, 2**62, 6)]))
+                 for _ in range(5)]
+    tile = pd.DataFrame({"region": range(60), "label": rng.integers(0, 20, 60), "radius": rng.choice([0.0, 0.0, 0.2], 60),
+                         "part": rng.integers(0, 2, 60), "n": [len(s) for s in sets],
+                         "bits": [ngram_join.parity_bits(s) for s in sets]})
+    for across in (False, True):
+        got = {(a, b) for x in ngram_join.close_pairs(tile, 0.25, across) for a, b in zip(x[0].tolist(), x[1].tolist())}
+        want = set()
+        for a, b in combinations(range(60), 2):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            reach = tile["radius"][a] + tile["radius"][b] + 0.25
+            if (1 - both / (len(sets[a]) + len(sets[b]) - both) <= reach and tile["label"][a] != tile["label"][b]
+                    and (not across or tile["part"][a] != tile["part"][b])):
+                want.add((a, b))
+        assert len(want) > 20 and want <= got and len(got) < 3 * len(want)
+
+
 # ---------------------------------------------------------------- mixing
 
 def targets(sizes, weights=(1, 2, 3), repeats=3):
