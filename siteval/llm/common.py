@@ -43,11 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a ``written`` table that nothing reads any more."""
+    """Delete the files of a ``written`` table that nothing reads any more, and
+    let the driver release the shuffles that led to it."""
     spark, files = df.sparkSession, df.inputFiles()
     if files:
         path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.java.lang.System.gc()
 
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(),

@@ -37,7 +37,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -269,7 +269,9 @@ def with_pivots(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     enough = counts.join(points, "sig").where(F.col("shared") >= 1 + F.floor(smaller / SHARE)).select("sig")
     rows = written(rows.join(enough, "sig", "left_semi"), "cells")
     pivots = rows.groupBy("shingle").agg(F.min("sig").alias("pivot"), F.max("sig").alias("_last"))
-    return rows.join(pivots.where("pivot <> _last").select("shingle", "pivot"), "shingle")
+    live = written(rows.join(pivots.where("pivot <> _last").select("shingle", "pivot"), "shingle"), "live-cells")
+    discard(rows)
+    return live
 
 
 def point_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -336,7 +338,7 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return close.withColumn("distance", distance).where(distance <= F.col("reach") + 1e-9)
 
 
-def close_pairs(tile: pd.DataFrame, r: float, across: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def close_pairs(tile: dict[str, np.ndarray], r: float, across: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of differently labelled regions of a tile (region, label, radius,
     part, n, bits) whose pivots may be within reach: both radii and ``r``.
 
@@ -344,20 +346,19 @@ def close_pairs(tile: pd.DataFrame, r: float, across: bool) -> list[tuple[np.nda
     reach allows, and longer bitmaps are folded to the width of its own.
     ``across``: only pairs of different parts.
     """
-    tile = tile.sort_values("n", kind="stable")
-    region, label, part = (tile[c].to_numpy() for c in ("region", "label", "part"))
-    n, radius = tile["n"].to_numpy(), tile["radius"].to_numpy()
-    if (label == label[0]).all():
+    if (tile["label"] == tile["label"][0]).all():
         return []
-    words = [np.frombuffer(x, np.uint64) for x in tile["bits"]]
+    up = np.argsort(tile["n"], kind="stable")
+    region, label, part, n, radius, bits = (tile[c][up] for c in ("region", "label", "part", "n", "radius", "bits"))
+    words = [np.frombuffer(x, np.uint64) for x in bits]
     found, width, at = [], 0, 0
     widest = radius.max()
-    for x in range(len(tile) - 1):
+    for x in range(len(n) - 1):
         if len(words[x]) != width:
             width, at = len(words[x]), x
             folded = np.stack([np.bitwise_xor.reduce(w.reshape(-1, width), axis=0) for w in words[x:]])
         least = 1 - radius[x] - widest - r - 1e-9
-        end = len(tile) if least <= 0 else int(np.searchsorted(n, n[x] / least, side="right"))
+        end = len(n) if least <= 0 else int(np.searchsorted(n, n[x] / least, side="right"))
         y = np.arange(x + 1, end)
         y = y[label[y] != label[x]]
         if across:
@@ -378,12 +379,17 @@ def close_pairs(tile: pd.DataFrame, r: float, across: bool) -> list[tuple[np.nda
 def meetings(met: DataFrame, radius: DataFrame, sets: DataFrame, r: float) -> DataFrame:
     """a, b, reach of regions of different labels that meet in a cell and may reach each other.
 
-    A cell is split into parts of about ``TILE`` regions and every pair of
+    Many cells hold the same regions; one of them is enough, told apart by
+    count and two sums of hashes.  A cell is split into parts of about ``TILE`` regions and every pair of
     parts is one tile, compared in a task, which only gives out pairs within
     the bounds.
     """
     regions = radius.join(sets.select(F.col("sig").alias("region"), "n", "bits"), "region")
-    sizes = met.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    what = F.xxhash64("region", "label")
+    sizes = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(what).alias("x"),
+                                       F.sum(what.cast("decimal(38,0)")).alias("sum"))
+    sizes = sizes.groupBy("size", "x", "sum").agg(F.min("shingle").alias("shingle"))
+    sizes = sizes.select("shingle", F.ceil(F.col("size") / TILE).alias("parts"))
     rows = met.join(sizes, "shingle").withColumn("part", F.pmod(F.xxhash64("region"), F.col("parts")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_with"))
     rows = rows.select("shingle", "region", "label", "part", F.least("part", "_with").alias("i"), F.greatest("part", "_with").alias("j"))
@@ -395,13 +401,17 @@ def meetings(met: DataFrame, radius: DataFrame, sets: DataFrame, r: float) -> Da
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             key = b[["shingle", "i", "j"]].to_numpy()
             starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-            yield from given([b[s:e] for s, e in zip(starts[:-1], starts[1:])])
+            yield from given(b[:starts[-1]], starts)
             rest = b[starts[-1]:]
         if rest is not None:
-            yield from given([rest])
-
-    def given(parts):
-        found = [f for t in parts if len(t) > 1 for f in close_pairs(t, r, t["i"].iat[0] != t["j"].iat[0])]
+            yield from given(rest, [0, len(rest)])
+
+    def given(b, starts):
+        columns, found = {c: b[c].to_numpy() for c in b.columns}, []
+        for s, e in zip(starts[:-1], starts[1:]):
+            if e - s > 1:
+                tile = {c: x[s:e] for c, x in columns.items()}
+                found += close_pairs(tile, r, tile["i"][0] != tile["j"][0])
         if found:
             a, b, reach = (np.concatenate(c) for c in zip(*found))
             yield pd.DataFrame({"a": a, "b": b, "reach": reach}).drop_duplicates()
@@ -421,6 +431,7 @@ def point_components(live: DataFrame, sets: DataFrame, percent: int) -> DataFram
     links = linked(live.where("sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
     labels = components(links)
     cell, before = written(_open_cells(live, labels), "open-cells"), None
+    discard(live)
     for turn in range(ROUNDS):
         rows = cell.count()
         if not rows or before is not None and rows > SHRINK * before:
@@ -431,10 +442,11 @@ def point_components(live: DataFrame, sets: DataFrame, percent: int) -> DataFram
         found = linked(tried)
         links = links.unionByName(found)
         labels = components(found.select("a", "b").unionByName(_stars(labels)))
-        cell = written(_open_cells(cell, labels), "open-cells")
+        spent, cell = cell, written(_open_cells(cell, labels), "open-cells")
+        discard(spent)
     if cell.isEmpty():
         return labels.select(F.col("node").alias("sig"), "component")
-    more = _window_links(cell, links, sets, r, exact)
+    more = _window_links(_meeting_cells(cell, sets, percent), links, sets, r, exact)
     return components(_stars(labels).unionByName(more)).select(F.col("node").alias("sig"), "component")
 
 
@@ -450,6 +462,25 @@ def _open_cells(cell: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed.select("shingle"), "shingle", "left_semi")
 
 
+def _meeting_cells(cell: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of open cells in which points of different labels have to meet.
+
+    Neighbours of different labels share ``must_share`` cells, all of them open.
+    In one order of cells, crowded ones last, the first cell they share is
+    followed by the others in both lists, so each point leaves out its last
+    ``must_share - 1`` cells, and one with no more than these has no neighbour.
+    """
+    smaller = F.ceil(F.col("n") * percent / 100)
+    sizes = cell.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"))
+    rows = cell.join(sizes, "shingle").join(sets.select("sig", "n"), "sig")
+    last = Window.partitionBy("sig").orderBy(F.desc("size"), F.desc("shingle"))
+    rows = rows.withColumn("_at", F.row_number().over(last)).where(F.col("_at") > F.floor(smaller / SHARE))
+    rows = written(rows.select("shingle", "sig", "label"), "meeting-cells")
+    discard(cell)
+    mixed = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    return rows.join(mixed.select("shingle"), "shingle", "left_semi")
+
+
 def _window_links(cell: DataFrame, links: DataFrame, sets: DataFrame, r: float, exact) -> DataFrame:
     """Links between points of differently labelled regions."""
     ends = links.select(F.col("a").alias("sig"), F.col("b").alias("region"), "distance").unionByName(
@@ -502,7 +533,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", width: int = WIDTH,
         F.min("_id").alias("least"), F.first("n_shingles").alias("n_shingles"), whole.alias("_ok"))
     points = written(points.where("_ok is null").drop("_ok"), "points")
     rows = written(cells(texts, hot, width, percent), "shared-shingles")
-    live = written(with_pivots(rows, points, percent), "live-cells")
+    live = with_pivots(rows, points, percent)
     discard(rows)
     sets = written(point_sets(texts, live, width), "point-sets")
     parts = point_components(live, sets, percent)

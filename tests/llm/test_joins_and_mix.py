@@ -150,8 +150,9 @@ def test_tiles_let_every_pair_within_reach_through():
     tile = pd.DataFrame({"region": range(60), "label": rng.integers(0, 20, 60), "radius": rng.choice([0.0, 0.0, 0.2], 60),
                          "part": rng.integers(0, 2, 60), "n": [len(s) for s in sets],
                          "bits": [ngram_join.parity_bits(s) for s in sets]})
+    columns = {c: tile[c].to_numpy() for c in tile.columns}
     for across in (False, True):
-        got = {(a, b) for x in ngram_join.close_pairs(tile, 0.25, across) for a, b in zip(x[0].tolist(), x[1].tolist())}
+        got = {(a, b) for x in ngram_join.close_pairs(columns, 0.25, across) for a, b in zip(x[0].tolist(), x[1].tolist())}
         want = set()
         for a, b in combinations(range(60), 2):
             both = len(np.intersect1d(sets[a], sets[b]))
