@@ -62,8 +62,9 @@ def _number(text: Column, pattern: str, group: int) -> Column:
 
 
 def fixed(value: Column, digits: int = 3) -> Column:
-    """Text with a fixed number of decimals, halves to even."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    """Text with a fixed number of decimals, halves to even; NULL stays NULL."""
+    text = F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    return F.when(value.isNotNull(), text)
 
 
 def mean_sd_text(mean: Column, sd: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siteval.functions.features import FEATURES
 from siteval.operators import tfidf as tf
+from siteval.operators.integrity import run_checks
 from siteval.operators.metrics import classification_metrics
 from siteval.operators.ranking import best_rows
 
@@ -49,6 +50,11 @@ def check_predictors(cols: list[str]) -> list[str]:
     return list(cols)
 
 
+def predictor_checks(df: DataFrame, cols: list[str]) -> DataFrame:
+    """A named check per asked column: values of a forbidden one are violations."""
+    return run_checks(df, {c: ("may reach a model", F.count(c) if c in FORBIDDEN else F.lit(0)) for c in cols})
+
+
 def candidates(grid: dict[str, list]) -> Iterator[dict]:
     names = sorted(grid)
     for values in itertools.product(*(grid[n] for n in names)):
