@@ -17,7 +17,8 @@ from siteval.operators import metrics as K
 from siteval.operators import models as M
 from siteval.operators import ranking as R
 from siteval.operators import splits as S
-from siteval.plans.queries_corpus import _CAPS_SQL, CAPS, exposure_sql, prefix_sql, split_sql
+from siteval.plans.corpus import PROFILE_COLUMNS, build_corpus, corpus_profiles, profile_values
+from siteval.plans.queries_corpus import _CAPS_SQL, CAPS, QUARANTINE_SQL, exposure_sql, prefix_sql, split_sql
 from siteval.plans.queries_scores import _MCC, CELLS_SQL, EXP, PURE, REPLICATE_SQL, SCORED, a10, mcc_long
 from siteval.plans.queries_urls import _SQL_NAME, FEATURES_SQL
 from siteval.plans.registry import ORACLES, query
@@ -254,3 +255,45 @@ _ASKED = [*FEATURES, "label", "raw_url", "normalized_url", "site_key_private"]
 def i06(t: Tables):
     """The 22 predictors and four columns that must not be among them: rows whose forbidden value would reach a model."""
     return M.predictor_checks(url_features(t.parsed()), _ASKED)
+
+
+# ---------------------------------------------------------------- corpus audit in one run
+
+def _tail(name: str, source: str) -> str:
+    """The SQL of a registered profile over other rows."""
+    return f"WITH grouped AS (SELECT * FROM {source}){ORACLES[name].removeprefix(GROUPED_SQL)}"
+
+
+def _duplicates_sql(text: str, name: str) -> str:
+    return (f"SELECT sha256({text}) AS {name}, count(*) AS rows, count(DISTINCT label) AS labels, count(DISTINCT source_name) AS sources, "
+            "count(DISTINCT site_key_private) AS sites FROM parsed GROUP BY 1 HAVING count(*) > 1")
+
+
+_PROFILES_SQL = {
+    "validity": "SELECT parse_status, label, count(*) AS rows FROM parsed GROUP BY ALL",
+    "exact_duplicates": _duplicates_sql("raw_url", "raw_url_hash"),
+    "normalized_duplicates": _duplicates_sql("normalized_url", "normalized_url_hash"),
+    "cross_label_conflicts": "SELECT record_id, label FROM parsed WHERE raw_url IN (SELECT raw_url FROM parsed GROUP BY 1 HAVING count(DISTINCT label) > 1)",
+    "mixed_sites": _tail("g05_mixed_groups", "parsed WHERE coalesce(site_key_private, '') <> ''"),
+    "site_multiplicity": _tail("g06_multiplicity", "eligible"),
+    "host_multiplicity": _tail("g06_multiplicity", "eligible").replace("site_key_private", "hostname_ascii"),
+    "concentration": _tail("g09_concentration", "eligible"),
+    "suffixes": _tail("g13_suffix_by_class", "eligible"),
+    "sites": _tail("g28_site_accounting", "eligible"),
+}
+
+
+def _long_profile_sql(name: str) -> str:
+    keys, measures = PROFILE_COLUMNS[name]
+    key = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
+    cells = ", ".join(f"{{'measure': '{m}', 'value': round(CAST({m} AS DOUBLE), 6)}}" for m in measures)
+    return f"SELECT '{name}' AS profile, {key} AS key, unnest([{cells}], recursive := true) FROM ({_PROFILES_SQL[name]})"
+
+
+@query("g00_corpus_audit", f"""{QUARANTINE_SQL}, firsts AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY label, site_key_private, record_id) AS i FROM kept),
+    eligible AS (SELECT * FROM firsts WHERE i = 1) {" UNION ALL ".join(_long_profile_sql(n) for n in _PROFILES_SQL)}""")
+def g00(t: Tables):
+    """Corpus built once from two sources, and all its audit tables."""
+    raw = t.urls()
+    corpus = build_corpus([raw.where(F.col("record_id") % 2 == r) for r in (0, 1)], t.rules, caps=())
+    return profile_values(corpus_profiles(corpus)).withColumn("value", F.round("value", 6))
