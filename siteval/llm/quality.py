@@ -1,14 +1,15 @@
 """Quality scores by Bradley-Terry ranking of preference pairs.
 
-A labelled sample gives pairs (a good document, a bad one).  A document's
+Labelled documents give pairs (a good document, a bad one).  A document's
 strength is linear in features of its text; the logistic loss on feature
 differences fits the weights.  The raw strength at the quantile that the
-sample's share of bad documents marks becomes the score ``at_quantile``; other
-scores follow from the strength's distance to it on the logistic scale.
+share of bad documents marks becomes the score ``at_quantile``; other scores
+follow from the strength's distance to it on the logistic scale.
 
-Learning uses at most ``sample`` labelled rows, chosen by a hash of their id;
-ids with contradicting labels teach nothing.  Without both labels every score
-is 0.5.  Null texts are empty; every text is scored whole; rows of null or
+Learning uses every labelled row outside the held-out fold, each in at least
+one pair; features are taken where the texts lie, and only they meet the
+labels.  Ids with contradicting labels teach nothing.  Without both labels
+every score is 0.5.  Null texts are empty; every text is scored whole; rows of null or
 repeated ids are kept row by row; an empty table gives an empty table.
 """
 
@@ -19,12 +20,13 @@ import math
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteval.functions.hashing import h60
 from siteval.llm.common import map_texts, packed, text_of, written
+from siteval.operators.ranking import hash_ordinal, numeric_prefix
 
-SAMPLE = 20_000
 OPPONENTS = 8
 FOLDS = 5
 AT_QUANTILE = 0.3
@@ -79,16 +81,26 @@ def _held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE,
+def quantile(values: DataFrame, share: float, n: int) -> float:
+    """The exact quantile of ``_v`` over n rows, between neighbours linearly."""
+    run = numeric_prefix(values.groupBy("_v").agg(F.count(F.lit(1)).alias("_m")), [], "_v", {"_upto": "_m"})
+    at = share * (n - 1)
+    low, high = run.agg(*[F.min(F.when(F.col("_upto") > k, F.col("_v"))) for k in (math.floor(at), math.ceil(at))]).first()
+    return low + (high - low) * (at - math.floor(at))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
           opponents: int = OPPONENTS, at_quantile: float = AT_QUANTILE) -> dict | None:
-    """Weights and threshold from labelled rows outside the held-out fold."""
+    """Weights and threshold from all labelled rows outside the held-out fold."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~_held_out(id_col))
     marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_top"))
-    marks = marks.where("_y = _top").select("_id", "_y").orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), text_of().alias("_text"))
-    rows = rows.join(F.broadcast(marks), "_id")  # at most ``sample`` pairs of numbers
-    rows = map_texts(rows, ["_id", "_y"], "_x array<double>", lambda: lambda texts: [[features(t) for t in texts]])
-    rows = written(rows, "quality-sample")
+    marks = marks.where("_y = _top").select("_id", "_y")
+    rows = docs.where(F.col(id_col).isNotNull() & ~_held_out(id_col)).select(F.col(id_col).alias("_id"), text_of().alias("_text"))
+    rows = map_texts(rows, ["_id"], "_x array<double>", lambda: lambda texts: [[features(t) for t in texts]])
+    rows = rows.join(marks, "_id").withColumn("_tie", F.struct("_id", "_x"))
+    rows = written(rows, "quality-rows")
+    # each class in the order of a hash, as positions for the pairs
+    rows = written(hash_ordinal(rows, ["_y"], h60("turn", F.col("_id")), "_tie", "_i", None).drop("_tie"), "quality-turns")
     stats = rows.select("_y", F.posexplode("_x")).groupBy("pos").agg(
         F.avg("col").alias("m"), F.stddev_pop("col").alias("s")).orderBy("pos").collect()
     shares = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("good")).first()
@@ -99,11 +111,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     scale = [r["s"] if r["s"] > 1e-9 else 1.0 for r in stats]
     z = F.transform(F.arrays_zip(F.col("_x"), F.array(*map(F.lit, mean)).alias("m"), F.array(*map(F.lit, scale)).alias("s")),
                     lambda v: (v["_x"] - v["m"]) / v["s"])
-    turn = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")) - 1  # a bounded sample
-    numbered = rows.select("_y", z.alias("_z"), turn.alias("_i"))
+    numbered = rows.select("_y", z.alias("_z"), "_i")
     few, many = (0, bad) if bad <= good else (1, good)
     more = good + bad - many
-    rounds = min(opponents, more)
+    # enough rounds that every document of the larger class has its turn
+    rounds = min(max(opponents, -(-more // many)), more)
     one = numbered.where(F.col("_y") == few).select(F.col("_z").alias("_a"), F.col("_i").alias("_k"), F.explode(
         F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_r"))
     one = one.withColumn("_i", (F.col("_k") * rounds + F.col("_r")) % more)
@@ -118,7 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     shift = float(weights @ np.array(mean))
     raw = F.aggregate(F.zip_with("_x", F.array(*map(F.lit, weights.tolist())), lambda x, w: x * w), F.lit(0.0),
                       lambda a, v: a + v) - shift
-    edge = rows.agg(F.percentile(raw, bad / (good + bad))).first()[0]
+    edge = quantile(rows.select(raw.alias("_v")), bad / (good + bad), good + bad)
     return {"weights": weights.tolist(), "threshold": edge + shift, "at": at_quantile}
 
 

@@ -239,3 +239,13 @@ def test_many_secrets_in_one_long_text():
     assert time.process_time() - began < 30
     assert sum(k == 0 for _, k, _ in spans) == 20_000 and sum(k == 3 for _, k, _ in spans) > 19_000
     assert not any(k == 3 and s < 24 for s, k, _ in spans)  # the first password is covered
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows than the sample of 20,000 once held, and all of them are learned from."""
+    kept, write = [], quality.written
+    monkeypatch.setattr(quality, "written", lambda df, name: kept.append(write(df, name)) or kept[-1])
+    docs = spark.range(26_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    used = docs.where(~quality._held_out("doc_id")).count()
+    assert quality.learn(docs, docs.selectExpr("doc_id", "1 AS quality")) is None  # one class alone
+    assert used > 20_000 and {rows.count() for rows in kept} == {used}
