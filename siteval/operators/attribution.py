@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siteval.functions.hashing import h60
 from siteval.functions.stats import confusion_cells, confusion_metrics, ratio
 from siteval.operators.metrics import spearman
-from siteval.operators.ranking import average_rank, checkpointed, first_by_hash, hash_ordinal
+from siteval.operators.ranking import CUT_BITS, average_rank, checkpointed, first_by_hash, hash_ordinal
 
 EXCHANGE_ROWS = 256  # positions whose permuted values meet in one group
 
@@ -77,38 +77,62 @@ def global_attribution(phi: DataFrame, label: str) -> DataFrame:
                        (F.col("mean_abs_c") - F.col("mean_abs_a")).alias("delta"))
 
 
-def permuted_rows(df: DataFrame, key: str, cols: list[str], repeats: int, seed: int) -> DataFrame:
-    """Long form of permuted values: (key, feature, repeat, value).
+def _runs(cols: list[str], repeats: int, runs: list[tuple[str, int]] | None) -> list[tuple[str, int]]:
+    return list(runs) if runs is not None else [(c, r) for c in cols for r in range(repeats)]
+
+
+def with_permuted(df: DataFrame, key: str, runs: list[tuple[str, int]], seed: int) -> DataFrame:
+    """The rows with ``_moved``: the value that each run (feature, repeat) gives them.
 
     The i-th row by one hash receives the value of the i-th row by another,
-    which is a permutation made by two hash orders and one equi-join.
+    which is a permutation made by two hash orders.  The receiving order is the
+    same for all runs, so rows are numbered once; the values that go to one
+    position gather in one row, which meets it in one join.
     """
-    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("cell")
-    long = df.select(key, cells).select(key, "cell.*", reps)
-    by = ["feature", "repeat"]
-    source = hash_ordinal(long, by, h60(seed, "from", F.col("feature"), F.col("repeat"), F.col(key)), key, "pos")
-    target = hash_ordinal(long.drop("value"), by, h60("to", F.col(key)), key, "pos")
-    return target.select(key, *by, "pos").join(source.select("value", *by, "pos"), [*by, "pos"], "inner").drop("pos")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_run"), F.lit(f).alias("feature"), F.lit(r).alias("repeat"),
+                                         F.col(f).cast("double").alias("value")) for i, (f, r) in enumerate(runs)])).alias("cell")
+    long = df.select(key, cells).select(key, "cell.*")
+    order = h60(seed, "from", F.col("feature"), F.col("repeat"), F.col(key))
+    source = hash_ordinal(long, ["_run"], order, key, "_pos", None, CUT_BITS)
+    moved = source.groupBy("_pos").agg(F.array(*[
+        F.max(F.when(F.col("_run") == i, F.col("value"))) for i in range(len(runs))]).alias("_moved"))
+    target = hash_ordinal(df, [], h60("to", F.col(key)), key, "_pos", None, CUT_BITS)
+    return target.join(moved, "_pos", "inner").drop("_pos")
+
+
+def _run_cells(runs: list[tuple[str, int]], more=lambda i: []) -> Column:
+    """One struct per run: feature, repeat, the value received and what ``more`` adds."""
+    return F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col("_moved")[i].alias("value"), *more(i))
+                               for i, (f, r) in enumerate(runs)]))
+
+
+def permuted_rows(df: DataFrame, key: str, cols: list[str], repeats: int, seed: int) -> DataFrame:
+    """Long form of permuted values: (key, feature, repeat, value)."""
+    runs = _runs(cols, repeats, None)
+    wide = with_permuted(df.select(key, *cols), key, runs, seed)
+    return wide.select(key, _run_cells(runs).alias("cell")).select(key, "cell.*")
 
 
 def permutation_importance(df: DataFrame, key: str, label: str, cols: list[str], margin_weights: dict[str, float],
-                           intercept: float, repeats: int, seed: int) -> DataFrame:
+                           intercept: float, repeats: int, seed: int, runs: list[tuple[str, int]] | None = None) -> DataFrame:
     """Drop of MCC per feature and repeat for a linear score.
 
     A permuted row differs from the original in one feature, so its margin is
-    the original margin plus one weighted difference: one join, no re-scoring.
+    the original margin plus one weighted difference: no re-scoring.  ``runs``
+    chooses some (feature, repeat) alone.
     """
     base = F.lit(float(intercept))
     for c, w in margin_weights.items():
         base = base + F.col(c) * F.lit(float(w))
-    own = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("own"),
-                                       F.lit(float(margin_weights[c])).alias("w")) for c in cols])).alias("cell")
-    rows = df.withColumn("_margin", base).select(key, label, "_margin", own).select(key, label, "_margin", "cell.*")
-    moved = permuted_rows(df, key, cols, repeats, seed).join(rows, [key, "feature"], "inner")
-    hit = (F.col("_margin") + F.col("w") * (F.col("value") - F.col("own")) >= 0).cast("int")
-    return _importance(df.withColumn("_z", (base >= 0).cast("int")), moved.withColumn("_z", hit), label)
+    runs = _runs(cols, repeats, runs)
+
+    def hit(i: int) -> list[Column]:
+        change = F.lit(float(margin_weights[runs[i][0]])) * (F.col("_moved")[i] - F.col(runs[i][0]).cast("double"))
+        return [(F.col("_margin") + change >= 0).cast("int").alias("_z")]
+
+    rows = df.withColumn("_margin", base).select(key, label, "_margin", *dict.fromkeys(cols))
+    moved = with_permuted(rows, key, runs, seed).select(label, _run_cells(runs, hit).alias("cell")).select(label, "cell.*")
+    return _importance(df.withColumn("_z", (base >= 0).cast("int")), moved, label)
 
 
 def model_permutation_importance(df: DataFrame, key: str, label: str, cols: list[str], score_fn, repeats: int,

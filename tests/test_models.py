@@ -255,3 +255,14 @@ def test_registered_model_queries_run_whole_grids(spark, monkeypatch):
     assert seen == [(len(ablation_features(a)), {"M1": 4, "M2": 8}) for a in [None, *ABLATIONS]]
     assert {(r.feature_set, r.model_id) for r in got} == {(a, m) for a in ABLATIONS for m in ("M1", "M2")}
     assert all(r.mcc is not None and r.delta_mcc == 0 for r in got)
+
+
+def test_chosen_permutations_are_those_of_the_full_run(parts):
+    """A run made by itself, for rows that are numbered once for all runs."""
+    train, cols = parts[0], ["url_length", "dot_count"]
+    args = ("id", "label", cols, {"url_length": 1.0, "dot_count": -.5}, -.6, 3, 7)
+    full = {(r.feature, r.repeat): r for r in A.permutation_importance(train, *args).collect()}
+    chosen = [("dot_count", 2), ("url_length", 1)]
+    alone = A.permutation_importance(train, *args, runs=chosen).collect()
+    assert len(full) == 6 and len(alone) == 2 and all(full[r.feature, r.repeat] == r for r in alone)
+    assert {(r.feature, r.repeat) for r in alone} == set(chosen)
