@@ -86,6 +86,39 @@ def test_bootstrap_matches_brute_force(pred, leaf):
     assert len(plain) == 9 and (plain["value_x"] - plain["value_y"]).abs().max() < 1e-12
 
 
+def test_rank_replicates_shuffle_plain_rows_in_any_tiles(pred):
+    """Many small tiles, slices that end inside a tied score and two tied halves give the same areas; no exchange carries a number per replicate."""
+    reps, table = B.BLOCK + 4, B.clusters(pred, ["e"], "site").localCheckpoint()
+    tied = pred.withColumn("score", F.when(F.col("id") % 2 == 0, F.lit(.5)).otherwise(F.col("score")))
+    for rows in (pred, tied):
+        scores = B.score_rows(rows, table, ["e"], "site").localCheckpoint()
+        one = B.replicate_rank_metrics(table, scores, ["e"], reps, 42, leaf_size=16)
+        many = B.replicate_rank_metrics(table, scores, ["e"], reps, 42, leaf_size=16, tile=20)
+        assert "binary" not in str([f.dataType for f in one.schema]) and "_w#" not in one._jdf.queryExecution().toString()
+        a, b = (x.toPandas().sort_values("replicate").reset_index(drop=True) for x in (one, many))
+        assert len(a) == len(b) == reps and (a[["pr_auc", "roc_auc"]] - b[["pr_auc", "roc_auc"]]).abs().max().max() < 1e-12
+
+
+def test_tile_walk_in_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    scored = np.sort(rng.integers(0, 9, 3000))[::-1]
+    pos, site = rng.integers(0, 3, 3000), rng.integers(0, 50, 3000)
+    tot, weights = pos + rng.integers(0, 2, 3000), rng.poisson(1, (50, 7)).astype(np.uint8)
+    tile = B._Tile()
+    for at in range(0, 3000, 700):
+        part = slice(at, at + 700)
+        tile.add(site[part], scored[part], pos[part], tot[part])
+    tile.closed()
+    monkeypatch.setattr(B, "SLICE", 1)  # slices of 256 rows, shorter than a tied score
+    got = tile.areas(weights, np.zeros((2, 7)))
+    for k in range(7):
+        w = weights[site, k].astype(float)
+        p, n = pos * w, (tot - pos) * w
+        ap = sum(p[scored == s].sum() * p[scored >= s].sum() / (p + n)[scored >= s].sum() for s in range(9))
+        above = sum(p[scored == s].sum() * (n[scored > s].sum() + n[scored == s].sum() / 2) for s in range(9))
+        assert got[:, k] == pytest.approx([ap, above, p.sum(), n.sum()])
+
+
 def test_leaf_counts_are_a_multinomial():
     n, leaves = 83, 11
     counts = np.stack([B.leaf_counts((1, "s", 0), n, k, 3, 8) for k in range(leaves)])
