@@ -143,8 +143,9 @@ def host_resolver(ip_first: bool = True):
 
     def resolve(names):
         import pandas
-        known = {n: resolve_one(n) for n in names.unique()}
-        return pandas.DataFrame([known[n] for n in names], columns=["host", "is_ip", "is_private"])
+        at, found = pandas.factorize(names)  # -1, the last entry, for the plain rows
+        known = pandas.DataFrame([*map(resolve_one, found), resolve_one(None)], columns=["host", "is_ip", "is_private"])
+        return known.take(at).reset_index(drop=True)
 
     resolve.__annotations__ = {"names": pd.Series, "return": pd.DataFrame}
     return F.pandas_udf(resolve, "host string, is_ip boolean, is_private boolean")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteval.functions import urls as U
 from siteval.functions.hashing import digest
+from siteval.operators.joins import settled
 from siteval.operators.suffixes import SuffixRules, site_keys
 
 PARSE_COLUMNS = [
@@ -21,9 +22,14 @@ LIGHT_COLUMNS = ["parse_status", "hostname_ascii", "is_ip", "public_suffix_priva
                  "normalized_url"]
 
 
+SPLIT_COLUMNS = ["_clean", "_scheme", "_missing_scheme", "_authority", "_path", "_query", "_fragment"]
+
+
 def split_hosts(df: DataFrame, raw: str) -> DataFrame:
     """Split the text and find the host, before any name or address check."""
-    df = U.with_split(df, raw)
+    kept = df.columns
+    df = settled(df, [c for c in kept if c != raw], [raw])
+    df = settled(U.with_split(df, raw), kept, SPLIT_COLUMNS)
     authority = F.col("_authority")
     df = df.withColumns({"_host": U.host_text(authority), "_port": U.port_text(authority),
                          "_broken": U.unbalanced_brackets(authority)})
@@ -51,16 +57,6 @@ def resolve_hosts(df: DataFrame, ip_first: bool = True) -> DataFrame:
     }).drop("_r")
 
 
-def settled(df: DataFrame, kept: list[str], cols: list[str]) -> DataFrame:
-    """The same rows with ``cols`` as plain columns.
-
-    A filter or semi join written behind the parser would otherwise be pushed
-    below it with every nested expression spelled out in full, including the
-    UDF.  A one-element generator is the point it cannot cross.
-    """
-    return df.select(*kept, F.inline(F.array(F.struct(*cols))))
-
-
 HOST_COLUMNS = ["_clean", "_scheme", "_missing_scheme", "_path", "_query", "_fragment", "_host", "_port", "_portnum",
                 "_broken", "hostname_raw", "hostname_ascii", "is_ip", "is_private_ip"]
 
@@ -94,6 +90,7 @@ def parse_urls(df: DataFrame, url_col: str, rules: SuffixRules, ip_first: bool =
     split_known = clean.isNotNull() & ~F.col("_broken")
     resolved = split_known & (F.col("_host") != "") & host.isNotNull()
     df = df.withColumns({"parse_status": status, "_split": split_known, "_resolved": resolved})
+    df = settled(df, [c for c in df.columns if c not in ("_split", "_resolved")], ["_split", "_resolved"])
     df = df.withColumn("port", F.when(F.col("_resolved"), F.col("_portnum")))
     split_only = {"scheme": scheme, "path": F.col("_path"), "query": F.col("_query"), "fragment": F.col("_fragment")}
     resolved_only = {

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteval.operators.joins import skew_join
+from siteval.operators.joins import settled, skew_join
 
 # Largest rule table that is broadcast; longer ones are met by salted joins.
 BROADCAST_RULES = 200_000
@@ -100,6 +100,7 @@ def site_keys(df: DataFrame, rules: SuffixRules, host: str = "hostname_ascii",
         masks[d] = F.col(mask)
     labels = F.col("_labels")
     df = df.withColumns({"_icann": _longest(masks, labels, 1, 4, 16), "_all": _longest(masks, labels, 3, 12, 48)})
+    df = settled(df, [c for c in df.columns if c not in ("_icann", "_all")], ["_icann", "_all"])
 
     def last(n: Column) -> Column:
         return F.call_function("substring_index", F.col("_name"), F.lit("."), -n)

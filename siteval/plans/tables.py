@@ -60,6 +60,7 @@ RAW_URL = f"""CASE WHEN k % 97 = 96 THEN '  ' ELSE
 EXPERIMENTS = [("A", "M1"), ("A", "M2"), ("C", "M1"), ("C", "M2")]
 # Split seeds.
 SEEDS = [13, 42, 73, 101, 2026]
+ROWS_PER_TASK = 250_000  # of a table that ``spread`` deals out
 
 
 class Tables:
@@ -70,9 +71,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def spread(self, df: DataFrame) -> DataFrame:
-        """One small file is one task; use all cores for the work behind it."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        """Use all cores for the work behind a table, in tasks of bounded size.
+
+        One small file is one task, and a split of a large one holds millions
+        of narrow rows, so tasks follow from the number of rows.
+        """
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+        return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
     def scratch(self, name: str) -> str:
         """A new path in the shared checkpoint folder."""

@@ -105,3 +105,36 @@ def test_parse_accepts_a_stream(spark, rules, folder):
         assert spark.table("parsed_stream").first()["site_key_private"] == "b.co.uk"
     finally:
         q.stop()
+
+
+def test_parser_stays_in_compiled_methods(spark):
+    """The JVM interprets generated methods over 8,000 bytes for every row."""
+    import re
+
+    from siteval.plans.tables import Tables
+    explained = spark._jvm.PythonSQLUtils.explainString
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        t = Tables(spark, "/root/testdata/sf0.001")
+        for df in (t.parsed(), t.parsed().select("record_id", "hostname_ascii"), t.parsed().select("record_id", "normalized_url_hash")):
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", explained(df._jdf.queryExecution(), "codegen"))]
+            assert sizes and max(sizes) <= 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch):
+    from siteval.plans import tables
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 100, raising=False)
+    t = tables.Tables(spark, "/root/testdata/sf0.001")
+    parts = t.spread(spark.range(0, 5000, 1, 8)).rdd.glom().map(len).collect()
+    assert sum(parts) == 5000 and max(parts) <= 200
+
+
+def test_resolver_takes_plain_rows_beside_rare_ones(spark):
+    from siteval.operators.parsing import resolve_hosts
+    hosts = [(None,), ("a.com",), ("xn--mnchen-3ya.net",), ("::1",), ("a.com",), ("xn--mnchen-3ya.net",)]
+    got = resolve_hosts(spark.createDataFrame(hosts, "hostname_raw string").coalesce(1)).collect()
+    assert [r["hostname_ascii"] for r in got] == [None, "a.com", "xn--mnchen-3ya.net", "::1", "a.com", "xn--mnchen-3ya.net"]
+    assert [r["is_ip"] for r in got] == [None, False, False, True, False, False]
