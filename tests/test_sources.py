@@ -70,6 +70,27 @@ def test_sinks_refuse_to_overwrite(spark, folder):
             again()
 
 
+def test_chunks_of_ordinary_and_large_sites(spark, folder, monkeypatch):
+    import glob
+    monkeypatch.setattr(S, "CHUNK_ROWS", 40, raising=False)
+    site = F.when(F.col("id") < 200, "hot").when(F.col("id") < 230, F.lit(None)).otherwise(F.concat(F.lit("s"), F.col("id") % 7))
+    df = spark.range(300).select(site.alias("site_frame_id"), F.col("id").alias("v"))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # would make one task of so few rows
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        S.write_chunks(df, folder + "/chunks")
+    finally:
+        spark.conf.set(name, was)
+    files = {}
+    for f in glob.glob(folder + "/chunks/*/*.json"):
+        files.setdefault(f.split("=")[1].split("/")[0], []).append(f)
+    assert len(files) == 9 and 2 <= len(files.pop("hot")) <= 5
+    assert {len(x) for x in files.values()} == {1}
+    got = spark.read.schema("v long, site_frame_id string").json(folder + "/chunks")
+    assert sorted(map(tuple, got.select("v", "site_frame_id").collect())) == sorted((r["v"], r["site_frame_id"]) for r in df.collect())
+
+
 def test_digest_registered_and_provenance(spark, folder):
     import os
     os.mkdir(folder + "/in")
