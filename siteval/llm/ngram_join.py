@@ -14,11 +14,12 @@ together are done.  The order puts shingles of crowded hash buckets last
   long as that closes cells at a good rate.
 * Windows: then regions of different labels that meet in a cell are compared
   tile by tile under bounds of set size and parity, and measured pivot to pivot
-  where these let them through.  By the triangle inequality points x, y of regions p, q can
-  only be within r if d(p, q) <= d(x, p) + r + d(y, q); the boundary points
-  for which this can hold are replicated to the other region and measured to its
-  pivot, which narrows the windows once more; what is left is measured exactly.
-  Links inside a label change no component.
+  where these let them through.  Pivots within r join the labels of their regions.
+  By the triangle inequality points x, y of regions p, q can only be within r if
+  d(p, q) <= d(x, p) + r + d(y, q); the boundary points for which this can hold,
+  for any region q of another label, are compared in the same tiles, each as a
+  region of its own, and what the bounds let through is measured exactly.
+  Nothing is replicated per point and region.  Links inside a label change no component.
 
 Distances are counted from whole sets.  Before sets travel, parity bitmaps
 (a lower bound of the symmetric difference) drop most distant pairs.
@@ -481,6 +482,19 @@ def _meeting_cells(cell: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.join(mixed.select("shingle"), "shingle", "left_semi")
 
 
+def _relabelled(regions: DataFrame, links: DataFrame) -> DataFrame:
+    """region, label, radius, with one label for the regions that pivot links (a, b) join.
+
+    The regions of one large group of near copies are mostly linked pivot to
+    pivot; windows between them would be as many as their points times regions.
+    """
+    label = regions.select("region", "label")
+    ends = links.join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b")
+    merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    named = regions.join(merged.select(F.col("node").alias("label"), "component"), "label", "left")
+    return written(named.select("region", F.coalesce("component", "label").alias("label"), "radius"), "relabelled-regions")
+
+
 def _window_links(cell: DataFrame, links: DataFrame, sets: DataFrame, r: float, exact) -> DataFrame:
     """Links between points of differently labelled regions."""
     ends = links.select(F.col("a").alias("sig"), F.col("b").alias("region"), "distance").unionByName(
@@ -500,27 +514,20 @@ def _window_links(cell: DataFrame, links: DataFrame, sets: DataFrame, r: float,
     met = placed.select("shingle", "region", "label").distinct()
     near = written(distances(meetings(met, radius, sets, r), sets), "near-regions")
     direct = near.where(exact).select("a", "b")
+    known = _relabelled(placed.groupBy("region", "label").agg(F.max("away").alias("radius")), direct)
     wide = near.where(F.col("reach") > r + 1e-9).select("a", "b", F.col("distance").alias("d"))
-    wide = wide.join(radius.toDF("a", "ra"), "a").join(radius.toDF("b", "rb"), "b")
-    points = placed.select("sig", "region", "away").distinct()
-    # boundary points of either side, measured to the pivot of the other
-    sides = wide.join(points.toDF("x", "a", "dx"), "a").where(F.col("d") <= F.col("dx") + r + F.col("rb") + 1e-9)
-    sides = sides.select("x", F.col("a").alias("own"), F.col("b").alias("other"), "dx", (F.col("rb") + r).alias("reach")).unionByName(
-        wide.join(points.toDF("x", "b", "dx"), "b").where(F.col("d") <= F.col("dx") + r + F.col("ra") + 1e-9).select(
-            "x", F.col("b").alias("own"), F.col("a").alias("other"), "dx", (F.col("ra") + r).alias("reach")))
-    sides = written(sides, "boundary-points")
-    asked = sides.groupBy(F.col("x").alias("a"), F.col("other").alias("b")).agg(F.max(F.least("reach", F.lit(1.0))).alias("reach"))
-    far = written(measured(asked, sets), "boundary-distances")
-    direct = direct.unionByName(far.where(exact).select("a", "b"))
-    seen = sides.join(far.select(F.col("a").alias("x"), F.col("b").alias("other"), F.col("distance").alias("ex")), ["x", "other"])
-    left = seen.where("own < other").select(F.col("own").alias("p"), F.col("other").alias("q"), "x", "dx", "ex")
-    right = seen.where("own > other").select(F.col("other").alias("p"), F.col("own").alias("q"), F.col("x").alias("y"),
-                                             F.col("dx").alias("dy"), F.col("ex").alias("ey"))
-    # x is near q and y is near p: distances to either pivot differ by r at most
-    tried = left.join(right, ["p", "q"]).where(
-        (F.abs(F.col("ex") - F.col("dy")) <= r + 1e-9) & (F.abs(F.col("ey") - F.col("dx")) <= r + 1e-9))
-    tried = tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    found = measured(tried.withColumn("reach", F.lit(r)), sets).where(exact).select("a", "b")
+    wide = wide.join(known.toDF("a", "la", "ra"), "a").join(known.toDF("b", "lb", "rb"), "b").where("la <> lb")
+    # how far from its pivot a point of a region is at least, if it is within r of another region's
+    edges = wide.select(F.col("a").alias("region"), F.col("la").alias("label"), (F.col("d") - F.col("rb") - r).alias("least")).unionByName(
+        wide.select(F.col("b").alias("region"), F.col("lb").alias("label"), (F.col("d") - F.col("ra") - r).alias("least")))
+    edges = edges.groupBy("region", "label").agg(F.min("least").alias("least"))
+    spots = placed.drop("label").join(edges, "region").where(F.col("away") >= F.col("least") - 1e-9)
+    # these boundary points meet in their cells, each as a region of its own
+    spots = written(spots.select("shingle", F.col("sig").alias("region"), "label"), "boundary-points")
+    mixed = spots.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    spots = spots.join(mixed.select("shingle"), "shingle", "left_semi")
+    alone = spots.select("region").distinct().withColumn("radius", F.lit(0.0))
+    found = distances(meetings(spots, alone, sets, r), sets).where(exact).select("a", "b")
     return direct.unionByName(found)
 
 

@@ -118,6 +118,33 @@ def test_jaccard_classes(copies, monkeypatch, hot_floor, rounds, tile):
     assert kept.columns == copies.columns and {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def test_a_hub_and_its_stragglers_make_no_row_per_pair(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+
+    def edited(times):
+        words = list(base)
+        for at in rng.sample(range(300), times):
+            words[at] = f"x{rng.random()}"
+        return " ".join(words)
+    # most copies link with the whole text, the stragglers mostly with none of them
+    rows = [(0, " ".join(base))] + [(i, edited(rng.choice([2, 5, 8]) if i < 150 else rng.choice([12, 14, 16]))) for i in range(1, 250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in rows}
+    want = classes(sets, [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    made, plain = {}, ngram_join.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+    monkeypatch.setattr(ngram_join, "written", counted)
+    got = ngram_join.jaccard_classes(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    # rows of points in cells, as the input; not points times regions
+    assert made["boundary-points"] <= made["regions"] and "boundary-distances" not in made, made
+
+
 def test_jaccard_ids(spark, documents, nothing):
     got = ngram_join.jaccard_classes(documents).collect()
     assert len(got) == documents.count() and sum(r.doc_id is None for r in got) == 1
