@@ -95,7 +95,8 @@ class SpacedEncoder:
                 gc.enable()
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.alphabet)
+        plain = piece.isascii() and piece.isprintable()  # each byte stands for itself
+        shown = piece if plain else piece.encode().decode("latin-1").translate(self.alphabet)
         raw = array(self.bpe.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         if len(self._pieces) < CACHED_WORDS and len(piece) <= LONGEST_CACHED:
             self._pieces[piece] = raw
@@ -105,10 +106,17 @@ class SpacedEncoder:
         """Ids of words without white space."""
         if self.model is None:
             return self._library(words)
-        special, known, piece = self.bpe.special, self._pieces.get, self._piece
+        known, piece = self._pieces.get, self._piece
+        together = "\n".join(words)
+        special = [x for x in self.bpe.special if x in together]
         out: list[bytes | None] = []
         for w in words:
-            if (w.isascii() or max(w) < "\u0100") and not any(x in w for x in special):
+            if special and any(x in w for x in special):
+                out.append(None)
+            elif w.isascii() and w.isalpha():  # one piece
+                p = w.lower()
+                out.append(known(p) or piece(p))
+            elif w.isascii() or max(w) < "\u0100":
                 out.append(b"".join([known(p) or piece(p) for p in _PIECES(w.lower())]))
             else:
                 out.append(None)
@@ -178,10 +186,13 @@ def _subject(ids: np.ndarray) -> int:
 def frequencies(ids: DataFrame, dtype: np.dtype, vocabulary: int) -> np.ndarray:
     """In how many documents each id occurs; as long as the vocabulary."""
     def run(batches):
-        counts = np.zeros(vocabulary, np.int64)
+        counts, last = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
         for b in batches:
-            for raw in b.column("ids").to_pylist():
-                counts[np.unique(np.frombuffer(raw, dtype))] += 1
+            for raw in b.column("ids"):
+                ids = np.frombuffer(raw.as_buffer(), dtype)
+                at = np.arange(len(ids))
+                last[ids] = at  # one place of each distinct id, without sorting
+                counts[ids[last[ids] == at]] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
 
