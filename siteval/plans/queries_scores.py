@@ -640,7 +640,7 @@ def a10(t: Tables):
     """Six named values of the change between two regimes; the coefficient table stands for M1's features and M3's tokens."""
     c, phi = t.coefficients(), t.phi()
     whole = R.checkpointed(T.global_attribution(phi, "label").where("stratum = 'all'"))
-    local = R.checkpointed(T.local_change(phi, "row_id"))
+    local = R.checkpointed(T.local_change(phi, "row_id").agg(F.avg("raw_change").alias("raw"), F.avg("normalized_change").alias("norm")))
     c = R.checkpointed(c)
     a, b = c.where("regime = 'A'"), c.where("regime = 'C'")
     m1 = T.compare_coefficients(a.select(F.col("token").alias("feature"), F.lit(0).alias("feature_index"), "coefficient"),
@@ -648,8 +648,8 @@ def a10(t: Tables):
     return rounded(T.attribution_summary([
         ("M1", "abs_coefficient_spearman", m1.agg(F.corr("rank_a", "rank_c"))),
         ("M2", "mean_abs_spearman", K.spearman(whole, "mean_abs_a", "mean_abs_c")),
-        ("M2", "mean_local_change", local.agg(F.avg("raw_change"))),
-        ("M2", "mean_local_change_normalized", local.agg(F.avg("normalized_change"))),
+        ("M2", "mean_local_change", local.select("raw")),
+        ("M2", "mean_local_change_normalized", local.select("norm")),
         ("M3", "shared_token_abs_spearman", K.spearman(R.checkpointed(T.shared_vocab(a, b)), "coefficient_a", "coefficient_c", True)),
         ("M3", "top_50_abs_jaccard", T.topk_overlap(c, ("A", "C"), 50).select("jaccard"))]), "value")
 

@@ -70,13 +70,16 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def spread(self, df: DataFrame) -> DataFrame:
+    def spread(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """Use all cores for the work behind a table, in tasks of bounded size.
 
         One small file is one task, and a split of a large one holds millions
-        of narrow rows, so tasks follow from the number of rows.
+        of narrow rows, so tasks follow from the number of rows.  ``by``: rows
+        of one value meet, so grouping by it takes no other exchange.
         """
         tasks = max(self.spark.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+        if by:
+            return df.repartition(tasks, by)
         return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
     def scratch(self, name: str) -> str:
@@ -147,14 +150,18 @@ class Tables:
         return p.where(keep).select("regime", "token", weight.alias("coefficient"))
 
     def phi(self) -> DataFrame:
-        """Attributions of both regimes per order line and feature."""
-        li = self.spread(self.read("lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"))
-        key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        """Attributions of both regimes per order line and feature.
+
+        One exchange of one row per line: the grouping here and those by
+        ``row_id`` that follow find their rows in one task.
+        """
         feats = ["l_quantity", "l_discount", "l_tax"]
+        key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        label = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+        li = self.spread(self.read("lineitem").select(key.alias("row_id"), label.alias("label"), *feats), "row_id")
+        li = li.groupBy("row_id", "label").agg(*[F.max(f).alias(f) for f in feats])
         cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in feats])).alias("c")
-        rows = li.select(key.alias("row_id"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"), cells)
-        rows = rows.groupBy("row_id", "label", "c.feature").agg(F.max("c.x").alias("x"))
+        rows = li.select("row_id", "label", cells).select("row_id", "label", "c.*")
         return rows.select("row_id", "label", "feature", (F.col("x") * 0.25 - 1).alias("phi_a"),
                            (F.col("x") * 0.5 - 2.5).alias("phi_c"))
 

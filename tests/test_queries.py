@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from siteval.functions.hashing import h60
+from siteval.operators.attribution import local_change
+from siteval.plans.tables import Tables
 from tools.check_oracles import compare
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +65,9 @@ def test_topk_overlap_without_common_tokens(spark, folder):
     assert compare(found, con, contract.oracle_sql()[name]) == ""
     row = found.first()
     assert row.size_a and row.size_c and (row.intersection, row.sign_agreements, row.sign_agreement_rate) == (0, 0, None)
+
+
+def test_attributions_of_a_row_meet_in_one_exchange(spark):
+    t = Tables(spark, SF)
+    plan = local_change(t.phi(), "row_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
