@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from siteval.functions.hashing import h60
 from siteval.functions.stats import confusion_cells, confusion_metrics, ratio
+from siteval.operators.boosting import Responses, Trees
 from siteval.operators.metrics import spearman
-from siteval.operators.ranking import CUT_BITS, average_rank, checkpointed, first_by_hash, hash_ordinal
+from siteval.operators.ranking import CUT_BITS, average_rank, checkpointed, first_by_hash, hash_ordinal, shuffle_width
 
 EXCHANGE_ROWS = 256  # positions whose permuted values meet in one group
+CHUNK = 1 << 15  # neighbouring positions whose decisions are made at once
+SENT = 1 << 26  # positions whose values a task holds, a byte each
+MET = 1 << 24  # positions that a task answers
 
 
 def compare_coefficients(a: DataFrame, c: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -167,6 +171,23 @@ def shuffled_positions(pos: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def source_positions(pos: np.ndarray, n: int, key: int) -> np.ndarray:
+    """The positions that ``shuffled_positions`` moves to ``pos``: its rounds backwards."""
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
+    mask = np.uint64((1 << int(half)) - 1)
+    out = pos.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for i in reversed(range(4)):
+            x = (left + np.uint64((key + (i + 1) * 0x9E3779B97F4A7C15) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            left, right = right ^ ((x >> np.uint64(32)) & mask), left
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
 def run_key(seed: int, feature: str, repeat: int) -> int:
     return int(hashlib.sha256(f"{seed}|run|{feature}|{repeat}".encode()).hexdigest()[:15], 16)
 
@@ -232,13 +253,99 @@ def keyed_permutation_importance(df: DataFrame, key: str, label: str, cols: list
                        score_fn(wide).withColumn("_z", F.col("predicted")), label)
 
 
+def tree_permutation_importance(df: DataFrame, key: str, label: str, cols: list[str], trees: Trees, scored: DataFrame, repeats: int,
+                                seed: int, runs: list[tuple[str, int]] | None = None, chunk: int = CHUNK, sent: int = SENT,
+                                met: int = MET) -> DataFrame:
+    """The same drops as ``keyed_permutation_importance`` for boosted trees, whose features are ``cols``.
+
+    A permuted row differs in one value, so a row needs one decision for each
+    place that the value may have between the trees' thresholds.  A task holds
+    the places of one feature, a byte a row, and looks every receiving row's
+    up by the permutation run backwards: no row is widened or sent by run.
+    ``scored`` has the rows' own decisions.
+    """
+    runs = runs or [(c, r) for c in cols for r in range(repeats)]
+    numbered = checkpointed(hash_ordinal(df.select(key, label, *cols), [], h60("position", F.col(key)), key, "pos").drop(key, "n"))
+    n = numbered.count()
+    spark = df.sparkSession
+    wanted = sorted({cols.index(f) for f, _ in runs})
+    many = -(-4 * spark.sparkContext.defaultParallelism // len(wanted))
+    numbers = {f: [i for i, run in enumerate(runs) if run[0] == cols[f]] for f in wanted}
+    parts = {f: [some for some in (numbers[f][i::many] for i in range(many)) if some] for f in wanted}
+    blocks, ranges = -(-n // sent), -(-n // met)
+    model = Responses(trees, len(cols))
+    names = ["_feature", "_part", "_block", "_range", "_kind", "_chunk", "_first", "_second"]
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        at = table.column("_chunk")[0].as_py()
+        x = np.stack([table.column(c).to_numpy() for c in cols], axis=1)
+        same, back = np.unique(np.stack([model.codes(x[:, f], f) for f in range(len(cols))], axis=1), axis=0, return_inverse=True)
+        made: dict[int, list] = {f: [] for f in wanted}
+        for a in range(0, len(same), 512):
+            for f, hit in model.decisions(list(same[a:a + 512].T), wanted).items():
+                made[f].append(np.packbits(hit.T, axis=1))
+        labels, rows = np.packbits(table.column(label).to_numpy() == 1).tobytes(), []
+        for f in wanted:
+            codes, hits = model.codes(x[:, f], f).tobytes(), np.concatenate(made[f])[back].tobytes()
+            for p in range(len(parts[f])):
+                rows += [(f, p, at * chunk // sent, r, 0, at, codes, None) for r in range(ranges)]
+                rows += [(f, p, b, at * chunk // met, 1, at, hits, labels) for b in range(blocks)]
+        return pa.table(dict(zip(names, (pa.array(list(c), pa.binary() if i > 5 else pa.int32()) for i, c in enumerate(zip(*rows))))))
+
+    def count(batches):
+        at, places, sums = None, [], {}
+        for b in batches:
+            for f, p, block, span, kind, c, first, second in zip(*(b.column(k) for k in names)):
+                f, now = f.as_py(), (f.as_py(), p.as_py(), block.as_py(), span.as_py())
+                if now != at:
+                    at, places = now, []
+                width = len(model.points[f])
+                if kind.as_py() == 0:
+                    places.append(np.frombuffer(first.as_buffer(), np.min_scalar_type(width)))
+                    continue
+                if len(places) > 1:
+                    places = [np.concatenate(places)]
+                base, low = c.as_py() * chunk, now[2] * sent
+                hits = np.frombuffer(first.as_buffer(), np.uint8).reshape(-1, width // 8 + 1)
+                y = np.unpackbits(np.frombuffer(second.as_buffer(), np.uint8), count=len(hits))
+                for run in parts[f][now[1]]:
+                    rows = np.arange(len(hits))
+                    source = source_positions(base + rows, n, run_key(seed, *runs[run])) - low
+                    if blocks > 1:
+                        rows = rows[(source >= 0) & (source < sent)]
+                        source = source[rows]
+                    v = places[0][source]
+                    z = hits[rows, v >> 3] >> (7 - (v & 7)).astype(np.uint8) & 1
+                    sums[run] = sums.get(run, 0) + np.bincount(2 * y[rows] + z, minlength=4)
+        found = np.array([list(k) for k in sums.values()]).reshape(-1, 4).T
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array(k, pa.int64()) for k in found)],
+                                         names=["_run", "tn", "fp", "fn", "tp"])
+
+    values = numbered.select(F.col("pos").cast("bigint"), F.floor(F.col("pos") / chunk).cast("int").alias("_chunk"), F.col(label).cast("int"),
+                             *[F.col(c).cast("double") for c in cols])
+    packed = values.groupBy("_chunk").applyInArrow(pack, ", ".join(f"{k} {'binary' if i > 5 else 'int'}" for i, k in enumerate(names)))
+    apart = sum(map(len, parts.values())) * blocks * ranges
+    packed = packed.repartition(max(shuffle_width(spark), apart), *names[:4]).sortWithinPartitions(*names[:6])
+    cells = packed.mapInArrow(count, "_run int, tn long, fp long, fn long, tp long")
+    cells = cells.groupBy("_run").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
+    name = [F.array(*[F.lit(x) for x in side])[F.col("_run")].alias(c) for c, side in zip(("feature", "repeat"), zip(*runs))]
+    return _drops(scored.withColumn("_z", F.col("predicted")), cells.select(*name, "tn", "fp", "fn", "tp"), label)
+
+
 def _importance(plain: DataFrame, moved: DataFrame, label: str) -> DataFrame:
-    def mcc(df: DataFrame, by: list[str]) -> DataFrame:
-        cells = df.groupBy(*by).agg(*[c.alias(n) for n, c in confusion_cells(F.col(label), F.col("_z")).items()])
-        return cells.select(*by, confusion_metrics("tn", "fp", "fn", "tp")["mcc"].alias("mcc"))
+    return _drops(plain, _cells(moved, ["feature", "repeat"], label), label)
+
+
+def _cells(df: DataFrame, by: list[str], label: str) -> DataFrame:
+    return df.groupBy(*by).agg(*[c.alias(n) for n, c in confusion_cells(F.col(label), F.col("_z")).items()])
+
 
-    baseline = mcc(plain, []).select("mcc").scalar()
-    out = mcc(moved, ["feature", "repeat"]).withColumnRenamed("mcc", "permuted_mcc")
+def _drops(plain: DataFrame, moved: DataFrame, label: str) -> DataFrame:
+    """Drop of MCC from the plain rows to each run's confusion cells."""
+    mcc = confusion_metrics("tn", "fp", "fn", "tp")["mcc"]
+    baseline = _cells(plain, [], label).select(mcc.alias("mcc")).scalar()
+    out = moved.select("feature", "repeat", mcc.alias("permuted_mcc"))
     return out.withColumn("baseline_mcc", baseline).withColumn(
         "importance", F.col("baseline_mcc") - F.col("permuted_mcc"))
 
