@@ -171,12 +171,7 @@ def b03(t: Tables):
 def b04(t: Tables):
     """The multiplicities of every cluster in all replicates, as a digest of their list."""
     table = R.checkpointed(B.clusters(t.scored(True), EXP, "site"))
-    drawn = B.draw_clusters(table, EXP, REPS, SEED)
-    ks = F.col("multiplicities")
-    listed = F.filter(F.transform(ks, lambda k, i: F.when(k > 0, F.concat_ws(":", i, k))), lambda x: x.isNotNull())
-    return drawn.select(*EXP, "class", "ordinal", F.size(F.array_remove(ks, 0)).cast("bigint").alias("replicates"),
-                        F.aggregate(ks, F.lit(0).cast("bigint"), lambda a, k: a + k).alias("draws"),
-                        F.array_max(ks).cast("bigint").alias("most"), F.sha2(F.concat_ws(",", listed), 256).alias("multiplicities_sha256")).where("draws > 0")
+    return B.draw_digests(table, EXP, REPS, SEED)
 
 
 REPLICATE_SQL = f"""{CLUSTERS_SQL}, {draws_sql()}, rc AS (SELECT regime, model, replicate, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp,

@@ -160,3 +160,26 @@ def test_interval_and_difference(spark):
     assert (ci["lower"], ci["upper"]) == (2.5, 97.5)
     d = B.difference_ci(a, a.withColumn("value", F.col("value") - 1), ["e"]).first()
     assert (d["lower"], d["upper"]) == (1.0, 1.0)
+
+
+@pytest.mark.parametrize("leaf", [B.LEAF, 16])
+def test_draw_digests_are_those_of_the_multiplicities(pred, leaf):
+    import hashlib
+    reps = B.BLOCK + 4
+    table = B.clusters(pred, ["e"], "site").localCheckpoint()
+    want = {}
+    for r in B.draw_clusters(table, ["e"], reps, 42, leaf_size=leaf).collect():
+        ks = r["multiplicities"]
+        if any(ks):
+            text = ",".join(f"{i}:{k}" for i, k in enumerate(ks) if k)
+            want[r["class"], r["ordinal"]] = (sum(k > 0 for k in ks), sum(ks), max(ks), hashlib.sha256(text.encode()).hexdigest())
+    got = B.draw_digests(table, ["e"], reps, 42, leaf_size=leaf)
+    assert "transform" not in got._jdf.queryExecution().toString()  # no list per cluster leaves the task that made it
+    got = {(r["class"], r["ordinal"]): (r["replicates"], r["draws"], r["most"], r["multiplicities_sha256"]) for r in got.collect()}
+    assert got == want
+
+
+def test_listed_digest_of_many_draws():
+    import hashlib
+    made = np.array([[0, 12, 3], [9, 0, 1]], np.uint16)
+    assert B.listed_digests(made, np.array([5, 6, 70])) == [hashlib.sha256(t).hexdigest() for t in (b"6:12,70:3", b"5:9,70:1")]
