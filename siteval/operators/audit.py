@@ -27,9 +27,17 @@ def validity_profile(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def key_profile(df: DataFrame, key: str, label: str, source: str, site: str) -> DataFrame:
-    return df.groupBy(key).agg(
-        _n().alias("rows"), F.countDistinct(label).alias("labels"),
-        F.countDistinct(source).alias("sources"), F.countDistinct(site).alias("sites"))
+    """Rows and distinct values per URL key.
+
+    A URL has one site and few labels and sources, so a key's values are small
+    sets; rows meet by key first, so each is exchanged once and not once for
+    every distinct count.
+    """
+    def distinct(col: str) -> Column:
+        return F.size(F.collect_set(col)).cast("bigint")
+
+    return df.select(key, *dict.fromkeys([label, source, site])).repartition(key).groupBy(key).agg(
+        _n().alias("rows"), distinct(label).alias("labels"), distinct(source).alias("sources"), distinct(site).alias("sites"))
 
 
 def duplicate_groups(df: DataFrame, key: str, label: str, source: str, site: str) -> DataFrame:

@@ -295,5 +295,5 @@ def _long_profile_sql(name: str) -> str:
 def g00(t: Tables):
     """Corpus built once from two sources, and all its audit tables."""
     raw = t.urls()
-    corpus = build_corpus([raw.where(F.col("record_id") % 2 == r) for r in (0, 1)], t.rules, caps=())
+    corpus = build_corpus([raw.where(F.col("record_id") % 2 == r) for r in (0, 1)], t.rules, caps=(), audited=True)
     return profile_values(corpus_profiles(corpus)).withColumn("value", F.round("value", 6))

@@ -143,3 +143,20 @@ def test_registry_and_tables(spark):
     reg = I.registry([seeds.withColumn("phase", F.lit("x"))], ["phase", "regime", "split_sha256"])
     assert reg.columns == ["phase", "regime", "split_sha256"] and reg.first()["split_sha256"] is None
     assert I.table_fixed(seeds, ["regime"], ["mean"]).first()["mean"] == "0.613"
+
+
+def test_audited_corpus_is_narrow_and_profiled_in_one_exchange(spark):
+    """The audit of a corpus reads compressed files of its own columns; a distinct count sends each row once."""
+    from siteval.operators import audit as A
+    from siteval.operators.suffixes import compile_rules
+    from siteval.plans.corpus import AUDITED, build_corpus, corpus_profiles, profile_values
+    rules = compile_rules(spark.createDataFrame([("com", "exact", "icann")], "rule string, kind string, section string"))
+    rows = [(i, f"http://www.s{i % 25 % 7}.com/{i % 25}", int(i % 25 % 7 == 3 or i == 5), f"s{i % 2}") for i in range(60)]
+    source = spark.createDataFrame(rows, "record_id long, raw_url string, label int, source_name string")
+    whole, slim = (build_corpus([source], rules, caps=(), audited=a) for a in (False, True))
+    assert slim["parsed"].columns == AUDITED and slim["parsed"].inputFiles() and slim["eligible"].inputFiles()
+    assert slim["parsed"].schema["raw_url_hash"].dataType.simpleString() == "binary"
+    a, b = (sorted(map(tuple, profile_values(corpus_profiles(c)).collect()), key=repr) for c in (whole, slim))
+    assert repr(a) == repr(b) and {r[0] for r in a} >= {"exact_duplicates", "cross_label_conflicts", "concentration"}
+    plan = A.key_profile(slim["parsed"], "raw_url_hash", "label", "source_name", "site_key_private")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Expand" not in plan
